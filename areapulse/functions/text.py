@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,28 +81,38 @@ def _composed(mark: str) -> tuple[str, str]:
     return "".join(b for b, _ in pairs), "".join(c for _, c in pairs)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _compose_mark(text: Column, mark: str) -> Column:
+    """Join each ``letter + mark`` of one mark to its one-character form."""
+    bases, forms = _composed(mark)
+
+    def rejoin(parts: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            last = F.substring(p, -1, 1)
+            known = (F.length(p) > 0) & (F.instr(F.lit(bases), last) > 0)
+            short = F.concat(p.substr(F.lit(1), F.length(p) - 1), F.translate(last, bases, forms))
+            return F.when(i == F.size(parts) - 1, p).when(known, short).otherwise(F.concat(p, F.lit(mark)))
+
+        return F.array_join(F.transform(parts, piece), "")
+
+    return F.when(F.contains(text, F.lit(mark)), bind(F.split(text, mark), rejoin)).otherwise(text)
+
+
 def nfc(col: Column) -> Column:
     """Compose Latin letters with their combining marks.
 
     Rows without a combining mark skip the work. A letter directly before its mark is composed; this is NFC for
     text with one mark per letter, which covers the languages handled here.
     """
+
+    def step(mark: str) -> Callable[[Column], Column]:
+        return lambda v: _compose_mark(v, mark)
+
     out = col
     for mark in MARKS:
-        bases, forms = _composed(mark)
-        if not bases:
-            continue
-        parts = F.split(out, mark)
-
-        def join(p: Column, i: Column, n: Column, bases=bases, forms=forms, mark=mark) -> Column:
-            last = F.substring(p, -1, 1)
-            done = F.when(
-                (F.length(p) > 0) & (F.instr(F.lit(bases), last) > 0),
-                F.concat(p.substr(F.lit(1), F.length(p) - 1), F.translate(last, bases, forms)),
-            ).otherwise(F.concat(p, F.lit(mark)))
-            return F.when(i < n - 1, done).otherwise(p)
-
-        n_parts = F.size(parts)
-        joined = F.array_join(F.transform(parts, lambda p, i: join(p, i, n_parts)), "")
-        out = F.when(F.contains(out, F.lit(mark)), joined).otherwise(out)
+        out = bind(out, step(mark))
     return F.when(col.rlike(r"\p{Mn}"), out).otherwise(col)

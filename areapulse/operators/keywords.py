@@ -13,42 +13,35 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areapulse.functions.text import TOKENS, word_pattern, words
+from areapulse.functions.text import word_pattern, words
 from areapulse.operators.sizing import BROADCAST_ROWS, local_table, small_side
 
 
 @dataclass(frozen=True)
 class PhraseList:
-    """Lookup table of phrases and the word counts that occur in it."""
+    """(dimension, phrase) pairs of the configuration as a lookup table.
+
+    ``plain`` are single words, which a token comparison settles; ``keys`` are the word sequences of everything else,
+    which only propose an entry.
+    """
 
     table: DataFrame
-    lengths: tuple[int, ...]
-
-
-def _keys(table: DataFrame) -> DataFrame:
-    tokens = words(F.col("phrase"))
-    return table.withColumns(
-        {
-            "phrase_key": F.array_join(tokens, " "),
-            "n_words": F.size(tokens),
-            # A single plain word needs no second look; everything else is verified on the text.
-            "plain": F.lower("phrase").rlike(rf"^{TOKENS}$"),
-        }
-    )
+    plain: tuple[str, ...]
+    keys: tuple[str, ...]
 
 
 def phrase_list(spark: SparkSession, phrases: Sequence[tuple[str, str]]) -> PhraseList:
-    """(dimension, phrase) pairs from the configuration."""
-    lengths = sorted({len(re.findall(r"\w+", p)) for _, p in phrases})
-    table = _keys(local_table(spark, phrases, "dimension string, phrase string"))
-    return PhraseList(F.broadcast(table) if len(phrases) <= BROADCAST_ROWS else table, tuple(lengths))
-
-
-def phrase_table(table: DataFrame) -> PhraseList:
-    """A stored list with a ``phrase`` column; broadcast only if it is small."""
-    keyed = _keys(table)
-    lengths = tuple(sorted(r["n_words"] for r in keyed.select("n_words").distinct().collect()))
-    return PhraseList(small_side(keyed), lengths)
+    """Lookup for (dimension, phrase) pairs."""
+    rows = []
+    for dimension, phrase in phrases:
+        tokens = re.findall(r"\w+", phrase.lower())
+        rows.append((dimension, phrase, " ".join(tokens), len(tokens), tokens == [phrase.lower()]))
+    table = local_table(spark, rows, "dimension string, phrase string, phrase_key string, n_words int, plain boolean")
+    return PhraseList(
+        F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table,
+        tuple(sorted({r[2] for r in rows if r[4]})),
+        tuple(sorted({r[2] for r in rows if not r[4]})),
+    )
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
@@ -61,27 +54,32 @@ def word_ngrams(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
-def find_phrases(df: DataFrame, text: str, lookup: PhraseList, keep: Sequence[str]) -> DataFrame:
-    """One row per text and list entry found as whole words, case-blind, with ``hits`` occurrences.
+def _exact_hits(text: Column, phrase: Column) -> Column:
+    """Whole-word occurrences of a phrase column in lowered text."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.lower(phrase), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    return F.regexp_count(F.lower(text), pattern).cast("long")
+
 
-    The n-gram lookup proposes an entry; entries with blanks or punctuation are
-    then counted on the text itself, so the result is that of a whole-word regex.
+def find_phrases(df: DataFrame, text: str, phrases: PhraseList, keep: Sequence[str]) -> DataFrame:
+    """Rows (keep..., dimension, phrase, hits) of the list entries found as whole words, case-blind.
+
+    A plain word gives one row per occurrence, a longer entry one row per text with its number of occurrences; sum the
+    hits. Tokens are compared with the list inside the row, so only hits are exploded, and only texts that hold the word
+    sequence of a longer entry are searched for it.
     """
-    columns = [c for c in lookup.table.columns if c not in ("phrase_key", "n_words", "plain")]
-    found = None
     base = df.select(*keep, F.col(text).alias("_text"), words(F.col(text)).alias("_tokens"))
-    for n in lookup.lengths:
-        part = lookup.table.where(F.col("n_words") == n).drop("n_words")
-        grams = base.select(*keep, "_text", F.explode(F.array_distinct(word_ngrams(F.col("_tokens"), n))).alias("phrase_key"), "_tokens")
-        joined = grams.join(part, "phrase_key")
-        counted = F.size(F.filter("_tokens", lambda t: t == F.col("phrase_key"))) if n == 1 else F.lit(0)
-        exact = F.regexp_count(
-            F.lower("_text"),
-            F.concat(F.lit(r"(?U)(?<![\p{L}\p{N}_])\Q"), F.lower("phrase"), F.lit(r"\E(?![\p{L}\p{N}_])")),
-        )
-        hits = F.when(F.col("plain"), counted).otherwise(exact) if n == 1 else exact
-        rows = joined.select(*keep, *columns, hits.cast("long").alias("hits")).where("hits > 0")
-        found = rows if found is None else found.unionByName(rows)
+    found = None
+    if phrases.plain:
+        hits = F.filter("_tokens", lambda t: t.isin(list(phrases.plain)))
+        rows = base.select(*keep, F.explode(hits).alias("phrase_key")).join(phrases.table.where("plain"), "phrase_key")
+        found = rows.select(*keep, "dimension", "phrase", F.lit(1).cast("long").alias("hits"))
+    if phrases.keys:
+        lengths = sorted({k.count(" ") + 1 for k in phrases.keys})
+        grams = F.concat(*[word_ngrams(F.col("_tokens"), n) for n in lengths])
+        proposed = F.array_intersect(grams, F.array(*[F.lit(k) for k in phrases.keys]))
+        rows = base.select(*keep, "_text", F.explode(proposed).alias("phrase_key")).join(phrases.table.where("not plain"), "phrase_key")
+        longer = rows.select(*keep, "dimension", "phrase", _exact_hits(F.col("_text"), F.col("phrase")).alias("hits")).where("hits > 0")
+        found = longer if found is None else found.unionByName(longer)
     return found
 
 
@@ -94,10 +92,24 @@ def tag_area_mentions(df: DataFrame, text: str, areas: Sequence[str], keep: Sequ
     return df.select(*keep, F.explode(names).alias("area"))
 
 
-def tag_area_table(df: DataFrame, text: str, areas: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """As ``tag_area_mentions`` for a long list held in a table with an ``area`` column."""
-    lookup = phrase_table(areas.select("area", F.col("area").alias("phrase")))
-    return find_phrases(df, text, lookup, keep).select(*keep, "area")
+def tag_area_table(df: DataFrame, key: str, text: str, areas: DataFrame) -> DataFrame:
+    """(key, area) as in ``tag_area_mentions`` for a long list held in a table with a column ``area``.
+
+    The distinct word n-grams of each text are joined with the names; a name of several words is then verified on the
+    text, which is fetched by key for those hits alone. The name side is broadcast only if its size allows.
+    """
+    tokens = words(F.col("area"))
+    names = areas.select("area", F.array_join(tokens, " ").alias("gram"), F.size(tokens).alias("n_words"))
+    names = names.withColumn("plain", F.col("gram") == F.lower("area"))
+    most = names.agg(F.max("n_words")).first()[0] or 1
+    held = df.select(key, words(F.col(text)).alias("_tokens"))
+    grams = F.concat(*[word_ngrams(F.col("_tokens"), n) for n in range(1, most + 1)])
+    hits = held.select(key, F.explode(F.array_distinct(grams)).alias("gram")).join(small_side(names), "gram")
+    sure = (F.col("n_words") == 1) & F.col("plain")
+    checked = (
+        hits.where(~sure).select(key, "area").join(df.select(key, text), key).where(_exact_hits(F.col(text), F.col("area")) > 0)
+    )
+    return hits.where(sure).select(key, "area").unionByName(checked.select(key, "area"))
 
 
 def tag_area_substring(df: DataFrame, text: str, areas: Sequence[str], keep: Sequence[str]) -> DataFrame:

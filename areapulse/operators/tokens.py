@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areapulse.functions.text import letter_words, words
+from areapulse.functions.text import bind, letter_words, words
 from areapulse.operators.keywords import word_ngrams
 from areapulse.operators.sizing import local_table, small_side
 
@@ -54,17 +54,20 @@ def language_route(text: Column, stop_words: Mapping[str, Sequence[str]], defaul
 
     Counted inside the row: no explode and no shuffle.
     """
-    tokens = words(text)
-    counts = [
-        F.struct(
-            F.size(F.filter(tokens, lambda t, ws=ws: t.isin(list(ws)))).alias("n"),
-            F.lit(-i).alias("order"),
-            F.lit(lang).alias("lang"),
-        )
-        for i, (lang, ws) in enumerate(sorted(stop_words.items()))
-    ]
-    best = F.array_max(F.array(*counts))
-    return F.when(best["n"] > 0, best["lang"]).otherwise(F.lit(default))
+
+    def hits(tokens: Column, listed: Sequence[str]) -> Column:
+        return F.size(F.filter(tokens, lambda t: t.isin(list(listed))))
+
+    def best(tokens: Column) -> Column:
+        counts = [
+            F.struct(hits(tokens, ws).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
+            for i, (lang, ws) in enumerate(sorted(stop_words.items()))
+        ]
+        return F.array_max(F.array(*counts))
+
+    return bind(
+        bind(words(text), best), lambda b: F.when(b["n"] > 0, b["lang"]).otherwise(F.lit(default))
+    )
 
 
 def top_words_by_group(df: DataFrame, text: str, group: str, stop: Sequence[str], n: int = 10) -> DataFrame:

@@ -44,6 +44,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+# Text work is worth a task of its own from about this many stored bytes.
+TASK_BYTES = 256 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of few, small files over the idle cores.
+
+    A file is split at its row groups, so a small table of long texts is one task. A scan that already has a task per
+    core is left alone, which is every scan at cluster size.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    stored = sum(row["length"] for row in spark.read.format("binaryFile").load(df.inputFiles()).select("length").collect())
+    wanted = min(cores, stored // TASK_BYTES)
+    return df.repartition(int(wanted)) if wanted > 1 else df
+
+
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One table with its declared schema, dealt over the cores if it is small."""
+    return spread(table(spark, folder, name))
+
+
 def scan_multi_file(spark: SparkSession, paths: str | Sequence[str], schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Every file of one or more globs in one scan, each row tagged with the base name of its file."""
     found = [paths] if isinstance(paths, str) else list(paths)
