@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from areapulse.functions.arrays import bind
+
 # Word characters and white space as Unicode classes: plain \w and \s are ASCII in Java regexes.
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85"
@@ -81,11 +83,6 @@ def _composed(mark: str) -> tuple[str, str]:
     return "".join(b for b, _ in pairs), "".join(c for _, c in pairs)
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _compose_mark(text: Column, mark: str) -> Column:
     """Join each ``letter + mark`` of one mark to its one-character form."""
     bases, forms = _composed(mark)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from areapulse.functions.arrays import explode_once, word_ngrams
 from areapulse.functions.text import word_pattern, words
 from areapulse.operators.sizing import BROADCAST_ROWS, local_table, small_side
 
@@ -44,16 +45,6 @@ def phrase_list(spark: SparkSession, phrases: Sequence[tuple[str, str]]) -> Phra
     )
 
 
-def word_ngrams(tokens: Column, n: int) -> Column:
-    """Word n-grams of a token array; n = 1 is the array itself."""
-    if n == 1:
-        return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-
-
 def _exact_hits(text: Column, phrase: Column) -> Column:
     """Whole-word occurrences of a phrase column in lowered text."""
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.lower(phrase), F.lit(r"\E(?![\p{L}\p{N}_])"))
@@ -71,13 +62,13 @@ def find_phrases(df: DataFrame, text: str, phrases: PhraseList, keep: Sequence[s
     found = None
     if phrases.plain:
         hits = F.filter("_tokens", lambda t: t.isin(list(phrases.plain)))
-        rows = base.select(*keep, F.explode(hits).alias("phrase_key")).join(phrases.table.where("plain"), "phrase_key")
+        rows = explode_once(base, keep, hits, "phrase_key").join(phrases.table.where("plain"), "phrase_key")
         found = rows.select(*keep, "dimension", "phrase", F.lit(1).cast("long").alias("hits"))
     if phrases.keys:
         lengths = sorted({k.count(" ") + 1 for k in phrases.keys})
-        grams = F.concat(*[word_ngrams(F.col("_tokens"), n) for n in lengths])
+        grams = word_ngrams(F.col("_tokens"), lengths)
         proposed = F.array_intersect(grams, F.array(*[F.lit(k) for k in phrases.keys]))
-        rows = base.select(*keep, "_text", F.explode(proposed).alias("phrase_key")).join(phrases.table.where("not plain"), "phrase_key")
+        rows = explode_once(base, [*keep, "_text"], proposed, "phrase_key").join(phrases.table.where("not plain"), "phrase_key")
         longer = rows.select(*keep, "dimension", "phrase", _exact_hits(F.col("_text"), F.col("phrase")).alias("hits")).where("hits > 0")
         found = longer if found is None else found.unionByName(longer)
     return found
@@ -89,7 +80,7 @@ def tag_area_mentions(df: DataFrame, text: str, areas: Sequence[str], keep: Sequ
     The list is short, so each text is tested in place and exploded: no join.
     """
     names = F.array_compact(F.array(*[F.when(F.col(text).rlike(word_pattern(a)), F.lit(a)) for a in areas]))
-    return df.select(*keep, F.explode(names).alias("area"))
+    return explode_once(df, keep, names, "area")
 
 
 def tag_area_table(df: DataFrame, key: str, text: str, areas: DataFrame) -> DataFrame:
@@ -103,8 +94,8 @@ def tag_area_table(df: DataFrame, key: str, text: str, areas: DataFrame) -> Data
     names = names.withColumn("plain", F.col("gram") == F.lower("area"))
     most = names.agg(F.max("n_words")).first()[0] or 1
     held = df.select(key, words(F.col(text)).alias("_tokens"))
-    grams = F.concat(*[word_ngrams(F.col("_tokens"), n) for n in range(1, most + 1)])
-    hits = held.select(key, F.explode(F.array_distinct(grams)).alias("gram")).join(small_side(names), "gram")
+    grams = word_ngrams(F.col("_tokens"), range(1, most + 1))
+    hits = explode_once(held, [key], F.array_distinct(grams), "gram").join(small_side(names), "gram")
     sure = (F.col("n_words") == 1) & F.col("plain")
     checked = (
         hits.where(~sure).select(key, "area").join(df.select(key, text), key).where(_exact_hits(F.col(text), F.col("area")) > 0)
@@ -116,7 +107,7 @@ def tag_area_substring(df: DataFrame, text: str, areas: Sequence[str], keep: Seq
     """One row per text and area whose name occurs anywhere in the lowered text."""
     low = F.lower(text)
     names = F.array_compact(F.array(*[F.when(low.contains(a.lower()), F.lit(a)) for a in areas]))
-    return df.select(*keep, F.explode(names).alias("area"))
+    return explode_once(df, keep, names, "area")
 
 
 def contains_any(text: Column, targets: Sequence[str]) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areapulse.functions.text import bind, letter_words, words
-from areapulse.operators.keywords import word_ngrams
+from areapulse.functions.arrays import bind, explode_once, word_ngrams
+from areapulse.functions.text import letter_words, words
 from areapulse.operators.sizing import local_table, small_side
 
 # Up to this size a lemma list is a literal map; longer lists are joined.
@@ -73,14 +73,14 @@ def language_route(text: Column, stop_words: Mapping[str, Sequence[str]], defaul
 def top_words_by_group(df: DataFrame, text: str, group: str, stop: Sequence[str], n: int = 10) -> DataFrame:
     """Most frequent words per group; ties by word."""
     tokens = F.filter(letter_words(F.col(text)), lambda t: ~t.isin(list(stop)) & (F.length(t) > 2))
-    counted = df.select(group, F.explode(tokens).alias("word")).groupBy(group, "word").agg(F.count(F.lit(1)).alias("count"))
+    counted = explode_once(df, [group], tokens, "word").groupBy(group, "word").agg(F.count(F.lit(1)).alias("count"))
     order = Window.partitionBy(group).orderBy(F.desc("count"), F.asc("word"))
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def ngrams_1_3(tokens: Column) -> Column:
     """Word n-grams of length 1 to 3."""
-    return F.concat(word_ngrams(tokens, 1), word_ngrams(tokens, 2), word_ngrams(tokens, 3))
+    return word_ngrams(tokens, (1, 2, 3))
 
 
 def vocab_prune(df: DataFrame, terms: str, min_df: float, max_df: float) -> DataFrame:
@@ -89,7 +89,7 @@ def vocab_prune(df: DataFrame, terms: str, min_df: float, max_df: float) -> Data
     At most mean-terms-per-text / min_df terms can pass, whatever the number of texts.
     """
     n_docs = df.agg(F.count(F.lit(1)).alias("n"))
-    freq = df.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    freq = explode_once(df, [], F.array_distinct(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
     n = n_docs.scalar()
     return freq.where((F.col("doc_freq") >= F.lit(min_df) * n) & (F.col("doc_freq") <= F.lit(max_df) * n))
 
@@ -101,14 +101,14 @@ def doc_term_counts(df: DataFrame, key: str, terms: str, vocabulary: DataFrame)
     one task is bounded.
     """
     ids = vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"))
-    at = df.select(key, F.explode(terms).alias("term")).join(small_side(ids, 2_000_000), "term")
+    at = explode_once(df, [key], terms, "term").join(small_side(ids, 2_000_000), "term")
     return at.groupBy(key, "term_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def topic_keyword_frequency(topics: DataFrame, topic: str, keywords: str, n: int = 30) -> DataFrame:
     """How often each word is a keyword of a topic over all areas; the ``n`` most frequent per topic, ties by word."""
     counted = (
-        topics.select(topic, F.explode(F.split(keywords, ", ")).alias("word"))
+        explode_once(topics, [topic], F.split(keywords, ", "), "word")
         .groupBy(topic, "word")
         .agg(F.count(F.lit(1)).alias("count"))
     )
