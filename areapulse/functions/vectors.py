@@ -29,7 +29,8 @@ def cosine_to(prototypes: Sequence[Sequence[float]]) -> Callable[[Column], Colum
                 rows = np.stack(batch[keep].to_numpy()).astype(np.float64)
                 length = np.linalg.norm(rows, axis=1, keepdims=True)
                 rows = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
-                out[keep] = list(rows @ unit.T)
+                for at, row in zip(np.flatnonzero(keep), rows @ unit.T):
+                    out[at] = row
             yield pd.Series(out)
 
     return scores
