@@ -354,4 +354,3 @@ def results_wide(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("nation", *[F.round(c, 6).alias(c) for c in wide.columns if c != "nation"])
 
 
-__all__ = ["NUMERICS", "nation_panel"]
