@@ -272,9 +272,28 @@ def pls_select_components(df: DataFrame, features: Sequence[str], target: str, f
     return local_table(df.sparkSession, rows, "components int, mse double, best boolean")
 
 
+class ForestModel(RandomForestRegressionModel):
+    """Forest without the eager tree wrappers.
+
+    The parent lists its parameters by reading every attribute, which wraps each tree in Python and costs more than a
+    small fit. A plain property is not read.
+    """
+
+    @property
+    def trees(self):
+        return [t for t in self._call_java("trees")]
+
+
+class Forest(RandomForestRegressor):
+    """Forest estimator that returns ``ForestModel``."""
+
+    def _create_model(self, java_model) -> ForestModel:
+        return ForestModel(java_model)
+
+
 def random_forest(df: DataFrame, features: Sequence[str], target: str, **settings: int) -> RandomForestRegressionModel:
     """Forest on all features of each split."""
-    forest = RandomForestRegressor(
+    forest = Forest(
         labelCol=target, featuresCol="features", featureSubsetStrategy="all", **{**FOREST, **settings}
     )
     return forest.fit(_assembled(df, features).select("features", target))
@@ -295,7 +314,7 @@ def grid_search(df: DataFrame, features: Sequence[str], target: str, fold: str,
 
     A fold per row (leave-one-out) is for panels of some hundred rows; larger ones use k folds.
     """
-    forest = RandomForestRegressor(labelCol=target, featuresCol="features", featureSubsetStrategy="all", seed=FOREST["seed"])
+    forest = Forest(labelCol=target, featuresCol="features", featureSubsetStrategy="all", seed=FOREST["seed"])
     builder = ParamGridBuilder()
     for name, values in (grid or GRID).items():
         builder = builder.addGrid(forest.getParam(name), list(values))
