@@ -14,7 +14,7 @@ from areapulse.params import FOLDS
 from areapulse.plans import news
 from areapulse.plans.nowcast import nowcast as nowcast_plan
 from areapulse.session import cut_lineage
-from areapulse.sources.tables import table, text_table
+from areapulse.sources.tables import spread_rows, table, text_table
 
 FEATURES = ("l_quantity", "l_discount", "l_tax")
 TARGET = "l_extendedprice"
@@ -74,7 +74,7 @@ def _training(spark: SparkSession, sf: str) -> DataFrame:
     """Customer panel, scaled and with folds, written once for the learners that read it many times."""
     panel = cut_lineage(customer_panel(spark, sf), "customer-panel")
     scaled = modelling.standardize(panel, panel, CUSTOMER_FEATURES)
-    return cut_lineage(modelling.fold_assign(scaled, "c_custkey", FOLDS), "customer-training")
+    return spread_rows(cut_lineage(modelling.fold_assign(scaled, "c_custkey", FOLDS), "customer-training"))
 
 
 @query()

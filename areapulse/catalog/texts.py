@@ -19,10 +19,12 @@ from areapulse.catalog.registry import (
     sql_words,
 )
 from areapulse.functions import text as tx
+from areapulse.functions.arrays import with_computed
 from areapulse.functions.text import SPACE
 from areapulse.operators import keywords as kw
 from areapulse.operators import reshape, tokens
 from areapulse.params import DEFAULT_LANGUAGE, STOP_WORDS
+from areapulse.session import cut_lineage
 from areapulse.sources.tables import text_table as table
 
 
@@ -62,8 +64,8 @@ def clean_text_alpha(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def min_length_filter(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = table(spark, sf, "documents").select("doc_id", F.length(tx.clean_text(F.col("text"))).alias("n_chars"))
-    return cleaned.where("n_chars >= 10")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return with_computed(docs, "n_chars", F.length(tx.clean_text(F.col("text")))).where("n_chars >= 10").drop("text")
 
 
 SOURCE_ALIASES = {"src1": "Fuente Uno", "src2": "Fuente Dos", "src10": "Fuente Diez"}
@@ -241,8 +243,8 @@ def lemma_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def min_token_filter(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", tokens.tokenise_filter(F.col("text"), ALL_STOP).alias("t"))
-    return tokens.min_token_filter(docs, "t", 10).drop("t")
+    docs = with_computed(table(spark, sf, "documents").select("doc_id", "text"), "t", tokens.tokenise_filter(F.col("text"), ALL_STOP))
+    return tokens.min_token_filter(docs, "t", 10).drop("t", "text")
 
 
 _HITS = ", ".join(
@@ -321,7 +323,9 @@ def vocab_prune(spark: SparkSession, sf: str) -> DataFrame:
 )
 def doc_term_counts(spark: SparkSession, sf: str) -> DataFrame:
     grams = _grams(spark, sf)
-    counts = tokens.doc_term_counts(grams, "doc_id", "g", tokens.vocab_prune(grams, "g", MIN_DF, MAX_DF))
+    # The pruned vocabulary is small and read twice.
+    vocabulary = cut_lineage(tokens.vocab_prune(grams, "g", MIN_DF, MAX_DF), "vocabulary")
+    counts = tokens.doc_term_counts(grams, "doc_id", "g", vocabulary)
     return counts.select("doc_id", F.col("term_id").cast("long").alias("term_id"), "tf")
 
 

@@ -13,6 +13,15 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that later filters and projections read instead of repeating it.
+
+    A filter on a plain projection is pushed below it together with the whole expression, which is then computed twice.
+    An exploded one-element array stays where it is.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def explode_once(df: DataFrame, keep: Sequence[str], array: Column | str, name: str) -> DataFrame:
     """One row per element of a computed array without nulls.
 

@@ -3,33 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areapulse.functions.numeric import round_even, share
-from areapulse.operators.sizing import local_table, small_side
+from areapulse.operators.sizing import local_table
 
 
-def _grid(areas: DataFrame, area: str, dimensions: Sequence[str]) -> DataFrame:
-    """Every area with every dimension of the fixed list."""
-    return areas.select(area).distinct().select(area, F.explode(F.array(*[F.lit(d) for d in dimensions])).alias("dimension"))
+def _cells(dimensions: Sequence[str], **values: dict[str, Column]) -> Column:
+    """Array of one struct per dimension from per-dimension columns, to be unfolded with ``inline``."""
+    return F.array(
+        *[F.struct(F.lit(d).alias("dimension"), *[v[d].alias(name) for name, v in values.items()]) for d in dimensions]
+    )
 
 
 def dimension_shares(df: DataFrame, area: str, dimension: str, dimensions: Sequence[str], areas: DataFrame | None = None) -> DataFrame:
     """Complete area x dimension grid: count, percentage of the area's texts, total. Empty areas get 0.
 
-    One aggregate of the data: its area x dimension rows feed both the grid and the totals.
+    One aggregate with a count per dimension of the fixed list, unfolded afterwards: each task ships one row per area,
+    and the grid needs no join.
     """
-    counts = df.groupBy(F.col(area), F.col(dimension).alias("dimension")).agg(F.count(F.lit(1)).alias("count"))
-    grid = _grid(areas if areas is not None else df, area, dimensions)
-    total = F.sum("count").over(Window.partitionBy(area))
-    return (
-        grid.join(counts, [area, "dimension"], "left")
-        .na.fill(0, ["count"])
-        .withColumn("total_posts", total)
-        .withColumn("percentage", share(F.col("count"), F.col("total_posts")))
-    )
+    counts = [F.count_if(F.col(dimension) == d).alias(f"n{i}") for i, d in enumerate(dimensions)]
+    per_area = df.groupBy(area).agg(*counts)
+    if areas is not None:
+        per_area = areas.select(area).distinct().join(per_area, area, "left")
+    n = {d: F.coalesce(f"n{i}", F.lit(0)) for i, d in enumerate(dimensions)}
+    total = reduce(add, n.values())
+    percentages = {d: share(c, total) for d, c in n.items()}
+    return per_area.select(area, total.alias("total_posts"), F.inline(_cells(dimensions, count=n, percentage=percentages)))
 
 
 def conditional_sentiment(
@@ -38,38 +42,27 @@ def conditional_sentiment(
     """Mean sentiment, mentions and share per area and dimension, 0 when none, with the area totals on each row.
 
     ``parent`` and ``raw`` flag rows that are parents or raw comments; the totals count them before any filter on
-    the dimension (a null dimension marks a text that was dropped).
+    the dimension (a null dimension marks a text that was dropped). One aggregate, no join.
     """
-    flags = [F.lit(0) if c is None else F.col(c).cast("int") for c in (parent, raw)]
-    cells = df.groupBy(F.col(area), F.col(dimension).alias("dimension")).agg(
-        F.sum(sentiment).alias("_sum"),
-        F.count(F.lit(1)).alias("mentions_count"),
-        F.sum(flags[0]).alias("_parents"),
-        F.sum(flags[1]).alias("_raw"),
-    )
-    totals = cells.groupBy(area).agg(
-        F.sum(F.when(F.col("dimension").isNotNull(), F.col("mentions_count")).otherwise(0)).alias("_all"),
-        F.sum("_parents").alias("videos_analyzed"),
-        F.sum("_raw").alias("comments_analyzed"),
-    )
-    grid = totals.select("*", F.explode(F.array(*[F.lit(d) for d in dimensions])).alias("dimension"))
-    filled = grid.join(cells.drop("_parents", "_raw"), [area, "dimension"], "left").na.fill(0, ["mentions_count", "_sum"])
-    mean = F.when(F.col("mentions_count") > 0, F.col("_sum") / F.col("mentions_count")).otherwise(F.lit(0.0))
-    return filled.select(
-        area,
-        "dimension",
-        mean.alias("avg_sentiment"),
-        "mentions_count",
-        share(F.col("mentions_count"), F.col("_all")).alias("percentage_of_total"),
-        "videos_analyzed",
-        "comments_analyzed",
-    )
+    parents, raws = (F.lit(0).cast("long") if c is None else F.count_if(F.col(c)) for c in (parent, raw))
+    cells = []
+    for i, d in enumerate(dimensions):
+        here = F.col(dimension) == d
+        cells += [F.count_if(here).alias(f"n{i}"), F.sum(F.when(here, F.col(sentiment))).alias(f"s{i}")]
+    per_area = df.groupBy(area).agg(*cells, parents.alias("videos_analyzed"), raws.alias("comments_analyzed"))
+    n = {d: F.col(f"n{i}") for i, d in enumerate(dimensions)}
+    total = reduce(add, n.values())
+    means = {d: F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")).otherwise(F.lit(0.0)) for i, d in enumerate(dimensions)}
+    percentages = {d: share(c, total) for d, c in n.items()}
+    unfolded = _cells(dimensions, avg_sentiment=means, mentions_count=n, percentage_of_total=percentages)
+    return per_area.select(area, F.inline(unfolded), "videos_analyzed", "comments_analyzed")
 
 
 def comment_counts_only(df: DataFrame, area: str, dimension: str, dimensions: Sequence[str]) -> DataFrame:
     """Texts per area and dimension of the list, 0 when none."""
-    counts = df.groupBy(F.col(area), F.col(dimension).alias("dimension")).agg(F.count(F.lit(1)).alias("count"))
-    return _grid(df, area, dimensions).join(counts, [area, "dimension"], "left").na.fill(0, ["count"])
+    counts = [F.count_if(F.col(dimension) == d).alias(f"n{i}") for i, d in enumerate(dimensions)]
+    n = {d: F.col(f"n{i}") for i, d in enumerate(dimensions)}
+    return df.groupBy(area).agg(*counts).select(area, F.inline(_cells(dimensions, count=n)))
 
 
 def overall_totals(df: DataFrame, area: str, dimension: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areapulse.functions.arrays import explode_once, word_ngrams
+from areapulse.functions.arrays import bind, explode_once, word_ngrams
 from areapulse.functions.text import word_pattern, words
 from areapulse.operators.sizing import BROADCAST_ROWS, local_table, small_side
 
@@ -58,20 +58,23 @@ def find_phrases(df: DataFrame, text: str, phrases: PhraseList, keep: Sequence[s
     hits. Tokens are compared with the list inside the row, so only hits are exploded, and only texts that hold the word
     sequence of a longer entry are searched for it.
     """
-    base = df.select(*keep, F.col(text).alias("_text"), words(F.col(text)).alias("_tokens"))
-    found = None
-    if phrases.plain:
-        hits = F.filter("_tokens", lambda t: t.isin(list(phrases.plain)))
-        rows = explode_once(base, keep, hits, "phrase_key").join(phrases.table.where("plain"), "phrase_key")
-        found = rows.select(*keep, "dimension", "phrase", F.lit(1).cast("long").alias("hits"))
-    if phrases.keys:
-        lengths = sorted({k.count(" ") + 1 for k in phrases.keys})
-        grams = word_ngrams(F.col("_tokens"), lengths)
-        proposed = F.array_intersect(grams, F.array(*[F.lit(k) for k in phrases.keys]))
-        rows = explode_once(base, [*keep, "_text"], proposed, "phrase_key").join(phrases.table.where("not plain"), "phrase_key")
-        longer = rows.select(*keep, "dimension", "phrase", _exact_hits(F.col("_text"), F.col("phrase")).alias("hits")).where("hits > 0")
-        found = longer if found is None else found.unionByName(longer)
-    return found
+    tokens, low = words(F.col(text)), F.lower(text)
+    lengths = sorted({k.count(" ") + 1 for k in phrases.keys})
+
+    def hits(t: Column) -> Column:
+        none = F.lit(None).cast("string")
+        plain = F.filter(t, lambda w: w.isin(list(phrases.plain))) if phrases.plain else F.array().cast("array<string>")
+        found = F.transform(plain, lambda w: F.struct(w.alias("phrase_key"), none.alias("in_text")))
+        if not phrases.keys:
+            return found
+        proposed = F.array_intersect(word_ngrams(t, lengths), F.array(*[F.lit(k) for k in phrases.keys]))
+        return F.concat(found, F.transform(proposed, lambda k: F.struct(k.alias("phrase_key"), low.alias("in_text"))))
+
+    rows = explode_once(df, keep, bind(tokens, hits), "_hit")
+    rows = rows.select(*keep, "_hit.*").withColumn("plain", F.col("in_text").isNull())
+    joined = rows.join(phrases.table, ["phrase_key", "plain"])
+    n = F.when(F.col("plain"), F.lit(1).cast("long")).otherwise(_exact_hits(F.col("in_text"), F.col("phrase")))
+    return joined.select(*keep, "dimension", "phrase", n.alias("hits")).where("hits > 0")
 
 
 def tag_area_mentions(df: DataFrame, text: str, areas: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -91,16 +94,17 @@ def tag_area_table(df: DataFrame, key: str, text: str, areas: DataFrame) -> Data
     """
     tokens = words(F.col("area"))
     names = areas.select("area", F.array_join(tokens, " ").alias("gram"), F.size(tokens).alias("n_words"))
-    names = names.withColumn("plain", F.col("gram") == F.lower("area"))
-    most = names.agg(F.max("n_words")).first()[0] or 1
-    held = df.select(key, words(F.col(text)).alias("_tokens"))
-    grams = word_ngrams(F.col("_tokens"), range(1, most + 1))
-    hits = explode_once(held, [key], F.array_distinct(grams), "gram").join(small_side(names), "gram")
-    sure = (F.col("n_words") == 1) & F.col("plain")
-    checked = (
-        hits.where(~sure).select(key, "area").join(df.select(key, text), key).where(_exact_hits(F.col(text), F.col("area")) > 0)
-    )
-    return hits.where(sure).select(key, "area").unionByName(checked.select(key, "area"))
+    plain = names.where(F.col("gram") == F.lower("area")).where("n_words = 1").select("area", "gram")
+    other = names.where((F.col("gram") != F.lower("area")) | (F.col("n_words") > 1))
+    lengths = sorted(r["n_words"] for r in other.select("n_words").distinct().collect())
+    found = F.array_distinct(words(F.col(text)))
+    sure = explode_once(df, [key], found, "gram").join(small_side(plain), "gram").select(key, "area")
+    if not lengths:
+        return sure
+    grams = F.array_distinct(word_ngrams(words(F.col(text)), lengths))
+    proposed = explode_once(df, [key], grams, "gram").join(small_side(other.select("area", "gram")), "gram")
+    checked = proposed.join(df.select(key, text), key).where(_exact_hits(F.col(text), F.col("area")) > 0)
+    return sure.unionByName(checked.select(key, "area"))
 
 
 def tag_area_substring(df: DataFrame, text: str, areas: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from areapulse.session import cut_lineage
+
 
 def _bucket_count(df: DataFrame) -> int:
     """Enough buckets for the cluster: some per shuffle partition, so each one stays task-sized."""
@@ -39,7 +41,8 @@ def value_ranks(df: DataFrame, value: str, group: Sequence[str] = (), buckets: i
     ``first rank = before + 1`` and ``average rank = before + (n + 1) / 2``.
     """
     group = list(group)
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    # Read three times below: for the borders, the local ranks and the bucket totals.
+    counts = cut_lineage(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")), "value-counts")
     cut = _bucketed(counts, value, buckets)
     inside = Window.partitionBy(*group, "_bucket").orderBy(value)
     below = inside.rowsBetween(Window.unboundedPreceding, -1)

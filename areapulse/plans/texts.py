@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from areapulse.functions.arrays import with_computed
 from areapulse.functions.text import clean_text
 from areapulse.operators import indicators, keywords, scoring, tokens
 from areapulse.params import DIMENSIONS, MIN_CHARS, OTHER, THRESHOLD
@@ -14,9 +15,9 @@ from areapulse.params import DIMENSIONS, MIN_CHARS, OTHER, THRESHOLD
 
 def classed_by_words(df: DataFrame, text: str, lists: Mapping[str, Sequence[str]]) -> DataFrame:
     """``clean`` text and the ``dimension`` whose word list it hits most; OTHER for short texts and those without hits."""
-    cleaned = df.withColumn("clean", clean_text(F.col(text)))
-    best = tokens.language_route(F.col("clean"), lists, OTHER)
-    return cleaned.withColumn("dimension", F.when(F.length("clean") < MIN_CHARS, F.lit(OTHER)).otherwise(best))
+    cleaned = with_computed(df, "clean", clean_text(F.col(text)))
+    best = F.coalesce(tokens.language_route(F.col("clean"), lists, OTHER), F.lit(OTHER))
+    return with_computed(cleaned, "dimension", F.when(F.length("clean") < MIN_CHARS, F.lit(OTHER)).otherwise(best))
 
 
 def area_shares(df: DataFrame, area: str, text: str, lists: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -35,7 +36,7 @@ def classed_by_vectors(
     **encoder: object,
 ) -> DataFrame:
     """``clean`` text and ``dimension`` from the nearest prototype. Each text is encoded once, whatever its areas."""
-    cleaned = df.withColumn("clean", clean_text(F.col(text)))
+    cleaned = with_computed(df, "clean", clean_text(F.col(text)))
     scored = scoring.cosine_scores(scoring.encode_text(cleaned, "clean", "vector", **encoder), "vector", prototypes)
     best = scoring.classify_threshold(F.col("scores"), labels, threshold, OTHER, strict)
     short = F.length("clean") < MIN_CHARS
