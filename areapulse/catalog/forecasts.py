@@ -14,7 +14,7 @@ from areapulse.params import FOLDS
 from areapulse.plans import news
 from areapulse.plans.nowcast import nowcast as nowcast_plan
 from areapulse.session import cut_lineage
-from areapulse.sources.tables import spread_rows, table, text_table
+from areapulse.sources.tables import spread, spread_rows, table, text_table
 
 FEATURES = ("l_quantity", "l_discount", "l_tax")
 TARGET = "l_extendedprice"
@@ -251,7 +251,7 @@ def nowcast(spark: SparkSession, sf: str) -> DataFrame:
 
 def _predicted(spark: SparkSession, sf: str) -> DataFrame:
     """Three simple predictors of the price, long form."""
-    lines = _lines(spark, sf)
+    lines = spread(_lines(spark, sf))
     cells = F.array(
         F.struct(F.lit("rf").alias("model"), (F.col("l_quantity") * 1500.0).alias("predicted")),
         F.struct(F.lit("pls").alias("model"), (F.col("l_quantity") * 1200.0 + 9000.0).alias("predicted")),
@@ -330,7 +330,7 @@ def shifted_component(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, sf: str) -> news.TopicFit:
-    terms = news.article_terms(text_table(spark, sf, "documents").select("doc_id", "source", "text"), "text", ALL_STOP)
+    terms = news.article_tokens(text_table(spark, sf, "documents").select("doc_id", "source", "text"), "text", ALL_STOP)
     return news.fit_topics(terms, ["doc_id", "source"], min_df=0.01, max_df=0.6)
 
 

@@ -296,9 +296,12 @@ def ngrams_1_3(spark: SparkSession, sf: str) -> DataFrame:
     return grams.select("doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", "|")).alias("gram_hash"))
 
 
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", tokens.tokenise_filter(F.col("text"), ALL_STOP).alias("t"))
+
+
 def _grams(spark: SparkSession, sf: str) -> DataFrame:
-    toks = table(spark, sf, "documents").select("doc_id", tokens.tokenise_filter(F.col("text"), ALL_STOP).alias("t"))
-    return toks.select("doc_id", tokens.ngrams_1_3(F.col("t")).alias("g"))
+    return _tokens(spark, sf).select("doc_id", tokens.ngrams_1_3(F.col("t")).alias("g"))
 
 
 MIN_DF, MAX_DF = 0.01, 0.6
@@ -312,7 +315,7 @@ _VOCAB = f"""
 
 @query(f"WITH {_VOCAB} SELECT term, doc_freq FROM v")
 def vocab_prune(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.vocab_prune(_grams(spark, sf), "g", MIN_DF, MAX_DF)
+    return tokens.ngram_vocabulary(_tokens(spark, sf), "t", (1, 2, 3), MIN_DF, MAX_DF)
 
 
 @query(
@@ -324,7 +327,7 @@ def vocab_prune(spark: SparkSession, sf: str) -> DataFrame:
 def doc_term_counts(spark: SparkSession, sf: str) -> DataFrame:
     grams = _grams(spark, sf)
     # The pruned vocabulary is small and read twice.
-    vocabulary = cut_lineage(tokens.vocab_prune(grams, "g", MIN_DF, MAX_DF), "vocabulary")
+    vocabulary = cut_lineage(vocab_prune(spark, sf), "vocabulary")
     counts = tokens.doc_term_counts(grams, "doc_id", "g", vocabulary)
     return counts.select("doc_id", F.col("term_id").cast("long").alias("term_id"), "tf")
 

@@ -54,8 +54,8 @@ def train_test_protocol(df: DataFrame, period: str, train: Sequence[int], test:
 
 def fold_assign(df: DataFrame, key: str, k: int = FOLDS, out: str = "fold") -> DataFrame:
     """k contiguous folds in key order; the first n % k folds have one row more."""
+    n = df.count()
     numbered = number_rows(df, key, "_id")
-    n = numbered.count()
     long, rest = n // k + 1, n % k
     cut = long * rest
     head = F.floor(F.col("_id") / F.lit(long))

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from areapulse.session import cut_lineage
 
 
+# Up to this many counted rows one task orders a group faster than a bucketed plan starts.
+ONE_TASK_ROWS = 200_000
+
+
 def _bucket_count(df: DataFrame) -> int:
     """Enough buckets for the cluster: some per shuffle partition, so each one stays task-sized."""
     return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -35,7 +39,9 @@ def _bucketed(df: DataFrame, value: str, buckets: int | None) -> DataFrame:
     return Bucketizer(splits=splits, inputCol="_v", outputCol="_bucket", handleInvalid="keep").transform(cast).drop("_v")
 
 
-def value_ranks(df: DataFrame, value: str, group: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+def value_ranks(
+    df: DataFrame, value: str, group: Sequence[str] = (), buckets: int | None = None, one_task: int = ONE_TASK_ROWS
+) -> DataFrame:
     """Per distinct (group, value): ``n`` rows, ``before`` rows and ``dense`` distinct values below, within the group.
 
     ``first rank = before + 1`` and ``average rank = before + (n + 1) / 2``.
@@ -43,6 +49,11 @@ def value_ranks(df: DataFrame, value: str, group: Sequence[str] = (), buckets: i
     group = list(group)
     # Read three times below: for the borders, the local ranks and the bucket totals.
     counts = cut_lineage(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    if counts.count() <= one_task:
+        inside = Window.partitionBy(*group).orderBy(value)
+        below = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        dense = F.row_number().over(inside).cast("long")
+        return counts.select(*group, value, "n", F.coalesce(below, F.lit(0)).alias("before"), dense.alias("dense"))
     cut = _bucketed(counts, value, buckets)
     inside = Window.partitionBy(*group, "_bucket").orderBy(value)
     below = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -65,8 +76,12 @@ def value_ranks(df: DataFrame, value: str, group: Sequence[str] = (), buckets: i
     )
 
 
-def number_rows(df: DataFrame, key: str, out: str = "row_id", buckets: int | None = None) -> DataFrame:
+def number_rows(
+    df: DataFrame, key: str, out: str = "row_id", buckets: int | None = None, one_task: int = ONE_TASK_ROWS
+) -> DataFrame:
     """0-based position of each row in the order of a unique numeric ``key``."""
+    if df.count() <= one_task:
+        return df.withColumn(out, F.row_number().over(Window.orderBy(key)).cast("long") - 1)
     cut = _bucketed(df, key, buckets)
     totals = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # One row per bucket, a few per shuffle partition.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,6 +95,43 @@ def vocab_prune(df: DataFrame, terms: str, min_df: float, max_df: float) -> Data
     return freq.where((F.col("doc_freq") >= F.lit(min_df) * n) & (F.col("doc_freq") <= F.lit(max_df) * n))
 
 
+# Frequent words are tested inside the row up to this many; beyond it the n-grams are counted unpruned.
+FREQUENT_WORDS = 50_000
+
+
+def frequent_ngrams(tokens: Column, lengths: Sequence[int], frequent: Sequence[str]) -> Column:
+    """Word n-grams made of frequent words only."""
+
+    def of_length(t: Column, n: int) -> Column:
+        none = F.array().cast("array<int>")
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(none)
+        # Joining with a null word gives null.
+        return F.transform(starts, lambda i: reduce(lambda a, k: F.concat(a, F.lit(" "), t[i + k]), range(1, n), t[i]))
+
+    marked = F.transform(tokens, lambda w: F.when(w.isin(list(frequent)), w))
+    return F.array_compact(bind(marked, lambda t: F.concat(*[of_length(t, n) for n in lengths])))
+
+
+def ngram_vocabulary(df: DataFrame, tokens: str, lengths: Sequence[int], min_df: float, max_df: float) -> DataFrame:
+    """``vocab_prune`` of the word n-grams of a token column.
+
+    An n-gram is never in more texts than its rarest word. So the words are counted first, and only n-grams of words that
+    reach ``min_df`` are formed, shuffled and counted; the result is the same and most n-grams never leave their task.
+    """
+    n = df.count()
+    each = explode_once(df, [], F.array_distinct(tokens), "term").groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    reached = each.where(F.col("doc_freq") >= F.lit(min_df) * n).select("term").limit(FREQUENT_WORDS + 1)
+    frequent = [r["term"] for r in reached.collect()]
+    if len(frequent) > FREQUENT_WORDS:
+        grams = word_ngrams(F.col(tokens), lengths)
+    elif frequent:
+        grams = frequent_ngrams(F.col(tokens), lengths, frequent)
+    else:
+        grams = F.array().cast("array<string>")
+    freq = explode_once(df, [], F.array_distinct(grams), "term").groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    return freq.where((F.col("doc_freq") >= F.lit(min_df) * n) & (F.col("doc_freq") <= F.lit(max_df) * n))
+
+
 def doc_term_counts(df: DataFrame, key: str, terms: str, vocabulary: DataFrame) -> DataFrame:
     """(key, term_id, tf) with term ids in alphabetical order of the vocabulary.
 

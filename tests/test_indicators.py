@@ -127,8 +127,8 @@ def test_post_shares_count_each_area_and_short_posts(spark):
 
 def test_topics_separate_two_themes(spark):
     rows = [(i, "A", ["pan", "leche", "queso"] if i % 2 else ["gol", "juego", "equipo"]) for i in range(60)]
-    df = spark.createDataFrame(rows, "id int, area string, terms array<string>")
-    fit = news.fit_topics(df, ["id", "area"], min_df=0.1, max_df=0.9, k=2, alpha=0.1, eta=0.1)
+    df = spark.createDataFrame(rows, "id int, area string, tokens array<string>")
+    fit = news.fit_topics(df, ["id", "area"], lengths=(1,), min_df=0.1, max_df=0.9, k=2, alpha=0.1, eta=0.1)
     top = [set(r["keywords"].split(", ")) for r in topics.topic_top_terms(fit.model, fit.vocabulary, 3).collect()]
     assert {"pan", "leche", "queso"} in top and {"gol", "juego", "equipo"} in top
     panel = news.topic_panel(fit, ["area"], ["t0", "t1"]).first()

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from areapulse.operators import ingest, ranking, reshape, scoring
@@ -90,12 +91,14 @@ def test_partitioned_csv_round_trip(spark):
     assert sorted(tuple(r) for r in back.collect()) == [(1, "a"), (2, "b"), (3, "a")]
 
 
-def test_row_numbers_and_ranks_with_a_hot_group(spark):
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_row_numbers_and_ranks_with_a_hot_group(spark, one_task):
     rows = [(i, "hot" if i % 3 else "cold", float(i % 7 if i % 5 else 1)) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, g string, v double")
-    numbered = ranking.number_rows(df, "id").orderBy("id").collect()
+    numbered = ranking.number_rows(df, "id", one_task=one_task).orderBy("id").collect()
     assert [r["row_id"] for r in numbered] == list(range(2000))
-    got = {(r["g"], r["v"]): (r["n"], r["before"], r["dense"]) for r in ranking.value_ranks(df, "v", ["g"]).collect()}
+    ranks = ranking.value_ranks(df, "v", ["g"], one_task=one_task).collect()
+    got = {(r["g"], r["v"]): (r["n"], r["before"], r["dense"]) for r in ranks}
     for g in ("hot", "cold"):
         values = [v for _, h, v in rows if h == g]
         for d, v in enumerate(sorted(set(values)), start=1):

@@ -124,6 +124,15 @@ def test_ngrams(spark):
     assert [r["g"] for r in got.collect()] == [["a", "b", "c", "a b", "b c", "a b c"], ["a"], []]
 
 
+def test_pruned_ngrams_equal_plain_counting(spark):
+    docs = [["a", "b", "c", f"r{i}", "a", "b"] if i % 2 else ["b", "c", "a"] for i in range(12)] + [[]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "id int, t array<string>")
+    plain = tokens.vocab_prune(df.withColumn("g", tokens.ngrams_1_3(F.col("t"))), "g", 0.3, 0.6)
+    pruned = tokens.ngram_vocabulary(df, "t", (1, 2, 3), 0.3, 0.6)
+    got, want = (sorted(tuple(r) for r in d.select("term", "doc_freq").collect()) for d in (pruned, plain))
+    assert got == want and len(got) > 3
+
+
 def test_vocabulary_bounds(spark):
     df = spark.createDataFrame([(i, ["all", f"t{i % 2}", f"u{i}"]) for i in range(10)], "id int, t array<string>")
     assert {r["term"] for r in tokens.vocab_prune(df, "t", 0.2, 0.6).collect()} == {"t0", "t1"}
