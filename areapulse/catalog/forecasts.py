@@ -305,27 +305,31 @@ def compare_models(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PAIR = f"""
-    s AS (SELECT {_STATS} FROM lineitem),
-    z AS (SELECT {', '.join(_KEY)}, ((l_quantity - m_l_quantity) / s_l_quantity + (l_extendedprice - m_l_extendedprice) / s_l_extendedprice) / sqrt(2) AS pc
-          FROM lineitem, s)
+    c AS (SELECT {', '.join(_KEY)}, l_quantity AS a, l_quantity * 1000.0 + l_extendedprice AS b FROM lineitem),
+    s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM c),
+    z AS (SELECT {', '.join(_KEY)}, ((a - ma) / sa + (b - mb) / sb) / sqrt(2) AS pc FROM c, s)
 """
 
 
+def _pair(spark: SparkSession, sf: str) -> DataFrame:
+    """Two positively correlated columns: their PC1 is the scaled sum."""
+    return _lines(spark, sf).select(*_KEY, F.col("l_quantity").alias("a"), (F.col("l_quantity") * 1000.0 + F.col(TARGET)).alias("b"))
+
+
 @query(
     f"""
     WITH {_PAIR} SELECT {', '.join(_KEY)}, round((pc - (SELECT min(pc) FROM z)) / (SELECT max(pc) - min(pc) FROM z) * 100.0, 5) AS latent_index FROM z
     """
 )
 def latent_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Two positively correlated columns: PC1 is their scaled sum."""
-    scored = modelling.latent_index(_lines(spark, sf), ["l_quantity", TARGET])
+    scored = modelling.latent_index(_pair(spark, sf), ["a", "b"])
     return scored.select(*_KEY, F.round("latent_index", 5).alias("latent_index"))
 
 
 @query(f"WITH {_PAIR} SELECT {', '.join(_KEY)}, round(pc + abs((SELECT min(pc) FROM z)) + 10, 5) AS score FROM z")
 def shifted_component(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _lines(spark, sf)
-    model = modelling.shifted_component(lines, ["l_quantity", TARGET], 10.0)
+    lines = _pair(spark, sf)
+    model = modelling.shifted_component(lines, ["a", "b"], 10.0)
     return lines.select(*_KEY, F.round(model.score(), 5).alias("score"))
 
 

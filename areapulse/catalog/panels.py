@@ -9,6 +9,7 @@ from areapulse.catalog.indicators import NUMERICS, PRIORITIES
 from areapulse.catalog.registry import query
 from areapulse.operators import reshape
 from areapulse.params import OFFICIAL_TO_PREDICTED, RED_GREEN
+from areapulse.session import cut_lineage
 from areapulse.sources import tables
 from areapulse.sources.tables import table
 
@@ -78,7 +79,7 @@ def _slug(priority: str) -> str:
 
 _PIVOT = ", ".join(
     f"""count(*) FILTER (o_orderpriority = '{p}') AS "{_slug(p)}_n", """
-    f"""round(avg(o_totalprice) FILTER (o_orderpriority = '{p}'), 4) AS "{_slug(p)}_mean" """
+    f"""round(sum(o_totalprice) FILTER (o_orderpriority = '{p}'), 2) / count(*) FILTER (o_orderpriority = '{p}') AS "{_slug(p)}_mean" """
     for p in PRIORITIES
 )
 
@@ -92,7 +93,7 @@ def pivot_metrics(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
     )
     joined = per_customer.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
-    metrics = {"n": F.coalesce(F.sum("n"), F.lit(0)), "mean": F.round(F.sum("total") / F.sum("n"), 4)}
+    metrics = {"n": F.coalesce(F.sum("n"), F.lit(0)), "mean": F.round(F.sum("total"), 2) / F.sum("n")}
     wide = reshape.pivot_metrics(joined, ["c_nationkey"], "o_orderpriority", metrics, PRIORITIES)
     return wide.fillna(0, subset=[f"{_slug(p)}_n" for p in PRIORITIES])
 
@@ -151,6 +152,8 @@ def nation_panel(spark: SparkSession, sf: str, years: tuple[int, ...] = PANEL_YE
         F.count(F.lit(1)).alias("suppliers_n"), F.avg("s_acctbal").alias("supplier_balance_mean")
     )
     names = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), "n_regionkey")
+    # A few rows per nation and year, read once per period below: written, so that the tables are scanned once.
+    spend, shipped = cut_lineage(spend, "spend"), cut_lineage(shipped, "shipped")
     periods = {
         y: [names, *(s.where(F.col("year") == y).drop("year") for s in (spend, shipped)), balances, makers_n] for y in years
     }
@@ -201,6 +204,8 @@ def outer_join_series(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type")
         .agg(F.avg("value").alias("v"))
     )
+    # One row per hour and type, read once per series.
+    hourly = cut_lineage(hourly, "hourly")
     series = {e: hourly.where(F.col("event_type") == e) for e in EVENT_TYPES}
     wide = reshape.outer_join_series(series, "hour", "v")
     return wide.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), *[F.round(e, 6).alias(e) for e in EVENT_TYPES])
@@ -241,7 +246,7 @@ def _properties(spark: SparkSession, sf: str) -> DataFrame:
     totals = (
         table(spark, sf, "customer")
         .groupBy("c_nationkey")
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 2).alias("mean"), F.round(F.max("c_acctbal"), 2).alias("top"))
+        .agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("c_acctbal"), 2) / F.count(F.lit(1))).alias("mean"), F.round(F.max("c_acctbal"), 2).alias("top"))
     )
     named = totals.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     entries = {
@@ -259,7 +264,7 @@ def _properties(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _VALUES = """
-    t AS (SELECT n_name AS area, n_regionkey AS r, count(*) AS n, round(avg(c_acctbal), 2) AS mean, round(max(c_acctbal), 2) AS top
+    t AS (SELECT n_name AS area, n_regionkey AS r, count(*) AS n, round(sum(c_acctbal), 2) / count(*) AS mean, round(max(c_acctbal), 2) AS top
           FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
     v AS (SELECT area, 'value_income' AS parameter, n::DOUBLE AS value FROM t UNION ALL SELECT area, 'value_income_predicted', n + 1 FROM t
           UNION ALL SELECT area, 'value_housing1', mean FROM t UNION ALL SELECT area, 'value_housing2', top FROM t
