@@ -117,11 +117,14 @@ def dominant_topic(df: DataFrame, topic: str) -> DataFrame:
 
 
 def topic_exemplar(df: DataFrame, topic: str, score: str, key: str, text: str, chars: int = 150) -> DataFrame:
-    """Strongest text per topic with a preview; ties by key."""
+    """Strongest text per topic with a preview; ties by key.
+
+    The winners are found without the texts, which are then fetched by key: no text is ever sorted.
+    """
     order = Window.partitionBy(topic).orderBy(F.desc(score), F.asc(key))
+    best = df.select(topic, key, score).withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
     preview = F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("..."))).otherwise(F.col(text))
-    top = df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
-    return top.select(topic, key, score, preview.alias("preview"))
+    return best.join(df.select(topic, key, text), [topic, key]).select(topic, key, score, preview.alias("preview"))
 
 
 def daily_counts(df: DataFrame, ts: str, flag: str) -> DataFrame:
