@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from areapulse.llm import sql
 from areapulse.llm.common import documents
+from areapulse.llm.decontaminate import find_passages
 from areapulse.llm.quality_rules import clean_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,5 +23,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules,)}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark in every document."""
+    rows = find_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
+    return rows.select(
+        "doc.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op8_decontaminate)}
 SQL: dict[str, str] = {name: text for name, text in sql.SQL.items() if name in QUERIES}

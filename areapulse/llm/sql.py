@@ -47,3 +47,26 @@ SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed,
   NOT (n_words < 10 OR n_repeat_words * 100 > n_words * 20 OR (n_words - n_clean_words) * 100 > n_words * {_R.lost_per_100}) AS kept
 FROM c
 """
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+SQL["op8_decontaminate"] = rf"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(text, '{_AZ}', '{_AZ.lower()}'), '{_ALNUM}') AS ws FROM benchmark
+           WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bl AS (SELECT item_id, ws, least(13, len(ws)) AS m FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i+m-1], ' ') AS x
+       FROM (SELECT item_id, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM bl)),
+d AS (SELECT doc_id, row_number() OVER () AS r,
+        regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '{_ALNUM}') AS ws FROM documents),
+dw AS (SELECT r, m, i, array_to_string(ws[i:i+m-1], ' ') AS x
+       FROM (SELECT r, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(ws) >= m)),
+h AS (SELECT r, i, dw.m, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.x = bw.x),
+p AS (SELECT r, count(DISTINCT w) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS w FROM h) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks
+       FROM (SELECT DISTINCT r, item_id::VARCHAR AS k FROM h) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ks, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN it USING (r)
+"""
