@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from areapulse.llm import sql
 from areapulse.llm.common import documents
 from areapulse.llm.decontaminate import find_passages
 from areapulse.llm.quality_rules import clean_lines
+from areapulse.llm.token_codes import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Tokenizer and end id of the token files.
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    return token_digests(spark, documents(spark, sf_dir))
+
+
+def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Per document: where its ids start, how many they are and their checksum."""
+    rows = read_tokens(spark, write_tokens(docs, public_tokenizers.path(TOKENIZER), END_ID))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of the benchmark in every document."""
     rows = find_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
@@ -36,5 +53,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op8_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op7_token_codes, op8_decontaminate)}
 SQL: dict[str, str] = {name: text for name, text in sql.SQL.items() if name in QUERIES}
