@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from areapulse.llm import sql
 from areapulse.llm.common import documents
 from areapulse.llm.decontaminate import find_passages
+from areapulse.llm.jaccard_join import Threshold, similar_documents
 from areapulse.llm.quality_rules import clean_lines
 from areapulse.llm.token_codes import read_tokens, write_tokens
 
@@ -53,5 +54,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op7_token_codes, op8_decontaminate)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
+    return similar_documents(documents(spark, sf_dir), Threshold(3, 9, 10))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op7_token_codes, op8_decontaminate, op10_jaccard_join)}
 SQL: dict[str, str] = {name: text for name, text in sql.SQL.items() if name in QUERIES}
