@@ -14,6 +14,10 @@ from areapulse.llm.decontaminate import find_passages
 from areapulse.llm.jaccard_join import Threshold, similar_documents
 from areapulse.llm.quality_rules import clean_lines
 from areapulse.llm.token_codes import read_tokens, write_tokens
+from areapulse.llm.toxicity import fit_toxicity, fold
+
+#: Documents of this score or more count as toxic.
+TOXIC_FROM = 0.3
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +30,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit_toxicity(docs, labels.where(fold("doc_id") != 2))
+    rows = model.score(docs, ["doc_id"]).select("doc.doc_id", "score")
+    held_out = F.coalesce(fold("doc_id") == 2, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 #: Tokenizer and end id of the token files.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -59,5 +72,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir), Threshold(3, 9, 10))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op7_token_codes, op8_decontaminate, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op6_toxicity, op7_token_codes, op8_decontaminate, op10_jaccard_join)}
 SQL: dict[str, str] = {name: text for name, text in sql.SQL.items() if name in QUERIES}
