@@ -70,3 +70,34 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN p USING (r) LEFT JOIN it USING (r)
 """
+
+SQL["op3_source_mix"] = rf"""
+WITH d AS (SELECT doc_id, source, {_n("coalesce(text, '')")}::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM s0),
+s2 AS (SELECT *, [5, 2, 1][(idx % 3 + 1)::INT] AS weight, source_size * 2 AS cap FROM s1),
+s3 AS (SELECT *, cap::DOUBLE / weight AS ratio FROM s2),
+s4 AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 3 / 2 - coalesce(sum(cap) OVER e, 0)::DOUBLE)
+                 / (sum(weight) OVER () - coalesce(sum(weight) OVER e, 0))::DOUBLE AS lev
+       FROM s3 WINDOW e AS (ORDER BY ratio, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s5 AS (SELECT *, max(CASE WHEN ratio > lev THEN lev END) OVER () AS level FROM s4),
+s6 AS (SELECT source, source_size, idx, CASE WHEN ratio > level THEN level * weight ELSE cap::DOUBLE END AS target FROM s5),
+s AS (SELECT *, sum(floor(target)::BIGINT) OVER (ORDER BY idx)::BIGINT AS hi, sum(floor(target)::BIGINT) OVER ()::BIGINT AS al,
+        floor(target)::BIGINT AS whole FROM s6),
+p AS (SELECT b, greatest(16, (b + 1048575) // 1048576) AS blk FROM (SELECT (coalesce(sum(size), 0)::BIGINT * 3 + 1) // 2 AS b FROM d)),
+k AS (SELECT unnest(range(CASE WHEN b > 0 THEN (b + blk - 1) // blk + 64 ELSE 0 END)) AS k FROM p),
+x AS (SELECT k, k::DOUBLE * 0.6180339887498949 - floor(k::DOUBLE * 0.6180339887498949) AS x FROM k),
+sl AS (SELECT idx, source_size, whole, row_number() OVER (PARTITION BY idx ORDER BY k) - 1 AS r
+       FROM x JOIN s ON x * al >= hi - whole AND x * al < hi),
+bl AS (SELECT idx, r % nb AS b, least(blk, whole - ((r // nb) * source_size + (r % nb) * blk)) AS take
+       FROM (SELECT *, (source_size + blk - 1) // blk AS nb FROM sl, p)),
+o AS (SELECT d.*, idx, source_size, target,
+        coalesce(sum(size) OVER (PARTITION BY idx ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off,
+        row_number() OVER () AS row
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+pc AS (SELECT row, idx, off, size, blk, unnest(range(off // blk, (off + size - 1) // blk + 1)) AS b FROM o, p WHERE size > 0),
+t AS (SELECT row, sum(greatest(0, least(take - (greatest(off, pc.b * blk) - pc.b * blk),
+                 least(off + size, (pc.b + 1) * blk) - greatest(off, pc.b * blk)))) AS taken
+      FROM pc JOIN bl ON bl.idx = pc.idx AND bl.b = pc.b WHERE take > 0 GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM o LEFT JOIN t USING (row)
+"""
