@@ -35,6 +35,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that start with these and that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every bit of a 64-bit hash."""
     h = h ^ (h >> np.uint64(30))

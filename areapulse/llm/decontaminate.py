@@ -193,7 +193,7 @@ def find_passages(
     total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     rows = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("doc"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
         F.lit(0).cast("bigint").alias("n_words"),
         F.lit(None).cast(SPAN).alias("spans"),

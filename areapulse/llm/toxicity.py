@@ -167,7 +167,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``doc`` (struct of ``keep``) and ``x`` (array of the features)."""
     rows = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
     )
     schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
     to_arrow_schema(schema)  # refuses types that cannot be carried
