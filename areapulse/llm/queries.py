@@ -13,6 +13,7 @@ from areapulse.llm.common import documents
 from areapulse.llm.decontaminate import find_passages
 from areapulse.llm.jaccard_join import Threshold, similar_documents
 from areapulse.llm.quality_rules import clean_lines
+from areapulse.llm.secret_scan import find_secrets, written
 from areapulse.llm.source_mix import mix_sources
 from areapulse.llm.token_codes import read_tokens, write_tokens
 from areapulse.llm.toxicity import fit_toxicity, fold
@@ -31,6 +32,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    rows = find_secrets(documents(spark, sf_dir)).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return rows.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in the mix."""
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -78,5 +92,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir), Threshold(3, 9, 10))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_source_mix, op6_toxicity, op7_token_codes, op8_decontaminate, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_source_mix, op6_toxicity, op7_token_codes, op8_decontaminate, op10_jaccard_join)}
 SQL: dict[str, str] = {name: text for name, text in sql.SQL.items() if name in QUERIES}

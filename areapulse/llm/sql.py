@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from areapulse.llm.quality_rules import BOILERPLATE, MENU, LineRules
+from areapulse.llm.secret_scan import BASE_RULES, MORE_RULES, Rule
 
 SQL: dict[str, str] = {}
 
@@ -101,3 +102,33 @@ t AS (SELECT row, sum(greatest(0, least(take - (greatest(off, pc.b * blk) - pc.b
       FROM pc JOIN bl ON bl.idx = pc.idx AND bl.b = pc.b WHERE take > 0 GROUP BY row)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM o LEFT JOIN t USING (row)
 """
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _rule(rule: Rule, order: int) -> str:
+    """Spans of one rule: lengths of the parts between matches and of the matches add up to the starts."""
+    p = _quoted(rule.pattern)
+    return rf"""
+SELECT r, '{rule.kind}' AS kind, {order} AS o, s, s + length(m[i]) AS e FROM (
+  SELECT r, m, p, i, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
+                     + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS s FROM (
+    SELECT r, m, p, g, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT r, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {rule.group}) AS p, string_split_regex(t, '{p}') AS g FROM d)))
+WHERE length(p[i]) >= {rule.least}"""
+
+
+_RULES = " UNION ALL ".join(_rule(r, i) for i, r in enumerate(BASE_RULES + MORE_RULES))
+
+SQL["op2_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+f AS ({_RULES}),
+a AS (SELECT r, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2,
+        string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) FILTER (o < 3) AS base,
+        string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
+"""
