@@ -17,6 +17,7 @@ from areapulse.llm.secret_scan import find_secrets, written
 from areapulse.llm.source_mix import mix_sources
 from areapulse.llm.token_codes import read_tokens, write_tokens
 from areapulse.llm.toxicity import fit_toxicity, fold
+from areapulse.llm.url_rules import judge_urls
 
 #: Documents of this score or more count as toxic.
 TOXIC_FROM = 0.3
@@ -87,10 +88,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url; a page is bad by the label of its id."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    rows = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels)
+    return rows.select("page_id", "host", "path", "rule", "verdict", "n_mined")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
     return similar_documents(documents(spark, sf_dir), Threshold(3, 9, 10))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_source_mix, op6_toxicity, op7_token_codes, op8_decontaminate, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_source_mix, op6_toxicity, op7_token_codes, op8_decontaminate, op9_url_rules, op10_jaccard_join)}
 SQL: dict[str, str] = {name: text for name, text in sql.SQL.items() if name in QUERIES}
