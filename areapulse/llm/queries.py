@@ -12,6 +12,7 @@ from areapulse.llm import sql
 from areapulse.llm.common import documents
 from areapulse.llm.decontaminate import find_passages
 from areapulse.llm.jaccard_join import Threshold, similar_documents
+from areapulse.llm.language_id import fit_languages, identify_languages
 from areapulse.llm.quality_rules import clean_lines
 from areapulse.llm.secret_scan import find_secrets, written
 from areapulse.llm.source_mix import mix_sources
@@ -51,6 +52,15 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    model = fit_languages(docs.where(fold("doc_id", 5) != 0))
+    rows = identify_languages(docs, model)
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated toxicity of every document."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -101,5 +111,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir), Threshold(3, 9, 10))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_source_mix, op6_toxicity, op7_token_codes, op8_decontaminate, op9_url_rules, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_source_mix, op5_language_id, op6_toxicity, op7_token_codes, op8_decontaminate, op9_url_rules, op10_jaccard_join)}
 SQL: dict[str, str] = {name: text for name, text in sql.SQL.items() if name in QUERIES}
