@@ -16,6 +16,7 @@ from areapulse.llm.language_id import fit_languages, identify_languages
 from areapulse.llm.quality_rules import clean_lines
 from areapulse.llm.secret_scan import find_secrets, written
 from areapulse.llm.source_mix import mix_sources
+from areapulse.llm.substring_dedup import repeated_passages
 from areapulse.llm.token_codes import read_tokens, write_tokens
 from areapulse.llm.toxicity import fit_toxicity, fold
 from areapulse.llm.url_rules import judge_urls
@@ -52,6 +53,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that another document holds too; documents without one have no row."""
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those outside the held-out fold."""
     docs = documents(spark, sf_dir)
@@ -111,5 +117,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir), Threshold(3, 9, 10))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_source_mix, op5_language_id, op6_toxicity, op7_token_codes, op8_decontaminate, op9_url_rules, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_source_mix, op4_substring_dedup, op5_language_id, op6_toxicity, op7_token_codes, op8_decontaminate, op9_url_rules, op10_jaccard_join)}
 SQL: dict[str, str] = {name: text for name, text in sql.SQL.items() if name in QUERIES}
