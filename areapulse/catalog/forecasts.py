@@ -74,7 +74,7 @@ def _training(spark: SparkSession, sf: str) -> DataFrame:
     """Customer panel, scaled and with folds, written once for the learners that read it many times."""
     panel = cut_lineage(customer_panel(spark, sf), "customer-panel")
     scaled = modelling.standardize(panel, panel, CUSTOMER_FEATURES)
-    return spread_rows(cut_lineage(modelling.fold_assign(scaled, "c_custkey", FOLDS), "customer-training"))
+    return spread_rows(cut_lineage(modelling.fold_assign(scaled, "c_custkey", FOLDS), "customer-training"), "c_custkey")
 
 
 @query()

@@ -175,15 +175,15 @@ def source_period_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings as topic probabilities: the first 8 squared entries, scaled to sum 1."""
-    first = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * x.cast("double"))
+    """Embeddings as topic probabilities: the squared entries, scaled to sum 1."""
+    first = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
     squares = table(spark, sf, "embeddings").select("vec_id", "label", first.alias("sq"))
     total = squares.withColumn("total", F.aggregate("sq", F.lit(0.0), lambda a, x: a + x))
     return total.select("vec_id", "label", F.transform("sq", lambda x: x / F.col("total")).alias("p"))
 
 
 _WEIGHTS = """
-    q AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: x::DOUBLE * x::DOUBLE) AS sq FROM embeddings),
+    q AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE) AS sq FROM embeddings),
     p AS (SELECT vec_id, label, list_transform(sq, lambda x: x / list_sum(sq)) AS p FROM q)
 """
 
@@ -200,14 +200,14 @@ def topic_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """
-    WITH d AS (SELECT CAST(list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS INTEGER) AS topic FROM embeddings)
+    WITH d AS (SELECT CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS topic FROM embeddings)
     SELECT topic, count(*) AS count, round(count(*) / (SELECT count(*) FROM d)::DOUBLE * 100.0, 6) AS percentage FROM d GROUP BY 1
     """
 )
 def dominant_topic(spark: SparkSession, sf: str) -> DataFrame:
     from areapulse.functions.vectors import argmax_index
 
-    best = table(spark, sf, "embeddings").select(argmax_index(F.slice("embedding", 1, 8)).alias("topic"))
+    best = table(spark, sf, "embeddings").select(argmax_index(F.col("embedding")).alias("topic"))
     return ind.dominant_topic(best, "topic").select("topic", "count", F.round("percentage", 6).alias("percentage"))
 
 

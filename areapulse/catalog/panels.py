@@ -100,13 +100,13 @@ def pivot_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "SELECT label, "
-    + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 6) AS topic_{i}" for i in range(8))
+    + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 6) AS topic_{i}" for i in range(64))
     + " FROM embeddings GROUP BY 1"
 )
 def topic_wide(spark: SparkSession, sf: str) -> DataFrame:
-    first = table(spark, sf, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("topic", "x"))
+    first = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("topic", "x"))
     means = first.groupBy("label", "topic").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("share"))
-    return reshape.topic_wide(means, ["label"], "topic", "share", [f"topic_{i}" for i in range(8)])
+    return reshape.topic_wide(means, ["label"], "topic", "share", [f"topic_{i}" for i in range(64)])
 
 
 @query("SELECT c_custkey AS id, c_name AS area_name, c_acctbal AS account_balance FROM customer")

@@ -59,25 +59,28 @@ def classify_threshold(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("SELECT vec_id, CAST(list_position(embedding[1:3], list_max(embedding[1:3])) - 1 AS INTEGER) AS class FROM embeddings")
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS class FROM embeddings")
 def argmax_class(spark: SparkSession, sf: str) -> DataFrame:
-    logits = F.slice("embedding", 1, 3)
-    return table(spark, sf, "embeddings").select("vec_id", vectors.argmax_index(logits).alias("class"))
+    return table(spark, sf, "embeddings").select("vec_id", vectors.argmax_index(F.col("embedding")).alias("class"))
 
 
 @query(
     """
-    SELECT vec_id, CAST(list_position(embedding[1:3], list_max(embedding[1:3])) - 2 AS DOUBLE) AS class_score,
-           (list_position(embedding[1:5], list_max(embedding[1:5])) - 3) / 2.0::DOUBLE AS star_score
-    FROM embeddings
+    WITH b AS (SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings),
+         d AS (SELECT doc_id, regexp_extract(text, '^[^ \n]*') AS head FROM documents)
+    SELECT vec_id, CAST(best % 3 - 1 AS DOUBLE) AS class_score,
+           CASE WHEN head IS NULL OR length(trim(head)) < 2 THEN 0 ELSE (best % 5 - 2) / 2.0::DOUBLE END AS star_score
+    FROM b LEFT JOIN d ON vec_id = doc_id
     """
 )
 def score_map(spark: SparkSession, sf: str) -> DataFrame:
-    three, five = F.slice("embedding", 1, 3), F.slice("embedding", 1, 5)
-    return table(spark, sf, "embeddings").select(
+    # The vector's largest entry stands for a class and for stars; the rated text is the first word of the document.
+    best = table(spark, sf, "embeddings").select("vec_id", vectors.argmax_index(F.col("embedding")).alias("best"))
+    heads = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.regexp_extract("text", r"^[^ \n]*", 0).alias("head"))
+    return best.join(heads, "vec_id", "left").select(
         "vec_id",
-        scoring.score_map(vectors.argmax_index(three), CLASS_SCORES).alias("class_score"),
-        scoring.star_score(vectors.argmax_index(five) + 1, F.lit("text")).alias("star_score"),
+        scoring.score_map(F.col("best") % 3, CLASS_SCORES).alias("class_score"),
+        scoring.star_score(F.col("best") % 5 + 1, F.col("head")).alias("star_score"),
     )
 
 
@@ -106,7 +109,7 @@ LEXICON = [(lang, w, round((-1) ** i * (1 - i / 12), 4)) for lang, ws in STOP_WO
     f"""
     WITH l(lang, token, polarity) AS (VALUES {', '.join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in LEXICON)}),
          t AS (SELECT doc_id, lang, unnest({sql_words('text')}) AS token FROM documents WHERE length(text) >= 4),
-         s AS (SELECT doc_id, avg(polarity) AS s FROM t JOIN l USING (lang, token) GROUP BY 1)
+         s AS (SELECT doc_id, sum(polarity::DECIMAL(12,6))::DOUBLE / count(*) AS s FROM t JOIN l USING (lang, token) GROUP BY 1)
     SELECT doc_id, round(coalesce(s, 0), 6) AS sentiment FROM documents LEFT JOIN s USING (doc_id)
     """
 )

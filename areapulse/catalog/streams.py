@@ -22,9 +22,9 @@ def stream_insert_new(spark: SparkSession, sf: str) -> DataFrame:
     # Sign-ups are stored already; errors are replayed.
     stored = table(spark, sf, "events").where("event_type = 'signup'").select(*columns)
     stored.write.parquet(f"{store}/batch=-1")
-    stream = _events(spark, sf).select("ts", *columns)
-    replayed = stream.unionByName(_events(spark, sf).select("ts", *columns).where("event_type = 'error'"))
-    streams.stream_insert_new(replayed, "event_id", "ts", store, fresh_dir(spark, "stream-state"), "60 days").awaitTermination()
+    stream = _events(spark, sf).select(*columns)
+    replayed = stream.unionByName(_events(spark, sf).select(*columns).where("event_type = 'error'"))
+    streams.stream_insert_new(replayed, "event_id", store, fresh_dir(spark, "stream-state")).awaitTermination()
     kept = spark.read.schema("event_id long, event_type string, value double, batch long").parquet(store)
     return kept.select(*columns, (F.col("batch") == -1).alias("was_stored"))
 

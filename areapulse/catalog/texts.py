@@ -325,9 +325,11 @@ def vocab_prune(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def doc_term_counts(spark: SparkSession, sf: str) -> DataFrame:
-    grams = _grams(spark, sf)
-    # The pruned vocabulary is small and read twice.
-    vocabulary = cut_lineage(vocab_prune(spark, sf), "vocabulary")
+    # The tokens are read for the vocabulary and for the counts, the vocabulary twice; only n-grams of its words are formed.
+    held = cut_lineage(_tokens(spark, sf), "tokens")
+    vocabulary = cut_lineage(tokens.ngram_vocabulary(held, "t", (1, 2, 3), MIN_DF, MAX_DF), "vocabulary")
+    parts = vocabulary.select(F.explode(F.split("term", " ")).alias("term"))
+    grams = held.select("doc_id", tokens.frequent_ngrams(F.col("t"), (1, 2, 3), tokens.word_filter(parts)).alias("g"))
     counts = tokens.doc_term_counts(grams, "doc_id", "g", vocabulary)
     return counts.select("doc_id", F.col("term_id").cast("long").alias("term_id"), "tf")
 

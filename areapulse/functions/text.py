@@ -20,7 +20,7 @@ TOKENS = rf"{WORD}+"
 
 def clean_text(col: Column) -> Column:
     """Tags to blanks, links away, punctuation to blanks, blanks squeezed, lower case, null to ''."""
-    c = F.coalesce(col, F.lit(""))
+    c = nfc(F.coalesce(col, F.lit("")))
     c = F.regexp_replace(c, r"<[^\n>]*>", " ")
     c = F.regexp_replace(c, rf"http[^{SPACE}]+", "")
     c = F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}_{SPACE}]", " ")
@@ -99,6 +99,11 @@ def _compose_mark(text: Column, mark: str) -> Column:
     return F.when(F.contains(text, F.lit(mark)), bind(F.split(text, mark), rejoin)).otherwise(text)
 
 
+def nfc_text(value: str) -> str:
+    """A configuration value in NFC."""
+    return unicodedata.normalize("NFC", value)
+
+
 def nfc(col: Column) -> Column:
     """Compose Latin letters with their combining marks.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from areapulse.functions.numeric import round_even, share
 from areapulse.operators.sizing import local_table
+from areapulse.params import OTHER
 
 
 def _cells(dimensions: Sequence[str], **values: dict[str, Column]) -> Column:
@@ -23,15 +24,17 @@ def _cells(dimensions: Sequence[str], **values: dict[str, Column]) -> Column:
 def dimension_shares(df: DataFrame, area: str, dimension: str, dimensions: Sequence[str], areas: DataFrame | None = None) -> DataFrame:
     """Complete area x dimension grid: count, percentage of the area's texts, total. Empty areas get 0.
 
+    Every text of an area is in the total; one with a null or unlisted dimension counts as OTHER where that is listed.
     One aggregate with a count per dimension of the fixed list, unfolded afterwards: each task ships one row per area,
     and the grid needs no join.
     """
-    counts = [F.count_if(F.col(dimension) == d).alias(f"n{i}") for i, d in enumerate(dimensions)]
-    per_area = df.groupBy(area).agg(*counts)
+    listed = F.coalesce(F.col(dimension).isin([d for d in dimensions if d != OTHER]), F.lit(False))
+    counts = [F.count_if(~listed if d == OTHER else F.col(dimension) == d).alias(f"n{i}") for i, d in enumerate(dimensions)]
+    per_area = df.groupBy(area).agg(*counts, F.count(F.lit(1)).alias("_texts"))
     if areas is not None:
         per_area = areas.select(area).distinct().join(per_area, area, "left")
     n = {d: F.coalesce(f"n{i}", F.lit(0)) for i, d in enumerate(dimensions)}
-    total = reduce(add, n.values())
+    total = F.coalesce("_texts", F.lit(0))
     percentages = {d: share(c, total) for d, c in n.items()}
     return per_area.select(area, total.alias("total_posts"), F.inline(_cells(dimensions, count=n, percentage=percentages)))
 
@@ -124,7 +127,8 @@ def topic_exemplar(df: DataFrame, topic: str, score: str, key: str, text: str, c
     order = Window.partitionBy(topic).orderBy(F.desc(score), F.asc(key))
     best = df.select(topic, key, score).withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
     preview = F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("..."))).otherwise(F.col(text))
-    return best.join(df.select(topic, key, text), [topic, key]).select(topic, key, score, preview.alias("preview"))
+    # One row per topic.
+    return df.select(topic, key, text).join(F.broadcast(best), [topic, key]).select(topic, key, score, preview.alias("preview"))
 
 
 def daily_counts(df: DataFrame, ts: str, flag: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areapulse.functions.arrays import bind, explode_once, word_ngrams
-from areapulse.functions.text import word_pattern, words
+from areapulse.functions.text import WORD, nfc, nfc_text, word_pattern, words
 from areapulse.operators.sizing import BROADCAST_ROWS, local_table, small_side
 
 
@@ -58,10 +58,9 @@ def find_phrases(df: DataFrame, text: str, phrases: PhraseList, keep: Sequence[s
     hits. Tokens are compared with the list inside the row, so only hits are exploded, and only texts that hold the word
     sequence of a longer entry are searched for it.
     """
-    tokens, low = words(F.col(text)), F.lower(text)
     lengths = sorted({k.count(" ") + 1 for k in phrases.keys})
 
-    def hits(t: Column) -> Column:
+    def hits(t: Column, low: Column) -> Column:
         none = F.lit(None).cast("string")
         plain = F.filter(t, lambda w: w.isin(list(phrases.plain))) if phrases.plain else F.array().cast("array<string>")
         found = F.transform(plain, lambda w: F.struct(w.alias("phrase_key"), none.alias("in_text")))
@@ -70,7 +69,8 @@ def find_phrases(df: DataFrame, text: str, phrases: PhraseList, keep: Sequence[s
         proposed = F.array_intersect(word_ngrams(t, lengths), F.array(*[F.lit(k) for k in phrases.keys]))
         return F.concat(found, F.transform(proposed, lambda k: F.struct(k.alias("phrase_key"), low.alias("in_text"))))
 
-    rows = explode_once(df, keep, bind(tokens, hits), "_hit")
+    composed = bind(nfc(F.col(text)), lambda c: bind(words(c), lambda t: hits(t, F.lower(c))))
+    rows = explode_once(df, keep, composed, "_hit")
     rows = rows.select(*keep, "_hit.*").withColumn("plain", F.col("in_text").isNull())
     joined = rows.join(phrases.table, ["phrase_key", "plain"])
     n = F.when(F.col("plain"), F.lit(1).cast("long")).otherwise(_exact_hits(F.col("in_text"), F.col("phrase")))
@@ -80,9 +80,16 @@ def find_phrases(df: DataFrame, text: str, phrases: PhraseList, keep: Sequence[s
 def tag_area_mentions(df: DataFrame, text: str, areas: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per text and area named in it as whole words, case-blind; an area inside another one counts too.
 
-    The list is short, so each text is tested in place and exploded: no join.
+    The list is short, so each text is tested in place and exploded: no join. One expression of all names tells texts
+    that hold none, which are most.
     """
-    names = F.array_compact(F.array(*[F.when(F.col(text).rlike(word_pattern(a)), F.lit(a)) for a in areas]))
+    any_name = rf"(?iU)(?<!{WORD})({'|'.join(re.escape(nfc_text(a)) for a in areas)})(?!{WORD})"
+
+    def found(t: Column) -> Column:
+        each = F.array_compact(F.array(*[F.when(t.rlike(word_pattern(nfc_text(a))), F.lit(a)) for a in areas]))
+        return F.when(t.rlike(any_name), each)
+
+    names = bind(nfc(F.col(text)), found)
     return explode_once(df, keep, names, "area")
 
 

@@ -1,73 +1,48 @@
 """Global ranks without a single-task window.
 
-The rows are cut into value buckets at approximate quantiles, each bucket is numbered by itself, and the bucket
-offsets come from one small aggregate. A group that holds a third of all rows still spreads over a third of the
-buckets, and one value that occurs very often is counted before it is ordered.
+Rows are range-partitioned by the key itself, whatever its type; nulls come first. Each range is numbered by itself, and
+the offsets of the ranges come from one small aggregate. There is one plan for every size: a group that holds a third of
+all rows spreads over a third of the ranges, and a value that occurs very often is counted before it is ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areapulse.session import cut_lineage
 
 
-# Up to this many counted rows one task orders a group faster than a bucketed plan starts.
-ONE_TASK_ROWS = 200_000
+def _ranged(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows with the number of their range, written once: the ranges are read for their totals and for their rows."""
+    return cut_lineage(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), name)
 
 
-def _bucket_count(df: DataFrame) -> int:
-    """Enough buckets for the cluster: some per shuffle partition, so each one stays task-sized."""
-    return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _cuts(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """Strictly increasing inner bucket borders, at most ``buckets`` of them."""
-    at = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), at, 10 * buckets).alias("q")).first()
-    return sorted(set(row["q"] or []))
-
-
-def _bucketed(df: DataFrame, value: str, buckets: int | None) -> DataFrame:
-    cuts = _cuts(df, value, buckets or _bucket_count(df)) or [0.0]
-    splits = [float("-inf"), *cuts, float("inf")]
-    cast = df.withColumn("_v", F.col(value).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_v", outputCol="_bucket", handleInvalid="keep").transform(cast).drop("_v")
-
-
-def value_ranks(
-    df: DataFrame, value: str, group: Sequence[str] = (), buckets: int | None = None, one_task: int = ONE_TASK_ROWS
-) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Per distinct (group, value): ``n`` rows, ``before`` rows and ``dense`` distinct values below, within the group.
 
-    ``first rank = before + 1`` and ``average rank = before + (n + 1) / 2``.
+    ``first rank = before + 1`` and ``average rank = before + (n + 1) / 2``. A null value ranks first; a null group is one.
     """
     group = list(group)
-    # Read three times below: for the borders, the local ranks and the bucket totals.
-    counts = cut_lineage(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")), "value-counts")
-    if counts.count() <= one_task:
-        inside = Window.partitionBy(*group).orderBy(value)
-        below = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-        dense = F.row_number().over(inside).cast("long")
-        return counts.select(*group, value, "n", F.coalesce(below, F.lit(0)).alias("before"), dense.alias("dense"))
-    cut = _bucketed(counts, value, buckets)
-    inside = Window.partitionBy(*group, "_bucket").orderBy(value)
-    below = inside.rowsBetween(Window.unboundedPreceding, -1)
+    cut = _ranged(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")), [*group, value], "value-ranges")
+    below = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "_range").orderBy(value)
     local = cut.withColumns({"_below": F.coalesce(F.sum("n").over(below), F.lit(0)), "_dense": F.row_number().over(inside)})
-    totals = cut.groupBy(*group, "_bucket").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
-    # One row per group and bucket.
-    order = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*group, "_range").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    # One row per group and range.
+    order = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        *group,
-        "_bucket",
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+        F.col("_range").alias("_r"),
         F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"),
         F.coalesce(F.sum("_d").over(order), F.lit(0)).alias("_start_dense"),
     )
-    return local.join(starts, [*group, "_bucket"]).select(
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return local.join(starts, same).select(
         *group,
         value,
         "n",
@@ -76,21 +51,17 @@ def value_ranks(
     )
 
 
-def number_rows(
-    df: DataFrame, key: str, out: str = "row_id", buckets: int | None = None, one_task: int = ONE_TASK_ROWS
-) -> DataFrame:
-    """0-based position of each row in the order of a unique numeric ``key``."""
-    if df.count() <= one_task:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(key)).cast("long") - 1)
-    cut = _bucketed(df, key, buckets)
-    totals = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per bucket, a few per shuffle partition.
-    order = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_bucket", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_bucket").orderBy(key)
+def number_rows(df: DataFrame, key: str, out: str = "row_id") -> DataFrame:
+    """0-based position of each row in the order of a unique ``key`` of any ordered type; a null key comes first."""
+    cut = _ranged(df, [key], "row-ranges")
+    totals = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per range.
+    order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(key)
     return (
         cut.withColumn("_pos", F.row_number().over(inside))
-        .join(F.broadcast(starts), "_bucket")
+        .join(starts, "_range")
         .withColumn(out, F.col("_start") + F.col("_pos") - 1)
-        .drop("_bucket", "_start", "_pos")
+        .drop("_range", "_start", "_pos")
     )

@@ -113,34 +113,36 @@ def sentiment_model(df: DataFrame, text: str, model: PipelineModel | Callable[[l
 def lexicon_sentiment(df: DataFrame, key: str, text: str, lang: str, lexicon: DataFrame) -> DataFrame:
     """(key, sentiment): mean polarity of the lexicon words of the text's language; 0 without hits or under 4 characters.
 
-    Only keys and partial sums are shuffled, never the texts.
+    Only keys and partial sums are shuffled, never the texts. Polarities are summed as decimals of six places, so the mean
+    does not depend on the order of rows or on the join.
     """
+    exact = lexicon.withColumn("polarity", F.col("polarity").cast("decimal(12,6)"))
+    mean = F.sum("polarity").cast("double") / F.count("polarity")
     found = F.when(F.length(text) >= 4, words(F.col(text)))
     at = df.select(key, F.col(lang).alias("lang"), F.explode_outer(found).alias("token"))
     return (
-        at.join(small_side(lexicon), ["lang", "token"], "left")
+        at.join(exact, ["lang", "token"], "left")
         .groupBy(key)
-        .agg(F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("sentiment"))
+        .agg(F.when(F.count("polarity") > 0, mean).otherwise(F.lit(0.0)).alias("sentiment"))
     )
 
 
-# A group limit of this size still runs below the exchange.
-PUSHED_LIMIT = 1000
-
-
-def capped_sample(df: DataFrame, group: str, key: str, n: int, salts: int = 64) -> DataFrame:
+def capped_sample(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """At most ``n`` rows per group, chosen by the hash of their key and so the same on every run.
 
-    Larger samples are first cut inside ``salts`` slices of the group, so no task sorts a whole group.
+    The rows of each group are counted by the first digits of the hash, which tells up to which digits the ``n`` smallest
+    hashes can lie. Only rows up to there are ordered, so no task sorts a whole group.
     """
     hashed = df.withColumn("_h", F.md5(F.col(key).cast("string")))
-    order = [F.col("_h"), F.col(key)]
-    if n > PUSHED_LIMIT:
-        hashed = hashed.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-        slices = Window.partitionBy(group, "_salt").orderBy(*order)
-        hashed = hashed.withColumn("_rn", F.row_number().over(slices)).where(F.col("_rn") <= n).drop("_rn", "_salt")
-    whole = Window.partitionBy(group).orderBy(*order)
-    return hashed.withColumn("_rn", F.row_number().over(whole)).where(F.col("_rn") <= n).drop("_rn", "_h")
+    digits = F.substring("_h", 1, 4)
+    counts = hashed.groupBy(F.col(group).alias("_g"), digits.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    # At most 65,536 rows per group.
+    earlier = Window.partitionBy("_g").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(F.col("_before") < n)
+    cuts = cuts.groupBy("_g").agg(F.max("_d").alias("_cut"))
+    near = hashed.join(cuts, F.col(group).eqNullSafe(F.col("_g"))).where(digits <= F.col("_cut"))
+    order = Window.partitionBy(group).orderBy("_h", key)
+    return near.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn", "_h", "_g", "_cut")
 
 
 def context_rollup(df: DataFrame, context: str, mapping: DataFrame, measure: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from areapulse.functions.arrays import bind, explode_once, word_ngrams
 from areapulse.functions.text import letter_words, words
+from areapulse.operators.ranking import number_rows
 from areapulse.operators.sizing import local_table, small_side
 
 # Up to this size a lemma list is a literal map; longer lists are joined.
@@ -95,12 +96,30 @@ def vocab_prune(df: DataFrame, terms: str, min_df: float, max_df: float) -> Data
     return freq.where((F.col("doc_freq") >= F.lit(min_df) * n) & (F.col("doc_freq") <= F.lit(max_df) * n))
 
 
-# Frequent words are tested inside the row up to this many; beyond it the n-grams are counted unpruned.
-FREQUENT_WORDS = 50_000
+# Slots of the word filter: a fixed size, whatever the vocabulary.
+WORD_SLOTS = 1 << 20
 
 
-def frequent_ngrams(tokens: Column, lengths: Sequence[int], frequent: Sequence[str]) -> Column:
-    """Word n-grams made of frequent words only."""
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(WORD_SLOTS))
+
+
+def word_filter(listed: DataFrame) -> bytes:
+    """The slots that the words of a column ``term`` fall into, one byte each.
+
+    It lets a few other words through, which later counts drop, and never loses a listed one. The driver gets at most
+    ``WORD_SLOTS`` slot numbers.
+    """
+    slots = listed.select(_slot(F.col("term")).alias("s")).distinct().toArrow()["s"].to_pylist()
+    out = bytearray(WORD_SLOTS)
+    for s in slots:
+        out[s] = 1
+    return bytes(out)
+
+
+def frequent_ngrams(tokens: Column, lengths: Sequence[int], frequent: bytes) -> Column:
+    """Word n-grams made of words that pass a ``word_filter`` only."""
+    passed = F.lit(bytearray(frequent))
 
     def of_length(t: Column, n: int) -> Column:
         none = F.array().cast("array<int>")
@@ -108,7 +127,8 @@ def frequent_ngrams(tokens: Column, lengths: Sequence[int], frequent: Sequence[s
         # Joining with a null word gives null.
         return F.transform(starts, lambda i: reduce(lambda a, k: F.concat(a, F.lit(" "), t[i + k]), range(1, n), t[i]))
 
-    marked = F.transform(tokens, lambda w: F.when(w.isin(list(frequent)), w))
+    one = F.lit(bytearray(b"\x01"))
+    marked = F.transform(tokens, lambda w: F.when(F.substring(passed, (_slot(w) + 1).cast("int"), F.lit(1)) == one, w))
     return F.array_compact(bind(marked, lambda t: F.concat(*[of_length(t, n) for n in lengths])))
 
 
@@ -120,14 +140,7 @@ def ngram_vocabulary(df: DataFrame, tokens: str, lengths: Sequence[int], min_df:
     """
     n = df.count()
     each = explode_once(df, [], F.array_distinct(tokens), "term").groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
-    reached = each.where(F.col("doc_freq") >= F.lit(min_df) * n).select("term").limit(FREQUENT_WORDS + 1)
-    frequent = [r["term"] for r in reached.collect()]
-    if len(frequent) > FREQUENT_WORDS:
-        grams = word_ngrams(F.col(tokens), lengths)
-    elif frequent:
-        grams = frequent_ngrams(F.col(tokens), lengths, frequent)
-    else:
-        grams = F.array().cast("array<string>")
+    grams = frequent_ngrams(F.col(tokens), lengths, word_filter(each.where(F.col("doc_freq") >= F.lit(min_df) * n)))
     freq = explode_once(df, [], F.array_distinct(grams), "term").groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
     return freq.where((F.col("doc_freq") >= F.lit(min_df) * n) & (F.col("doc_freq") <= F.lit(max_df) * n))
 
@@ -135,11 +148,10 @@ def ngram_vocabulary(df: DataFrame, tokens: str, lengths: Sequence[int], min_df:
 def doc_term_counts(df: DataFrame, key: str, terms: str, vocabulary: DataFrame) -> DataFrame:
     """(key, term_id, tf) with term ids in alphabetical order of the vocabulary.
 
-    Terms outside the vocabulary leave before the count; the vocabulary was pruned by document share, so numbering it in
-    one task is bounded.
+    Terms outside the vocabulary leave before the count; the vocabulary is numbered by ranges.
     """
-    ids = vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"))
-    at = explode_once(df, [key], terms, "term").join(small_side(ids, 2_000_000), "term")
+    ids = number_rows(vocabulary.select("term"), "term", "term_id")
+    at = explode_once(df, [key], terms, "term").join(ids, "term")
     return at.groupBy(key, "term_id").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -24,11 +24,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach. Set to a temporary one only where the session names none."""
+    """Folder every executor can reach.
+
+    Where the session names none, a local master gets a temporary one; a cluster is refused, since its executors would
+    each write to their own disk. Everything lies below ``<folder>/areapulse/<application>``, which its owner can drop.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="areapulse-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -36,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared one; nothing is created or removed."""
-    return f"{shared_dir(spark)}/areapulse/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/areapulse/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

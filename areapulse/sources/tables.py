@@ -63,13 +63,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(wanted)) if wanted > 1 else df
 
 
-def spread_rows(df: DataFrame, rows_per_task: int = 2000) -> DataFrame:
-    """Deal a small training table over the idle cores: learners work far longer on a row than its bytes suggest."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    wanted = min(cores, df.count() // rows_per_task)
-    return df.repartition(int(wanted)) if wanted > 1 else df
+def spread_rows(df: DataFrame, key: str, parts: int = 32) -> DataFrame:
+    """A training table in a fixed number of ordered partitions by the hash of its key.
+
+    Learners draw random numbers per partition, so the model must not depend on the number of cores or files.
+    """
+    return df.repartition(parts, key).sortWithinPartitions(key)
 
 
 def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

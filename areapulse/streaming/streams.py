@@ -28,20 +28,22 @@ def _start(df: DataFrame, mode: str, checkpoint: str, batch: Callable[[DataFrame
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
-def stream_insert_new(stream: DataFrame, key: str, ts: str, store: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Append records with an unseen key to ``store``; repeats inside the watermark and against the store are dropped.
+def stream_insert_new(stream: DataFrame, key: str, store: str, checkpoint: str) -> StreamingQuery:
+    """Append records with an unseen key to ``store``, however late they come; the key may have any type.
 
-    Each batch owns the folder ``batch=<id>``, which it overwrites: a batch that is replayed after a failure does not add
-    its rows twice.
+    Repeats are dropped inside the batch and against the stored keys, so nothing depends on event time and no state grows
+    beside the store, of which only the key column is read. Each batch owns the folder ``batch=<id>``, which it
+    overwrites: a batch that is replayed after a failure does not add its rows twice.
     """
-    fresh = event_time(stream, ts, delay).dropDuplicatesWithinWatermark([key])
+    kind = stream.schema[key].dataType.simpleString()
 
     def write(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        seen = spark.read.schema(f"{key} long, batch long").parquet(store).where(F.col("batch") != batch)
-        rows.join(seen.select(key), key, "left_anti").write.mode("overwrite").parquet(f"{store}/batch={batch}")
+        seen = rows.sparkSession.read.schema(f"`{key}` {kind}, batch long").parquet(store).where(F.col("batch") != batch)
+        known = seen.select(F.col(key).alias("_seen"))
+        fresh = rows.dropDuplicates([key]).join(known, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch}")
 
-    return _start(fresh, "append", checkpoint, write)
+    return _start(stream, "append", checkpoint, write)
 
 
 def stream_daily_counts(stream: DataFrame, ts: str, flag: str, out: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:

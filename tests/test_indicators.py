@@ -133,3 +133,11 @@ def test_topics_separate_two_themes(spark):
     assert {"pan", "leche", "queso"} in top and {"gol", "juego", "equipo"} in top
     panel = news.topic_panel(fit, ["area"], ["t0", "t1"]).first()
     assert panel["t0"] + panel["t1"] == pytest.approx(1.0, abs=0.05)
+
+
+def test_shares_count_every_text(spark):
+    df = spark.createDataFrame([("A", "x"), ("A", None), ("B", "unlisted")], "area string, dim string")
+    rows = ind.dimension_shares(df, "area", "dim", ["x", "OTHER"]).collect()
+    assert {(r["area"], r["dimension"]): (r["count"], r["total_posts"]) for r in rows} == {
+        ("A", "x"): (1, 2), ("A", "OTHER"): (1, 2), ("B", "x"): (0, 1), ("B", "OTHER"): (1, 1)
+    }

@@ -91,13 +91,12 @@ def test_partitioned_csv_round_trip(spark):
     assert sorted(tuple(r) for r in back.collect()) == [(1, "a"), (2, "b"), (3, "a")]
 
 
-@pytest.mark.parametrize("one_task", [0, 10_000])
-def test_row_numbers_and_ranks_with_a_hot_group(spark, one_task):
+def test_row_numbers_and_ranks_with_a_hot_group(spark):
     rows = [(i, "hot" if i % 3 else "cold", float(i % 7 if i % 5 else 1)) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, g string, v double")
-    numbered = ranking.number_rows(df, "id", one_task=one_task).orderBy("id").collect()
+    numbered = ranking.number_rows(df, "id").orderBy("id").collect()
     assert [r["row_id"] for r in numbered] == list(range(2000))
-    ranks = ranking.value_ranks(df, "v", ["g"], one_task=one_task).collect()
+    ranks = ranking.value_ranks(df, "v", ["g"]).collect()
     got = {(r["g"], r["v"]): (r["n"], r["before"], r["dense"]) for r in ranks}
     for g in ("hot", "cold"):
         values = [v for _, h, v in rows if h == g]
@@ -112,3 +111,14 @@ def test_capped_sample_is_stable_and_exact(spark):
     assert sets[0] == sets[1] and len(sets[0]) == 5000
     plain = scoring.capped_sample(df, "g", "id", 10)
     assert plain.groupBy("g").count().where("count = 10").count() == 2
+
+
+def test_ranks_keep_nulls_and_take_any_key_type(spark):
+    rows = [("b", None, 2.0), (None, "x", None), ("a", "x", 1.0), ("c", None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, g string, v double")
+    numbered = {r["k"]: r["row_id"] for r in ranking.number_rows(df, "k").collect()}
+    assert numbered == {None: 0, "a": 1, "b": 2, "c": 3}
+    ranks = {(r["g"], r["v"]): (r["n"], r["before"], r["dense"]) for r in ranking.value_ranks(df, "v", ["g"]).collect()}
+    assert ranks == {(None, 2.0): (2, 0, 1), ("x", None): (1, 0, 1), ("x", 1.0): (1, 1, 2)}
+    days = df.select(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(v as int))").alias("ts"), "k").where("v IS NOT NULL")
+    assert [r["row_id"] for r in ranking.number_rows(days.dropDuplicates(["ts"]), "ts").orderBy("ts").collect()] == [0, 1]

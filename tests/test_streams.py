@@ -25,8 +25,8 @@ def _files(spark):
 def test_insert_new_over_several_batches(spark):
     store = fresh_dir(spark, "store")
     spark.createDataFrame([(1, "x")], "id long, kind string").write.parquet(f"{store}/batch=-1")
-    stream = streams.file_stream(spark, _files(spark), SCHEMA, files_per_batch=1).select("id", "ts", "kind")
-    streams.stream_insert_new(stream, "id", "ts", store, fresh_dir(spark, "state")).awaitTermination()
+    stream = streams.file_stream(spark, _files(spark), SCHEMA, files_per_batch=1).select("id", "kind")
+    streams.stream_insert_new(stream, "id", store, fresh_dir(spark, "state")).awaitTermination()
     kept = spark.read.schema("id long, kind string, batch long").parquet(store)
     assert sorted(r["id"] for r in kept.collect()) == [1, 2, 3, 4]
     assert kept.where("batch >= 0").count() == 3
@@ -49,3 +49,14 @@ def test_shares_equal_batch(spark):
     rows = spark.read.schema("area string, kind string, count long, total double, batch long").parquet(out)
     got = {(r["area"], r["kind"]): (r["count"], r["avg_score"], r["percentage"]) for r in streams.shares_of(rows, "area", "kind").collect()}
     assert got == {("a", "x"): (2, 1.5, 50.0), ("a", "y"): (2, 3.0, 50.0), ("b", "x"): (2, 5.0, 100.0)}
+
+
+def test_late_records_and_text_keys_are_kept(spark):
+    store, path = fresh_dir(spark, "store"), fresh_dir(spark, "late")
+    spark.createDataFrame([("k0", "x")], "id string, kind string").write.parquet(f"{store}/batch=-1")
+    for rows in ([("k1", "x"), ("k1", "x")], [("k2", "x")], [("k3", "late"), ("k0", "x"), (None, "n")]):
+        spark.createDataFrame(rows, "id string, kind string").coalesce(1).write.mode("append").parquet(path)
+    stream = streams.file_stream(spark, path, "id string, kind string", files_per_batch=1)
+    streams.stream_insert_new(stream, "id", store, fresh_dir(spark, "state")).awaitTermination()
+    kept = spark.read.schema("id string, batch long").parquet(store)
+    assert sorted(str(r["id"]) for r in kept.collect()) == ["None", "k0", "k1", "k2", "k3"]

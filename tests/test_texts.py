@@ -136,3 +136,12 @@ def test_pruned_ngrams_equal_plain_counting(spark):
 def test_vocabulary_bounds(spark):
     df = spark.createDataFrame([(i, ["all", f"t{i % 2}", f"u{i}"]) for i in range(10)], "id int, t array<string>")
     assert {r["term"] for r in tokens.vocab_prune(df, "t", 0.2, 0.6).collect()} == {"t0", "t1"}
+
+
+def test_decomposed_letters_are_found(spark):
+    decomposed = "en Michoaca\u0301n hay"
+    df = spark.createDataFrame([(1, decomposed)], "id long, text string")
+    assert df.select(tx.clean_text(F.col("text"))).first()[0] == "en michoac\u00e1n hay"
+    assert [r["area"] for r in kw.tag_area_mentions(df, "text", ["Michoac\u00e1n", "Oaxaca"], ["id"]).collect()] == ["Michoac\u00e1n"]
+    listed = kw.phrase_list(spark, [("d", "Michoac\u00e1n")])
+    assert kw.find_phrases(df, "text", listed, ["id"]).first()["hits"] == 1
