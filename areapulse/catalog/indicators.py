@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areapulse.catalog.registry import ALL_STOP, DIMENSION_WORDS, query, quoted, sql_clean, sql_words
+from areapulse.catalog.registry import ALL_STOP, AREAS, DIMENSION_WORDS, query, quoted, sql_clean, sql_has_word, sql_words
 from areapulse.functions.text import words
 from areapulse.operators import indicators as ind
 from areapulse.operators import keywords as kw
-from areapulse.operators import tokens, topics
+from areapulse.operators import scoring, tokens, topics
 from areapulse.operators.sizing import local_table
-from areapulse.params import MIN_CHARS, OTHER, STOP_WORDS
+from areapulse.params import MIN_CHARS, OTHER, STOP_WORDS, THRESHOLD
 from areapulse.plans import texts as plan
 from areapulse.sources.tables import table, text_table
 
@@ -160,6 +160,80 @@ def nonzero_dimension_mean(spark: SparkSession, sf: str) -> DataFrame:
     return ind.nonzero_dimension_mean(means, ["area", "period"], "keyword", "mean_value", TREND_GROUPS)
 
 
+# Keyword blocks with the blanks of a typed list; each becomes one phrase and is encoded as the texts are.
+BLOCKS = {lang: "\n  " + "\n  ".join(ws) + " " for lang, ws in STOP_WORDS.items()}
+VOCABULARY = ALL_STOP
+_SCORES = ", ".join(f"len(list_filter(w, lambda x: x IN ({quoted(ws)}))) / (norm * sqrt({len(ws)}::DOUBLE)) AS s_{lang}" for lang, ws in STOP_WORDS.items())
+_BEST = "greatest(" + ", ".join(f"s_{lang}" for lang in STOP_WORDS) + ")"
+
+
+def _sql_encoded(tab: str, keys: str) -> str:
+    """Class of a text by the cosine of its keyword counts with the counts of each block's phrase."""
+    return f"""
+    c AS (SELECT {keys}, text, {sql_clean('text')} AS clean FROM {tab}),
+    w AS (SELECT {keys}, text, clean, {sql_words('clean')} AS w FROM c),
+    m AS (SELECT *, sqrt(list_sum(list_transform([{quoted(VOCABULARY)}], lambda k: len(list_filter(w, lambda x: x = k)) ** 2))) AS norm FROM w),
+    v AS (SELECT *, {_SCORES} FROM m),
+    k AS (SELECT {keys}, text, clean, CASE WHEN length(clean) < {MIN_CHARS} OR norm = 0 OR {_BEST} < {THRESHOLD} THEN 'OTHER'
+            {" ".join(f"WHEN s_{lang} = {_BEST} THEN '{lang}'" for lang in STOP_WORDS)} END AS dimension FROM v)
+    """
+
+
+_ENCODER = {"encoder": scoring.term_counter(VOCABULARY)}
+_NAMED = ", ".join(f"({quoted([a])})" for a in AREAS)
+_MENTIONS = " UNION ALL ".join(f"SELECT {quoted([a])} AS area, dimension FROM k WHERE {sql_has_word('text', a)}" for a in AREAS)
+
+
+@query(
+    f"""
+    WITH {_sql_encoded('documents', 'doc_id')}, {_GRID}, a(area) AS (VALUES {_NAMED}), t AS ({_MENTIONS}),
+         n AS (SELECT area, dimension, count(*) AS n FROM t GROUP BY 1, 2)
+    SELECT area, dimension, coalesce(n, 0) AS count, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY area) AS BIGINT) AS total_posts,
+           round(CASE WHEN sum(coalesce(n, 0)) OVER (PARTITION BY area) = 0 THEN 0
+                 ELSE coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY area)::DOUBLE * 100.0 END, 6) AS percentage
+    FROM a CROSS JOIN d LEFT JOIN n USING (area, dimension)
+    """
+)
+def post_shares(spark: SparkSession, sf: str) -> DataFrame:
+    labels, prototypes = scoring.phrase_prototypes(spark, BLOCKS, **_ENCODER)
+    posts = text_table(spark, sf, "documents").select("doc_id", "text")
+    shares = plan.post_shares(posts, "doc_id", "text", AREAS, prototypes, labels, **_ENCODER)
+    return shares.select("area", "dimension", "count", "total_posts", F.round("percentage", 6).alias("percentage"))
+
+
+@query(
+    f"""
+    WITH {_sql_encoded('conversations', 'conv_id, turn, role')}, {_GRID}, a AS (SELECT DISTINCT role FROM conversations),
+         l AS (SELECT doc_id, CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 1 ELSE 0 END AS s FROM labels),
+         r AS (SELECT k.*, s FROM k JOIN l ON conv_id = doc_id),
+         n AS (SELECT role, dimension, count(*) AS n, sum(s) AS s FROM r WHERE length(clean) >= {MIN_CHARS} GROUP BY 1, 2),
+         t AS (SELECT role, count(*) FILTER (turn = 0) AS videos, count(*) FILTER (turn > 0) AS comments FROM r GROUP BY 1)
+    SELECT role AS area, dimension, round(coalesce(s::DOUBLE / n, 0), 6) AS avg_sentiment, coalesce(n, 0) AS mentions_count,
+           round(CASE WHEN sum(coalesce(n, 0)) OVER (PARTITION BY role) = 0 THEN 0
+                 ELSE coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY role)::DOUBLE * 100.0 END, 6) AS percentage_of_total,
+           videos AS videos_analyzed, comments AS comments_analyzed
+    FROM a CROSS JOIN d LEFT JOIN n USING (role, dimension) JOIN t USING (role)
+    """
+)
+def comment_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    labels, prototypes = scoring.phrase_prototypes(spark, BLOCKS, **_ENCODER)
+    rated = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("conv_id"), F.when(F.col("toxic") == 1, -1.0).when(F.col("quality") == 1, 1.0).otherwise(0.0).alias("sentiment")
+    )
+    turns = text_table(spark, sf, "conversations").join(rated, "conv_id")
+    turns = turns.withColumns({"is_parent": F.col("turn") == 0, "is_raw": F.col("turn") > 0})
+    rows = plan.comment_sentiment(turns, "role", "conv_id", "text", "sentiment", prototypes, "is_parent", "is_raw", labels, **_ENCODER)
+    return rows.select(
+        F.col("role").alias("area"),
+        "dimension",
+        F.round("avg_sentiment", 6).alias("avg_sentiment"),
+        "mentions_count",
+        F.round("percentage_of_total", 6).alias("percentage_of_total"),
+        "videos_analyzed",
+        "comments_analyzed",
+    )
+
+
 @query(
     """
     WITH u AS (SELECT lang, 'documents' AS s FROM documents

@@ -319,10 +319,7 @@ _HOUSING, _FOOD, _INCOME = ((221, 160, 221), (75, 0, 130)), ((255, 218, 185), (2
     """
 )
 def color_classes(spark: SparkSession, sf: str) -> DataFrame:
-    values = _values(spark, sf)
-    by_name = reshape.color_classes(values)
-    two = reshape.color_classes(values, RED_GREEN).withColumnRenamed("color", "red_green")
-    return by_name.join(two, ["parameter", "value"])
+    return reshape.color_classes(_values(spark, sf), {"color": None, "red_green": RED_GREEN})
 
 
 @query(

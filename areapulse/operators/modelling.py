@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from areapulse.operators.ranking import number_rows, value_ranks
 from areapulse.operators.sizing import local_table
 from areapulse.params import FOLDS, FOREST, LASSO_ALPHA, PLS_COMPONENTS
+from areapulse.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -376,15 +379,18 @@ def stack_regressors(df: DataFrame, features: Sequence[str], target: str, fold:
     if not features:
         mean = LinearModel((), (), float(total.sums[-1] / total.n))
         return Stack((), None, mean, (0.0, 0.0, 1.0))
-    out_of_fold = None
-    for f, held in parts:
+
+    def held_out(f: object, held: Moments) -> DataFrame:
         train, rest = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
         rf = random_forest(train, features, target, **forest)
         pls = pls_from_moments(total - held, features, components)
-        part = rf.transform(_assembled(rest, features)).select(
+        return rf.transform(_assembled(rest, features)).select(
             F.col("prediction").alias("rf"), pls.score().alias("pls"), F.col(target).cast("double").alias("y")
         )
-        out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
+
+    # The folds are jobs of their own; a forest alone leaves most of a cluster idle between its levels.
+    with ThreadPoolExecutor(len(parts)) as pool:
+        out_of_fold = reduce(DataFrame.unionByName, pool.map(lambda p: held_out(*p), parts))
     # Three columns: their moments give the least-squares weights in one pass.
     m = fold_moments(out_of_fold, ["rf", "pls"], "y")[0]
     mean, c = m.centred()
@@ -421,14 +427,31 @@ def regression_metrics(df: DataFrame, group: Sequence[str], actual: str, predict
 def spearman(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataFrame:
     """Spearman correlation with average ranks on ties, per group.
 
-    Ranks come from value buckets, so neither one group nor one value is ordered by a single task.
+    Rows without one of the values are left out. Equal pairs are counted first; the ranks of the distinct values and the
+    correlation then work on the counts, so a value that occurs very often is one row.
     """
-    rows = df.select(*group, a, b)
+    group = list(group)
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*group, a, b).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = cut_lineage(pairs, "value-pairs")
+    rows = pairs
     for name in (a, b):
-        ranks = value_ranks(rows.select(*group, name), name, group)
-        ranks = ranks.select(*group, name, (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"_rank_{name}"))
-        rows = rows.join(ranks, [*group, name])
-    return rows.groupBy(*group).agg(F.corr(f"_rank_{a}", f"_rank_{b}").alias("spearman"))
+        each = pairs.select(*group, name, "_n")
+        ranks = value_ranks(each, name, group, weight="_n")
+        same = F.col(name) == F.col("_value")
+        for i, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(f"_k{i}"))
+        ranks = ranks.select(
+            *[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)],
+            F.col(name).alias("_value"),
+            (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"_rank_{name}"),
+        )
+        rows = rows.join(ranks, same).drop("_value", *[f"_k{i}" for i in range(len(group))])
+    n, x, y = F.col("_n"), F.col(f"_rank_{a}"), F.col(f"_rank_{b}")
+    sums = rows.groupBy(*group).agg(
+        *[F.sum(v).alias(k) for k, v in {"_w": n, "_x": n * x, "_y": n * y, "_xx": n * x * x, "_yy": n * y * y, "_xy": n * x * y}.items()]
+    )
+    cov, vx, vy = (F.col(f"_{p}{q}") * F.col("_w") - F.col(f"_{p}") * F.col(f"_{q}") for p, q in ("xy", "xx", "yy"))
+    return sums.select(*group, F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx) / F.sqrt(vy)).alias("spearman"))
 
 
 def compare_models(metrics: DataFrame, target: str, model: str, base: Sequence[str], stacked: str) -> DataFrame:

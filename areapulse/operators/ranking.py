@@ -20,13 +20,15 @@ def _ranged(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return cut_lineage(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), name)
 
 
-def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, group: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Per distinct (group, value): ``n`` rows, ``before`` rows and ``dense`` distinct values below, within the group.
 
     ``first rank = before + 1`` and ``average rank = before + (n + 1) / 2``. A null value ranks first; a null group is one.
+    With ``weight`` a row stands for so many.
     """
     group = list(group)
-    cut = _ranged(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")), [*group, value], "value-ranges")
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    cut = _ranged(df.groupBy(*group, value).agg(n.alias("n")), [*group, value], "value-ranges")
     below = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*group, "_range").orderBy(value)
     local = cut.withColumns({"_below": F.coalesce(F.sum("n").over(below), F.lit(0)), "_dense": F.row_number().over(inside)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,24 +162,29 @@ def _palette(parameter: Column, which: int, channel: int) -> Column:
     return out.otherwise(F.lit(DEFAULT_PALETTE[which][channel]))
 
 
-def color_classes(values: DataFrame, colours: tuple | None = None) -> DataFrame:
-    """Colour per distinct value of a parameter: its rank on a linear gradient. A single value takes the start colour.
+def color_classes(values: DataFrame, named: Mapping[str, tuple | None] = MappingProxyType({"color": None})) -> DataFrame:
+    """Colours per distinct value of a parameter: its rank on linear gradients. A single value takes the start colour.
 
-    Without ``colours`` (start, end) the palette follows the parameter's name.
+    ``named`` gives a (start, end) for each output column; without one the palette follows the parameter's name. The
+    values are ranked once for all columns.
     """
     ranks = value_ranks(values, "value", ["parameter"])
     steps = ranks.groupBy("parameter").agg(F.max("dense").alias("_top"))
     at = ranks.join(steps, "parameter")
     ratio = F.when(F.col("_top") > 1, (F.col("dense") - 1) / (F.col("_top") - 1)).otherwise(F.lit(0.0))
-    hexes = []
-    for channel in range(3):
-        if colours is None:
-            a, b = (_palette(F.col("parameter"), w, channel) for w in (0, 1))
-        else:
-            a, b = (F.lit(colours[w][channel]) for w in (0, 1))
-        # Cut towards zero; every channel is positive.
-        hexes.append(F.lpad(F.lower(F.hex(F.floor(a + (b - a) * ratio).cast("long"))), 2, "0"))
-    return at.select("parameter", "value", F.concat(F.lit("#"), *hexes).alias("color"))
+
+    def colour(colours: tuple | None) -> Column:
+        hexes = []
+        for channel in range(3):
+            if colours is None:
+                a, b = (_palette(F.col("parameter"), w, channel) for w in (0, 1))
+            else:
+                a, b = (F.lit(colours[w][channel]) for w in (0, 1))
+            # Cut towards zero; every channel is positive.
+            hexes.append(F.lpad(F.lower(F.hex(F.floor(a + (b - a) * ratio).cast("long"))), 2, "0"))
+        return F.concat(F.lit("#"), *hexes)
+
+    return at.select("parameter", "value", *[colour(c).alias(name) for name, c in named.items()])
 
 
 def parameter_summary(values: DataFrame) -> DataFrame:

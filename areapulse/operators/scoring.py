@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from areapulse.functions.text import words
+from areapulse.functions.text import phrase, words
 from areapulse.functions.vectors import argmax_index, cosine_to
-from areapulse.operators.sizing import small_side
+from areapulse.operators.sizing import local_table, small_side
 
 
 def prototype_vectors(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -65,6 +67,29 @@ def encode_text(df: DataFrame, text: str, out: str = "vector", width: int = 1024
     return df.withColumn(out, run(F.col(text)))
 
 
+def term_counter(vocabulary: Sequence[str]) -> Callable[[list[str]], Sequence]:
+    """An encoder: how often each word of a list occurs in a text."""
+    place = {w: i for i, w in enumerate(vocabulary)}
+
+    def encode(texts: list[str]) -> Sequence:
+        out = np.zeros((len(texts), len(place)))
+        for row, text in zip(out, texts):
+            for w in re.findall(r"\w+", text.lower()):
+                if w in place:
+                    row[place[w]] += 1
+        return out
+
+    return encode
+
+
+def phrase_prototypes(spark: SparkSession, blocks: Mapping[str, str], **encoder: object) -> tuple[list[str], list[list[float]]]:
+    """Classes and their vectors: each keyword block becomes one phrase, encoded as the texts are. One row per class."""
+    rows = local_table(spark, [(i, k, v) for i, (k, v) in enumerate(blocks.items())], "i int, label string, block string")
+    phrases = rows.select("i", "label", phrase(F.col("block")).alias("phrase"))
+    found = encode_text(phrases, "phrase", **encoder).orderBy("i").collect()
+    return [r["label"] for r in found], [list(r["vector"]) for r in found]
+
+
 def cosine_scores(df: DataFrame, vector: str, prototypes: Sequence[Sequence[float]], out: str = "scores") -> DataFrame:
     """Similarity of each row to every prototype, in prototype order."""
     return df.withColumn(out, cosine_to(prototypes)(F.col(vector)))

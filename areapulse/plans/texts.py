@@ -43,19 +43,27 @@ def classed_by_vectors(
     return scored.withColumn("dimension", F.when(short, F.lit(OTHER)).otherwise(best)).drop("vector", "scores")
 
 
-def post_shares(df: DataFrame, key: str, text: str, areas: Sequence[str], prototypes: Sequence[Sequence[float]], **encoder: object) -> DataFrame:
+def post_shares(
+    df: DataFrame,
+    key: str,
+    text: str,
+    areas: Sequence[str],
+    prototypes: Sequence[Sequence[float]],
+    labels: Sequence[str] = DIMENSIONS,
+    **encoder: object,
+) -> DataFrame:
     """Posts -> class and area mentions -> shares per area; short posts count as OTHER.
 
     The mentions are tagged on the classified rows, so the two text passes share one scan.
     """
-    classed = classed_by_vectors(df, key, text, prototypes, **encoder)
+    classed = classed_by_vectors(df, key, text, prototypes, labels, **encoder)
     tagged = keywords.tag_area_mentions(classed, text, areas, ["dimension"])
     every_area = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(a) for a in areas])).alias("area"))
-    return indicators.dimension_shares(tagged, "area", "dimension", [*DIMENSIONS, OTHER], every_area)
+    return indicators.dimension_shares(tagged, "area", "dimension", [*labels, OTHER], every_area)
 
 
-def comment_sentiment(df: DataFrame, area: str, key: str, text: str, sentiment: str, prototypes: Sequence[Sequence[float]], parent: str, raw: str, **encoder: object) -> DataFrame:
+def comment_sentiment(df: DataFrame, area: str, key: str, text: str, sentiment: str, prototypes: Sequence[Sequence[float]], parent: str, raw: str, labels: Sequence[str] = DIMENSIONS, **encoder: object) -> DataFrame:
     """Comments and video heads -> class -> sentiment per area and dimension; short texts are left out of the shares."""
-    classed = classed_by_vectors(df, key, text, prototypes, **encoder)
+    classed = classed_by_vectors(df, key, text, prototypes, labels, **encoder)
     kept = classed.withColumn("dimension", F.when(F.length("clean") >= MIN_CHARS, F.col("dimension")))
-    return indicators.conditional_sentiment(kept, area, "dimension", sentiment, [*DIMENSIONS, OTHER], parent, raw)
+    return indicators.conditional_sentiment(kept, area, "dimension", sentiment, [*labels, OTHER], parent, raw)
