@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -222,12 +223,14 @@ def fit_toxicity(
         return ToxicityModel(None, [], [((toxic or 0) + 1) / (n + 2)])
     # Fixed partitions and order, so that the fit does not depend on the cluster.
     ready = made.select("doc_id", "label", array_to_vector("x").alias("features")).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
-    held = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0
-    grown = ready.where(~held)
-    n_classes = grown.select("label").distinct().count()
-    if n_classes < 2 or not ready.where(held).head(1):
-        held, grown = F.lit(True), ready
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=32, seed=7).fit(grown)
-    scored = model.transform(ready.where(held)).select("label", vector_to_array("probability")[1].alias("p"))
+    grower = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=32, minInstancesPerNode=5, seed=7)
+    # Calibrated on rows that the trees have not seen: each half is scored by trees grown on the other half.
+    half = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(2)) == 0
+    halves = [(ready.where(half), ready.where(~half)), (ready.where(~half), ready.where(half))]
+    if any(grown.select("label").distinct().count() < 2 for grown, _ in halves):
+        halves = [(ready, ready)]
+    p = vector_to_array("probability")[1].alias("p")
+    scored = reduce(DataFrame.unionByName, [grower.fit(grown).transform(rest).select("label", p) for grown, rest in halves])
+    model = grower.fit(ready)
     steps = IsotonicRegression(featuresCol="p", labelCol="label").fit(scored)
     return ToxicityModel(model, [float(x) for x in steps.boundaries], [min(1.0, max(0.0, float(x))) for x in steps.predictions])
