@@ -13,6 +13,7 @@ from areapulse.operators import scoring, tokens, topics
 from areapulse.operators.sizing import local_table
 from areapulse.params import MIN_CHARS, OTHER, STOP_WORDS, THRESHOLD
 from areapulse.plans import texts as plan
+from areapulse.plans import trends
 from areapulse.sources.tables import table, text_table
 
 DIMENSIONS = [*STOP_WORDS, OTHER]
@@ -160,6 +161,35 @@ def nonzero_dimension_mean(spark: SparkSession, sf: str) -> DataFrame:
     return ind.nonzero_dimension_mean(means, ["area", "period"], "keyword", "mean_value", TREND_GROUPS)
 
 
+@query(
+    f"""
+    WITH y AS (SELECT CAST(user_id % 10 AS VARCHAR) AS area, year(ts) AS year, CAST(user_id % 3 AS VARCHAR) AS collection,
+                      event_type AS keyword, value FROM events),
+         w(keyword) AS (VALUES {', '.join(f"('{w}')" for w in TREND_WORDS)}),
+         m AS (SELECT area, year, collection, keyword, {_R2.format('avg(value)')} AS v FROM y WHERE year = 2024 GROUP BY ALL),
+         b AS (SELECT area, year, keyword, {_R2.format('avg(v)')} AS v FROM m GROUP BY ALL),
+         g AS (SELECT area, year, keyword, coalesce(v, 0) AS mean_value
+               FROM (SELECT DISTINCT area, year FROM y WHERE year = 2024) CROSS JOIN w LEFT JOIN b USING (area, year, keyword)),
+         d(dimension, keyword) AS (VALUES {', '.join(f"('{d}', '{w}')" for d, ws in TREND_GROUPS.items() for w in ws)})
+    SELECT area, CAST(year AS INTEGER) AS year, dimension, coalesce({_R2.format('avg(mean_value) FILTER (mean_value > 0)')}, 0) AS mean_value
+    FROM g JOIN d USING (keyword) GROUP BY 1, 2, 3
+    """
+)
+def dimension_interest(spark: SparkSession, sf: str) -> DataFrame:
+    # One trend document per event, nested as the collector stores it.
+    events = table(spark, sf, "events")
+    point = F.struct(
+        F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"),
+        F.array(F.struct(F.col("event_type").alias("query"), F.col("value").alias("extracted_value"))).alias("values"),
+    )
+    docs = events.select(
+        F.struct(F.array(point).alias("timeline_data")).alias("interest_over_time"),
+        (F.col("user_id") % 10).cast("string").alias("area"),
+        (F.col("user_id") % 3).cast("string").alias("keyword_set"),
+    )
+    return trends.dimension_interest(docs, [2024], TREND_GROUPS)
+
+
 # Keyword blocks with the blanks of a typed list; each becomes one phrase and is encoded as the texts are.
 BLOCKS = {lang: "\n  " + "\n  ".join(ws) + " " for lang, ws in STOP_WORDS.items()}
 VOCABULARY = ALL_STOP

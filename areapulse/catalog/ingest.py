@@ -15,13 +15,14 @@ from areapulse.sources.tables import table
 
 @query(
     """
-    SELECT 'nation.parquet' AS source_file, count(*) AS n_rows FROM nation
-    UNION ALL SELECT 'region.parquet', count(*) FROM region
+    SELECT 'nation.parquet' AS source_file, n_nationkey AS key, n_name AS name FROM nation
+    UNION ALL SELECT 'region.parquet', r_regionkey, r_name FROM region
     """
 )
 def scan_multi_file(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tables.scan_multi_file(spark, [f"{sf}/nation.parquet", f"{sf}/region.parquet"], "n_nationkey int, r_regionkey int")
-    return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"))
+    schema = "n_nationkey int, n_name string, r_regionkey int, r_name string"
+    rows = tables.scan_multi_file(spark, [f"{sf}/nation.parquet", f"{sf}/region.parquet"], schema)
+    return rows.select("source_file", F.coalesce("n_nationkey", "r_regionkey").alias("key"), F.coalesce("n_name", "r_name").alias("name"))
 
 
 @query(
@@ -116,6 +117,18 @@ def dedupe_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.dedupe_keep_last(keyed, "text_key", "doc_id").drop("text_key")
 
 
+@query(
+    """
+    SELECT doc_id, lang, n_chars FROM (
+      SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1
+    """
+)
+def dedupe_keep_first(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    keyed = docs.select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("text_key"))
+    return ingest.dedupe_keep_first(keyed, "text_key", "doc_id").drop("text_key")
+
+
 INSERT_STORED = ("src0", "src1", "src2", "src3", "src4", "src5", "src6", "src7")
 
 
