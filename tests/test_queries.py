@@ -6,7 +6,6 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 LEARNERS = sorted(set(queries()) - set(oracle_sql()))
-SLOW = {"grid_search", "nowcast", "topic_top_terms"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def test_equals_sql(spark, data, duck, name):
     assert compare.differences(got, duck.execute(oracle_sql()[name]).df()) == []
 
 
-@pytest.mark.parametrize("name", [n for n in LEARNERS if n not in SLOW])
+@pytest.mark.parametrize("name", LEARNERS)
 def test_learner_runs(spark, data, name):
     assert queries()[name](spark, data).count() > 0
 
