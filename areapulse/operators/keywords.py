@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from areapulse.functions.arrays import bind, explode_once, word_ngrams
 from areapulse.functions.text import WORD, nfc, nfc_text, word_pattern, words
-from areapulse.operators.sizing import BROADCAST_ROWS, local_table, small_side
+from areapulse.operators.sizing import BROADCAST_ROWS, local_table
 
 
 @dataclass(frozen=True)
@@ -105,11 +105,11 @@ def tag_area_table(df: DataFrame, key: str, text: str, areas: DataFrame) -> Data
     other = names.where((F.col("gram") != F.lower("area")) | (F.col("n_words") > 1))
     lengths = sorted(r["n_words"] for r in other.select("n_words").distinct().collect())
     found = F.array_distinct(words(F.col(text)))
-    sure = explode_once(df, [key], found, "gram").join(small_side(plain), "gram").select(key, "area")
+    sure = explode_once(df, [key], found, "gram").join(plain, "gram").select(key, "area")
     if not lengths:
         return sure
     grams = F.array_distinct(word_ngrams(words(F.col(text)), lengths))
-    proposed = explode_once(df, [key], grams, "gram").join(small_side(other.select("area", "gram")), "gram")
+    proposed = explode_once(df, [key], grams, "gram").join(other.select("area", "gram"), "gram")
     checked = proposed.join(df.select(key, text), key).where(_exact_hits(F.col(text), F.col("area")) > 0)
     return sure.unionByName(checked.select(key, "area"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from areapulse.functions.text import phrase, words
 from areapulse.functions.vectors import argmax_index, cosine_to
-from areapulse.operators.sizing import local_table, small_side
+from areapulse.operators.sizing import local_table
 
 
 def prototype_vectors(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -173,7 +173,7 @@ def capped_sample(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
 def context_rollup(df: DataFrame, context: str, mapping: DataFrame, measure: str) -> DataFrame:
     """Rows and mean measure per dimension; a row found under k contexts counts k times."""
     return (
-        df.join(small_side(mapping), context)
+        df.join(mapping, context)
         .groupBy("dimension")
         .agg(F.count(F.lit(1)).alias("comments_count"), F.avg(measure).alias("avg_sentiment"))
     )

@@ -1,4 +1,4 @@
-"""Broadcast only what was measured."""
+"""Configuration as local relations. Derived sides carry no hint: adaptive execution broadcasts them by their measured bytes."""
 
 from __future__ import annotations
 
@@ -6,23 +6,13 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-# A lookup side of this many narrow rows is some megabytes.
+# A configuration list of this many narrow rows is some megabytes.
 BROADCAST_ROWS = 200_000
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it holds at most ``max_rows`` rows, unchanged otherwise.
-
-    Without the hint the join shuffles and AQE splits skewed keys. The count stops at the limit.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A few configuration rows as a local relation: no Python workers, and Catalyst knows its size."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))

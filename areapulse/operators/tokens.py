@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from areapulse.functions.arrays import bind, explode_once, word_ngrams
 from areapulse.functions.text import letter_words, words
 from areapulse.operators.ranking import number_rows
-from areapulse.operators.sizing import local_table, small_side
+from areapulse.operators.sizing import local_table
 
 # Up to this size a lemma list is a literal map; longer lists are joined.
 MAP_ENTRIES = 500
@@ -34,7 +34,7 @@ def lemma_lookup(df: DataFrame, key: str, tokens: str, lemmas: Mapping[str, str]
     if isinstance(lemmas, Mapping):
         lemmas = local_table(df.sparkSession, list(lemmas.items()), "token string, lemma string")
     at = df.select(key, F.posexplode(tokens).alias("pos", "token"))
-    mapped = at.join(small_side(lemmas), "token", "left").select(key, "pos", F.coalesce("lemma", "token").alias("lemma"))
+    mapped = at.join(lemmas, "token", "left").select(key, "pos", F.coalesce("lemma", "token").alias("lemma"))
     gathered = mapped.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda s: s["lemma"]).alias(out)
     )
