@@ -175,17 +175,23 @@ class Moments:
         return mean, self.cross - self.n * np.outer(mean, mean)
 
 
+# Most numbers of all fold matrices together; a task and the driver hold so many.
+MOST_MOMENTS = 5_000_000
+
+
 def fold_moments(df: DataFrame, features: Sequence[str], target: str, fold: str | None = None) -> dict[int, Moments]:
     """Moments per fold in one pass.
 
     Each task turns its Arrow batches into one small matrix per fold; the matrices are summed by Spark. The driver
-    gets folds x (p + 2) squared numbers.
+    gets folds x (p + 2) squared numbers, and more than ``MOST_MOMENTS`` are refused.
     """
     names = [*features, target]
     columns = [F.col(n).cast("double").alias(n) for n in names]
     part = F.lit(0) if fold is None else F.col(fold)
     rows = df.select(part.cast("int").alias("_fold"), *columns).dropna()
 
+    many = f"the folds have more than {MOST_MOMENTS} moments; use fewer folds or features"
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -194,6 +200,8 @@ def fold_moments(df: DataFrame, features: Sequence[str], target: str, fold: str
             for f in np.unique(folds):
                 x = matrix[folds == f]
                 sums[f] = sums.get(f, 0.0) + x.T @ x
+            if len(sums) * (len(names) + 1) ** 2 > MOST_MOMENTS:
+                raise ValueError(many)
         for f, m in sums.items():
             i, j = np.indices(m.shape)
             yield pd.DataFrame({"fold": int(f), "i": i.ravel(), "j": j.ravel(), "v": m.ravel()})
@@ -201,7 +209,10 @@ def fold_moments(df: DataFrame, features: Sequence[str], target: str, fold: str
     sums = rows.mapInPandas(partial, "fold int, i int, j int, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v"))
     size = len(names) + 1
     full: dict[int, np.ndarray] = {}
-    for r in sums.collect():
+    collected = sums.limit(MOST_MOMENTS + 1).collect()
+    if len(collected) > MOST_MOMENTS:
+        raise ValueError(many)
+    for r in collected:
         full.setdefault(r["fold"], np.zeros((size, size)))[r["i"], r["j"]] = r["v"]
     return {f: Moments(m[0, 0], m[0, 1:], m[1:, 1:]) for f, m in full.items()}
 
@@ -258,7 +269,7 @@ def pls_select_components(df: DataFrame, features: Sequence[str], target: str, f
     """Cross-validated MSE per number of components, with the best one marked.
 
     Training moments are the total minus the fold, so every k and every fold come from the same single pass. A fold
-    column with one row per fold is leave-one-out.
+    column with one row per fold is leave-one-out, for as many rows as ``MOST_MOMENTS`` allows.
     """
     moments = fold_moments(df, features, target, fold)
     parts = list(moments.values())
