@@ -5,13 +5,16 @@
    ``n - ceil(s n) + l`` tokens share at least l), so only prefix tokens that two sets hold are looked at.
 3. Partition: every set is compared with one pivot, the most central set among those it shares prefix tokens with.
    Verified pairs put similar sets into one group; thousands of copies of a text become a star around one of them.
-4. The token-group matrix holds the union of each group's prefix tokens, with the sizes of the sets behind them. A set's
+4. Sets near one pivot are a family, known by what they lack of the pivot and what they add. A set that misses the
+   pivot can only reach a member that shares more than about half of the member's own changes with it, so pairs inside a
+   family are sought through those few tokens.
+5. The token-group matrix holds the union of each group's prefix tokens, with the sizes of the sets behind them. A set's
    overlap with a group's union bounds its overlap with every member, so only groups that reach the bound are opened, and
    only their members of fitting size that share enough tokens are verified, on the whole sets.
-5. Classes are the connected components of all verified pairs.
+6. Classes are the connected components of all verified pairs.
 
-No step is approximate: steps 3 and 4 only leave out pairs that are connected already or cannot reach the threshold.
-Tokens are 64-bit hashes and sets have 128-bit names; two different ones meet with a probability of about n^2 / 2^64.
+No step is approximate: steps 3 to 5 only leave out pairs that are connected already or cannot reach the threshold.
+Tokens and names of sets are 64-bit hashes; among n of them about n^2 / 2^65 pairs meet by chance.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; a text of fewer words than a
 shingle is one shingle; repeated rows and equal texts share a class; rows with a null id take part, and a class's name is
@@ -20,7 +23,6 @@ its smallest non-null id. Only the id and the text are read, so other columns ma
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +35,10 @@ from areapulse.llm.common import SPACED, components, joined, mix64, window_hashe
 from areapulse.session import cut_lineage
 
 #: Counters of the frequency sketch; two rows of so many.
-SKETCH = 1 << 16
+SKETCH_BITS = 18
+SKETCH = 1 << SKETCH_BITS
+#: Bits of the name filter.
+FILTER = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -72,11 +77,10 @@ def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
                 yield own
 
 
-def set_name(tokens: np.ndarray) -> bytes:
-    """128-bit name of a set, from two order-free sums."""
-    a = int(mix64(tokens).sum(dtype=np.uint64))
-    b = int(mix64(tokens ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
-    return struct.pack(">QQ", a, b)
+def set_name(tokens: np.ndarray) -> int:
+    """Name of a set, from an order-free sum of its tokens."""
+    total = mix64(tokens ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) + np.uint64(len(tokens))
+    return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
 
 
 def _frequency(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -87,7 +91,7 @@ def _frequency(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         def add() -> None:
             tokens = np.concatenate(held) if held else np.empty(0, np.uint64)
             counts[:SKETCH] += np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-            counts[SKETCH:] += np.bincount(((tokens >> np.uint64(16)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            counts[SKETCH:] += np.bincount(((tokens >> np.uint64(32)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             held.clear()
 
         for batch in batches:
@@ -105,7 +109,7 @@ def _frequency(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def rare_first(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Tokens from rare to frequent by the sketch's estimate, ties by hash; the same order for every set."""
     low = sketch[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]
-    high = sketch[((tokens >> np.uint64(16)) & np.uint64(SKETCH - 1)).astype(np.int64) + SKETCH]
+    high = sketch[((tokens >> np.uint64(32)) & np.uint64(SKETCH - 1)).astype(np.int64) + SKETCH]
     return tokens[np.argsort(np.minimum(low, high), kind="stable")]
 
 
@@ -122,7 +126,7 @@ def _fingerprints(rule: Threshold, sketch: np.ndarray) -> Callable[[Iterator[pa.
                 [
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
-                    pa.array(names, pa.binary()),
+                    pa.array(names, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "n", "sid", "prefix"],
@@ -131,33 +135,94 @@ def _fingerprints(rule: Threshold, sketch: np.ndarray) -> Callable[[Iterator[pa.
     return run
 
 
-def _tokens(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _bits(sid: int) -> tuple[int, int]:
+    """Places of a set in the name filter: its name is a hash already."""
+    return sid & (FILTER - 1), (sid >> 24) & (FILTER - 1)
+
+
+def name_filter(names: DataFrame) -> np.ndarray:
+    """A Bloom filter of a fixed size over set names, as bits: what it lets through besides is dropped by a later join."""
+    slots = names.select(F.explode(F.expr(f"array(sid & {FILTER - 1}L, shiftright(sid, 24) & {FILTER - 1}L)")).alias("s"))
+    words_of = slots.groupBy(F.expr("s div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("b"))
+    got = words_of.toArrow()
+    out = np.zeros(FILTER // 32, np.uint32)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _tokens(k: int, packed: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole sets of the wanted names, once per task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        done: set[int] = set()
         for batch in batches:
             names, sets = [], []
-            for sid, tokens in zip(batch.column("sid").to_pylist(), shingle_sets(batch.column("text").to_pylist(), k)):
-                if set_name(tokens) == sid:  # another text may stand under a repeated id
+            for tokens in shingle_sets(batch.column("text").to_pylist(), k):
+                sid = set_name(tokens)
+                if len(tokens) and all(wanted[b] for b in _bits(sid)) and sid not in done:
+                    done.add(sid)
                     names.append(sid)
                     sets.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "tokens"])
 
     return run
 
 
-def _verify(rule: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: A set that shares less than this part of the union with its pivot is in no family.
+NEAR = 0.6
+
+COMPARED = "u long, v long, linked boolean, near boolean, lacks array<bigint>, adds array<bigint>"
+
+
+def _compare(rule: Threshold, changes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whether each pair reaches the threshold on its whole sets; with ``changes``, what u lacks of v and what it adds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            linked, near, lacks, adds = [], [], [], []
             for x, y in zip(batch.column("tx"), batch.column("ty")):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(rule.den * both >= rule.num * (len(a) + len(b) - both))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
+                union = len(a) + len(b) - both
+                linked.append(rule.den * both >= rule.num * union)
+                near.append(changes and both >= NEAR * union)
+                lacks.append(np.setdiff1d(b, a, assume_unique=True).view(np.int64) if near[-1] else None)
+                adds.append(np.setdiff1d(a, b, assume_unique=True).view(np.int64) if near[-1] else None)
+            kinds = [pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            made = [pa.array(x, t) for x, t in zip((linked, near, lacks, adds), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *made], names=["u", "v", "linked", "near", "lacks", "adds"])
 
     return run
 
 
+def family_pairs(compared: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(sid, family) of the sets near a pivot, and the pairs (u, v) inside families that may still be similar.
+
+    Let a member lack r tokens of the pivot and add a. Two members share the pivot's tokens that neither lacks and the
+    additions of both, so they reach the threshold if they agree in s changes, where s is a sum of a part of each. For a
+    set that misses the pivot its own part alone is positive, so the other member's part, (num a + den r) / (num + den),
+    must be exceeded by the changes of that member that the two agree in. Of any ``r + a - part`` changes of the member
+    one is then shared; additions come first, since they are rarer.
+    """
+    pivots = compared.where("near").select(F.col("v").alias("sid")).distinct()
+    members = compared.where("near").join(pivots, F.col("u") == F.col("sid"), "left_anti")
+    tag = lambda column, kind: F.transform(column, lambda t: F.xxhash64(F.lit(kind), t))
+    r, a = F.size("lacks"), F.size("adds")
+    members = members.select(
+        F.col("u").alias("sid"),
+        F.col("v").alias("family"),
+        "linked",
+        F.concat(tag("adds", 1), tag("lacks", 0)).alias("changes"),
+        F.floor((a * rule.num + r * rule.den) / (rule.num + rule.den)).cast("int").alias("part"),
+    )
+    members = cut_lineage(members, "families")
+    sought = members.select("family", F.col("sid").alias("v"), F.explode(F.slice("changes", F.lit(1), F.size("changes") - F.col("part"))).alias("token"))
+    missing = members.where("NOT linked").select("family", F.col("sid").alias("u"), F.explode("changes").alias("token"))
+    pairs = missing.join(sought, ["family", "token"]).where("u <> v").select("u", "v").distinct()
+    return members.select("sid", "family").unionByName(pivots.select("sid", F.col("sid").alias("family"))), pairs
+
+
 def similar_documents(docs: DataFrame, rule: Threshold = Threshold(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` (smallest id of its class)."""
     spark = docs.sparkSession
@@ -166,77 +231,84 @@ def similar_documents(docs: DataFrame, rule: Threshold = Threshold(), doc_id: st
     # Frequency sketch: a fixed number of counters, over all documents.
     counted = source.select("text").mapInArrow(_frequency(rule.shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     sketch = np.zeros(2 * SKETCH, np.int64)
-    for row in counted.collect():
-        sketch[row["slot"]] = row["n"]
+    got = counted.toArrow()
+    sketch[got["slot"].to_numpy()] = got["n"].to_numpy()
 
     id_type = source.schema["doc_id"].dataType.simpleString()
-    found = source.mapInArrow(_fingerprints(rule, sketch), f"doc_id {id_type}, n long, sid binary, prefix array<bigint>")
+    found = source.mapInArrow(_fingerprints(rule, sketch), f"doc_id {id_type}, n long, sid long, prefix array<bigint>")
     found = cut_lineage(found, "fingerprints")
     sets = found.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
-    # Prefix tokens that at least two sets hold.
-    entries = found.where("sid IS NOT NULL").select("sid", "n", F.explode("prefix").alias("token")).distinct()
-    entries = cut_lineage(entries, "prefix-tokens")
-    held = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = cut_lineage(entries.join(held, "token"), "shared-tokens")
+    # Prefix tokens that at least two sets hold. Copies repeat their entries, which changes neither end of the range.
+    entries = found.where("sid IS NOT NULL").select("sid", "n", F.explode_outer("prefix").alias("token"))
+    held = entries.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("token")
+    shared = cut_lineage(entries.join(held, "token", "left_semi").distinct(), "shared-tokens")
 
-    # Partition: one pivot per set.
+    # Partition: one pivot per set, the partner with which it shares most among the most central ones.
     size_fits = f"{rule.den} * least(n, pn) >= {rule.num} * greatest(n, pn)"
-    central = shared.groupBy("sid").agg(F.sum("df").alias("score"))
+    # The least number of prefix tokens that partners share follows from the size, as in Threshold.shared.
+    need = lambda n: F.when(F.ceil(F.col(n) * rule.num / rule.den) >= 24, 3).otherwise(1)
+    degree = shared.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    central = shared.join(degree, "token").groupBy("sid").agg(F.sum("df").alias("score"))
     pivots = shared.join(central, "sid").groupBy("token").agg(F.max(F.struct("score", "sid", "n")).alias("p"))
     pairs = (
         shared.join(pivots.select("token", F.col("p.sid").alias("pivot"), F.col("p.n").alias("pn")), "token")
         .where(f"sid <> pivot AND {size_fits}")
-        .groupBy("sid", "pivot")
+        .groupBy("sid", "pivot", "n", "pn")
         .agg(F.count(F.lit(1)).alias("c"))
+        .where(F.col("c") >= F.least(need("n"), need("pn")))
         .groupBy("sid")
         .agg(F.max(F.struct("c", "pivot")).alias("p"))
         .select(F.col("sid").alias("u"), F.col("p.pivot").alias("v"))
     )
 
-    # Whole sets of those that share a token, from one text of each.
-    live = shared.select("sid").distinct().join(sets, "sid").withColumnRenamed("doc_id", "rep")
-    texts = source.join(live, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text")
-    whole = cut_lineage(texts.mapInArrow(_tokens(rule.shingle), "sid binary, tokens binary").dropDuplicates(["sid"]), "whole-sets")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def compare(pairs: DataFrame, name: str, changes: bool = False) -> DataFrame:
+        """Pairs compared on their whole sets, which come from one more scan of the texts."""
+        pairs = cut_lineage(pairs, f"{name}-asked")
+        names = name_filter(pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))))
+        packed = np.packbits(names).tobytes()
+        whole = source.select("text").mapInArrow(_tokens(rule.shingle, packed), "sid long, tokens binary").dropDuplicates(["sid"])
         x = whole.select(F.col("sid").alias("u"), F.col("tokens").alias("tx"))
         y = whole.select(F.col("sid").alias("v"), F.col("tokens").alias("ty"))
         both = pairs.join(y, "v").join(x, "u").select("u", "v", "tx", "ty")
-        return cut_lineage(both.mapInArrow(_verify(rule), "u binary, v binary"), name)
-
-    stars = verified(pairs, "star-links")
-    groups = components(stars, "groups").withColumnRenamed("node", "sid").withColumnRenamed("root", "grp")
-    grouped = shared.join(groups, "sid", "left").select("token", "sid", "n", F.coalesce("grp", "sid").alias("grp"))
-    # The least number of prefix tokens that partners share follows from the size, as in Threshold.shared.
-    need = lambda n: F.when(F.ceil(F.col(n) * rule.num / rule.den) >= 24, 3).otherwise(1)
-
-    # The matrix: tokens of each group's union, if another group holds the token as well.
-    matrix = grouped.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    matrix = cut_lineage(matrix.join(several, "token"), "token-group-matrix")
+        return cut_lineage(both.mapInArrow(_compare(rule, changes), COMPARED), name)
+
+    stars = compare(pairs, "stars", True)
+    star_links = stars.where("linked").select("u", "v")
+    families, inside = family_pairs(stars, rule)
+    groups = components(star_links, "groups").select(F.col("node").alias("sid"), F.col("root").alias("grp"))
+    grouped = shared.join(groups, "sid", "left").join(families, "sid", "left")
+    grouped = grouped.select("token", "sid", "n", F.coalesce("grp", "sid").alias("grp"), F.coalesce("family", "sid").alias("family"))
+
+    # The matrix: tokens of each group's union, per family, if another group of another family holds the token as well.
+    matrix = grouped.groupBy("token", "grp", "family").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = cut_lineage(matrix, "token-group-matrix")
+    ends = [f(c).alias(f"{c}{i}") for c in ("grp", "family") for i, f in enumerate((F.min, F.max))]
+    several = matrix.groupBy("token").agg(*ends).where("grp0 <> grp1 AND family0 <> family1").select("token")
     cells = cut_lineage(grouped.join(several, "token", "left_semi"), "open-tokens")
+    others = matrix.withColumnsRenamed({"grp": "other", "family": "kin"})
     fits = f"{rule.den} * hi >= {rule.num} * n AND {rule.den} * n >= {rule.num} * lo"
     opened = (
-        cells.join(matrix.withColumnRenamed("grp", "other"), "token")
-        .where(f"grp < other AND {fits}")
-        .groupBy("sid", "n", "other")
+        cells.join(others, "token")
+        .where(f"grp < other AND family <> kin AND {fits}")
+        .groupBy("sid", "n", "other", "kin")
         .agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("lo"))
         .where(F.col("c") >= F.least(need("n"), need("lo")))
-        .select("sid", "other")
+        .select("sid", "other", "kin")
     )
-    member = cells.select("token", F.col("grp").alias("other"), F.col("sid").alias("v"), F.col("n").alias("pn"))
+    member = cells.select("token", F.col("grp").alias("other"), F.col("family").alias("kin"), F.col("sid").alias("v"), F.col("n").alias("pn"))
     candidates = (
         cells.select("token", "sid", "n")
         .join(opened, "sid")
-        .join(member, ["token", "other"])
+        .join(member, ["token", "other", "kin"])
         .where(size_fits)
         .groupBy(F.col("sid").alias("u"), "v", "n", "pn")
         .agg(F.count(F.lit(1)).alias("c"))
         .where(F.col("c") >= F.least(need("n"), need("pn")))
         .select("u", "v")
     )
-    links = stars.unionByName(verified(candidates, "group-links"))
+    rest = compare(candidates.unionByName(inside).distinct(), "opened")
+    links = star_links.unionByName(rest.where("linked").select("u", "v"))
     roots = components(links, "classes")
     # The smallest id of each class, then back to every document through its set.
     classed = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
