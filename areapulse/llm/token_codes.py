@@ -98,17 +98,19 @@ class TokenFile:
     def _rank(self, bits: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Set bits before each position: the directory, then at most 63 bytes and one part of a byte."""
         block = at // BLOCK
-        out = ranks[block].astype(np.int64)
-        byte = block * (BLOCK // 8)
-        for _ in range(BLOCK // 8):
-            on = byte < at // 8
-            if not on.any():
-                break
-            out[on] += np.bitwise_count(bits[byte[on]])
-            byte = byte + 1
+        byte = (block * (BLOCK // 8))[:, None] + np.arange(BLOCK // 8)
+        full = np.bitwise_count(bits[np.minimum(byte, len(bits) - 1)])
+        out = ranks[block].astype(np.int64) + np.where(byte < (at // 8)[:, None], full, 0).sum(axis=1, dtype=np.int64)
         last = np.minimum(at // 8, len(bits) - 1)
         return out + np.bitwise_count(bits[last] & ((1 << (at % 8)) - 1).astype(np.uint8))
 
+    @staticmethod
+    def _rank_one(bits: np.ndarray, ranks: np.ndarray, at: int) -> int:
+        """The same for one position."""
+        block, byte = at // BLOCK, at // 8
+        out = int(ranks[block]) + int(np.bitwise_count(bits[block * (BLOCK // 8) : byte]).sum())
+        return out + (int(bits[byte]) & ((1 << (at % 8)) - 1)).bit_count() if at % 8 else out
+
     def tokens(self, at: np.ndarray) -> np.ndarray:
         """Ids at any positions, in any order."""
         at = np.asarray(at, np.int64)
@@ -133,7 +135,7 @@ class TokenFile:
             out[on] |= chunks[first : first + len(on)].astype(np.uint32) << np.uint32(8 * depth)
             lo = first // 8
             flags = np.unpackbits(bits[lo : -(-(first + len(on)) // 8)], bitorder="little")[first - lo * 8 :][: len(on)]
-            first = int(self._rank(bits, ranks, np.array([first]))[0])
+            first = self._rank_one(bits, ranks, first)
             on = on[flags == 1]
         return out
 
@@ -148,7 +150,7 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
 
 @dataclass
 class WordEncoder:
-    """Encodes texts word by word with a bounded cache.
+    """Encodes texts word by word with a bounded cache of two generations.
 
     Right for tokenizers whose normalizer and pre-tokenizer never look across white space, as those of a word-level BPE.
     ``lower`` says that the tokenizer lower-cases and splits letters from marks; words of one spelling then share an entry.
@@ -156,39 +158,67 @@ class WordEncoder:
 
     spec: str
     lower: bool = True
-    limit: int = 800_000
+    limit: int = 400_000
 
     def __post_init__(self) -> None:
         # Spark runs one task per core; threads of the tokenizer would only compete with them.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(self.spec)
-        self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() if len(x.ids) > 1 else x.ids[0].to_bytes(4, "little") if x.ids else b"" for x in got]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.closes[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.words: tuple[dict, dict] = ({}, {})  # young and old
+        self.parts: tuple[dict, dict] = ({}, {})
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are one pre-token each: all in one call, cut where a token closes a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        past = np.flatnonzero(self.closes[ids]) + 1
+        if len(past) != len(pieces) or (len(past) and past[-1] != len(ids)):
+            return self._encode_each(pieces)
+        data, cuts = ids.tobytes(), (past * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _encode_each(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _recall(self, known: tuple[dict, dict], asked: list) -> list:
+        """What neither generation has; what only the old one has becomes young again."""
+        young, old = known
+        young.update((x, old[x]) for x in asked if x in old)
+        return [x for x in asked if x not in young]
+
+    def _aged(self, known: tuple[dict, dict]) -> tuple[dict, dict]:
+        return ({}, known[0]) if len(known[0]) > self.limit else known
 
     def _learn(self, missing: list[bytes]) -> None:
         spelled = [w.decode("utf-8", "replace") for w in missing]
         split = [_PLAIN.fullmatch(w) if self.lower else None for w in spelled]
-        pieces = [[m[1].lower(), *([m[2]] if m[2] else [])] if m else [w] for w, m in zip(spelled, split)]
-        new = list({p for x in pieces for p in x if p not in self.parts})
-        self.parts.update(zip(new, self._encode(new)))
-        for w, x in zip(missing, pieces):
-            self.cache[w] = b"".join([self.parts[p] for p in x])
+        pieces = [(m[1].lower(), m[2]) if m else None for m in split]
+        asked = list({p for x in pieces if x for p in x if p})
+        new = self._recall(self.parts, asked)
+        if new:
+            self.parts[0].update(zip(new, self._encode(new)))
+        known, words = self.parts[0], self.words[0]
+        odd = [(w, x) for w, x, p in zip(missing, spelled, pieces) if p is None]
+        words.update(zip([w for w, _ in odd], self._encode_each([x for _, x in odd])))
+        words.update((w, known[p[0]] + known[p[1]] if p[1] else known[p[0]]) for w, p in zip(missing, pieces) if p)
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if self.lower and b"<|" not in text:  # special tokens are spelled exactly
+            text = text.lower()  # A-Z
         words = text.split()
-        got = list(map(self.cache.get, words))
-        if None in got:
-            if len(self.cache) + len(self.parts) > self.limit:
-                self.cache.clear()
-                self.parts.clear()
-            self._learn([w for w in set(words) if w not in self.cache])
-            got = list(map(self.cache.get, words))
-        return b"".join(got)
+        try:
+            return b"".join(map(self.words[0].__getitem__, words))
+        except KeyError:
+            self.words, self.parts = self._aged(self.words), self._aged(self.parts)
+            missing = self._recall(self.words, [w for w in set(words) if w not in self.words[0]])
+            if missing:
+                self._learn(missing)
+            return b"".join(map(self.words[0].__getitem__, words))
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -266,13 +296,13 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, at = open_folder(path)
             with store.open_input_file(at) as f:
                 file = TokenFile(f.read())
-            ids = [file.document(k) for k in range(file.n_docs)]
+            data, cuts = file.slice(0, file.n_tokens).astype("<u4").tobytes(), (file.starts * 4).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(file.doc_ids, pa.int64()),
                     pa.array(file.starts[:-1] + start, pa.int64()),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                    pa.array(np.diff(file.starts), pa.int64()),
+                    pa.array([data[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 ],
                 names=["doc_id", "start", "n_tokens", "ids"],
             )
