@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areapulse.catalog.registry import ALL_STOP, AREAS, DIMENSION_WORDS, query, quoted, sql_clean, sql_has_word, sql_words
+from areapulse.catalog.registry import ALL_STOP, AREAS, query, quoted, sql_clean, sql_has_word, sql_words
 from areapulse.functions.text import words
 from areapulse.operators import indicators as ind
 from areapulse.operators import keywords as kw
-from areapulse.operators import scoring, tokens, topics
-from areapulse.operators.sizing import local_table
+from areapulse.operators import scoring, topics
 from areapulse.params import MIN_CHARS, OTHER, STOP_WORDS, THRESHOLD
 from areapulse.plans import texts as plan
 from areapulse.plans import trends

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areapulse.catalog.indicators import NUMERICS, PRIORITIES
+from areapulse.catalog.indicators import PRIORITIES
 from areapulse.catalog.registry import query
 from areapulse.operators import reshape
 from areapulse.params import OFFICIAL_TO_PREDICTED, RED_GREEN

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areapulse.catalog.registry import query, sql_words
-from areapulse.functions import text as tx
 from areapulse.functions import vectors
 from areapulse.operators import scoring
 from areapulse.operators.sizing import local_table
