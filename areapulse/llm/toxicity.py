@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,7 +157,8 @@ class Features:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = Features()
-    for batch in batches:
+    # Slices keep the working memory of a batch of long texts small.
+    for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
         rows = made.of(batch.column("text").to_pylist())
         flat = pa.array(rows.ravel(), pa.float64())
         at = pa.array(np.arange(len(rows) + 1) * len(FEATURES), pa.int32())
@@ -224,13 +224,12 @@ def fit_toxicity(
     # Fixed partitions and order, so that the fit does not depend on the cluster.
     ready = made.select("doc_id", "label", array_to_vector("x").alias("features")).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
     grower = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=32, minInstancesPerNode=5, seed=7)
-    # Calibrated on rows that the trees have not seen: each half is scored by trees grown on the other half.
+    # One half grows the trees, the other, which they have not seen, calibrates them.
     half = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(2)) == 0
-    halves = [(ready.where(half), ready.where(~half)), (ready.where(~half), ready.where(half))]
-    if any(grown.select("label").distinct().count() < 2 for grown, _ in halves):
-        halves = [(ready, ready)]
-    p = vector_to_array("probability")[1].alias("p")
-    scored = reduce(DataFrame.unionByName, [grower.fit(grown).transform(rest).select("label", p) for grown, rest in halves])
-    model = grower.fit(ready)
+    grown, rest = ready.where(half), ready.where(~half)
+    if any(part.select("label").distinct().count() < 2 for part in (grown, rest)):
+        grown = rest = ready
+    model = grower.fit(grown)
+    scored = model.transform(rest).select("label", vector_to_array("probability")[1].alias("p"))
     steps = IsotonicRegression(featuresCol="p", labelCol="label").fit(scored)
     return ToxicityModel(model, [float(x) for x in steps.boundaries], [min(1.0, max(0.0, float(x))) for x in steps.predictions])
