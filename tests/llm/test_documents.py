@@ -197,6 +197,23 @@ def test_repeated_passages(spark, odd):
     assert got[got["doc_id"] == 200]["identity"].iloc[0] < 1
 
 
+def test_passage_of_common_pieces(spark):
+    """Two texts share 60 words whose halves are common on their own, with other texts of smallest and largest name."""
+    rng = random.Random(7)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    rows, pairs = [], []
+    for t in range(12):
+        p, q = fresh(30), fresh(30)
+        for piece in (p, q):
+            rows += [(10_000 + len(rows), f"{fresh(30)} {piece} {fresh(30)}") for _ in range(20)]
+        pairs += [2 * t, 2 * t + 1]
+        rows += [(i, f"{fresh(40)} {p} {q} {fresh(25)}") for i in pairs[-2:]]
+    got = repeated_passages(spark.createDataFrame(rows, DOC)).toPandas()
+    found = got[(got["start"] <= 40) & (got["past"] >= 100)]
+    assert sorted(set(found["doc_id"])) == pairs and sorted(set(got["doc_id"])) == pairs
+    assert sum(~found["cut"]) == 12
+
+
 def test_chains():
     seg = np.array([[0, 10, 100, 110], [12, 30, 112, 130], [15, 40, 15, 40], [35, 60, 134, 159], [300, 320, 5, 25]])
     assert chains(seg, 0.2, 7)[0] == [0, 1, 3]
