@@ -214,6 +214,20 @@ def test_passage_of_common_pieces(spark):
     assert sum(~found["cut"]) == 12
 
 
+def test_passage_twice_in_one_text(spark):
+    rng = random.Random(8)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for t in range(6):  # names are hashes: either text may be the smaller one
+        p = fresh(60)
+        rows += [(2 * t, f"{fresh(20)} {p} {fresh(100)} {p} {fresh(10)}"), (2 * t + 1, f"{fresh(30)} {p} {fresh(30)}")]
+    got = repeated_passages(spark.createDataFrame(rows, DOC)).toPandas()
+    for t in range(6):
+        spans = got[got["doc_id"] == 2 * t]
+        for at in (20, 180):
+            assert ((spans["start"] <= at) & (spans["past"] >= at + 60)).any(), (t, at)
+
+
 def test_chains():
     seg = np.array([[0, 10, 100, 110], [12, 30, 112, 130], [15, 40, 15, 40], [35, 60, 134, 159], [300, 320, 5, 25]])
     assert chains(seg, 0.2, 7)[0] == [0, 1, 3]
