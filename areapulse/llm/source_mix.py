@@ -6,8 +6,10 @@ the next block of the source's stream. The stream is the source's documents in a
 equal number of words, and begins again when it ends. Any stretch of the schedule is close to the target mix.
 
 Only ids and sizes are shuffled, never texts. Running totals are taken in two levels (totals per bucket of the hash or
-chunk of the schedule, then inside each), so a source with a third of all rows is many groups. The number of slots does
-not grow with the corpus: a block is the budget divided by ``slots``, or ``least_block`` words.
+chunk of the schedule, then inside each), so a source with a third of all rows is many groups. A block has ``least_block``
+words at every size, so the number of slots grows with the corpus. What the schedule leaves a source short of its target
+(late points, and slots that fell on the short last block) is taken from the next places of its stream: every source gives
+its target, rounded down.
 
 Defined cases: a null text has size 0, and documents of size 0 are never taken; a null source is a source, the last one;
 repeated rows are documents of their own (equal ones are interchangeable); an empty corpus, or one without words, takes
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from areapulse.session import cut_lineage
 
 PHI = 0.6180339887498949
-#: Cells of the unit interval in which slots meet sources, and slots per chunk.
+#: Least number of cells of the unit interval in which slots meet sources, and slots per chunk.
 CELLS, CHUNK = 4096, 4096
 #: Slots beyond the budget, for sources whose points come late.
 SPARE = 64
@@ -38,7 +40,7 @@ class MixRule:
     budget_num: int = 3
     budget_den: int = 2
     repeats: int = 2
-    slots: int = 1 << 20
+    slots: int = 1 << 20  # without effect: the number of slots follows from the words
     least_block: int = 16
     seed: str = "mix"
 
@@ -79,7 +81,7 @@ def mix_sources(
     sized = cut_lineage(sized, "mix-sizes")
     total = sized.agg(F.sum("size")).first()[0] or 0
     budget = -(-total * rule.budget_num // rule.budget_den)
-    block = max(rule.least_block, -(-budget // rule.slots))
+    block = rule.least_block
     n_slots = -(-budget // block) + SPARE if budget else 0
 
     per_source = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), rule)
@@ -87,23 +89,31 @@ def mix_sources(
     upto = F.sum(whole).over(Window.orderBy("idx"))
     per_source = per_source.withColumns({"hi": upto, "lo": upto - whole, "all": F.sum(whole).over(Window.partitionBy())})
     per_source = cut_lineage(per_source, "mix-sources")
+    n_cells = max(CELLS, per_source.count())
 
     # The schedule.
     scaled = per_source.where("hi > lo")
-    first, last = F.floor(F.col("lo") / F.col("all") * CELLS), F.floor(F.col("hi") / F.col("all") * CELLS)
+    first, last = F.floor(F.col("lo") / F.col("all") * n_cells), F.floor(F.col("hi") / F.col("all") * n_cells)
     cells = scaled.select(
         "idx", "lo", "hi", "all", "source_size", "target", F.explode(F.sequence(F.greatest(first - 1, F.lit(0)), last + 1)).alias("cell")
     )
     point = F.col("k") * F.lit(PHI)
     slots = spark.range(n_slots).select(F.col("id").alias("k")).withColumn("x", point - F.floor(point))
-    slots = slots.withColumn("cell", F.floor(F.col("x") * CELLS)).join(cells, "cell")
+    slots = slots.withColumn("cell", F.floor(F.col("x") * n_cells)).join(cells, "cell")
     slots = slots.where("x * all >= lo AND x * all < hi").select("k", "idx", "source_size", "target", F.floor(F.col("k") / CHUNK).alias("chunk"))
-    counts = slots.groupBy("idx", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(slots.groupBy("idx", "chunk").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    given = counts.groupBy("idx").agg(F.sum("n").alias("given"))
     before = Window.partitionBy("idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("idx", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("idx", "chunk").orderBy("k")
     ranked = slots.withColumn("r", F.row_number().over(inside) - 1).join(counts, ["idx", "chunk"]).withColumn("r", F.col("r") + F.col("before"))
-    ranked = ranked.withColumn("blocks", F.ceil(F.col("source_size") / block))
+    # The slots a source still needs: whole runs through its stream have one short block each, so they are counted in blocks.
+    blocks = F.ceil(F.col("source_size") / block)
+    needed = F.floor(whole / F.col("source_size")) * blocks + F.ceil((whole % F.col("source_size")) / block)
+    short = scaled.join(given, "idx", "left").withColumns({"given": F.coalesce("given", F.lit(0)), "needed": needed}).where("given < needed")
+    short = short.select("idx", "source_size", "target", F.explode(F.expr("sequence(given, needed - 1)")).alias("r"))
+    ranked = ranked.select("idx", "source_size", "target", "r").unionByName(short)
+    ranked = ranked.withColumn("blocks", blocks)
     ranked = ranked.withColumns({"b": F.col("r") % F.col("blocks"), "epoch": F.floor(F.col("r") / F.col("blocks"))})
     done = F.col("epoch") * F.col("source_size") + F.col("b") * block
     ranked = ranked.withColumn("take", F.least(F.lit(block), F.floor("target").cast("bigint") - done)).where("take > 0")

@@ -180,6 +180,17 @@ def test_mix(spark, odd):
     assert (abs(by["taken"] - by["target"]) <= 40).all()
 
 
+def test_small_sources_reach_their_target(spark):
+    """Sources far below a slot's share of the words, and with a last block of one word, still give their target."""
+    rng = random.Random(9)
+    rows = [(i, "w " * 400, "a") for i in range(100)]
+    rows += [(1000 + 10 * s + i, "w " * rng.choice([1, 7, 17, 33]), f"s{s:03}") for s in range(60) for i in range(3)]
+    got = mix_sources(spark.createDataFrame(rows, f"{DOC}, source string"), MixRule(slots=1 << 6)).toPandas()
+    by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (by["taken"] == by["target"].astype(int)).all()
+    assert (got["taken"] <= 2 * got["size"]).all()
+
+
 def test_repeated_passages(spark, odd):
     rng = random.Random(2)
     fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
