@@ -156,9 +156,9 @@ def capped_sample(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """At most ``n`` rows per group, chosen by the hash of their key and so the same on every run.
 
     The rows of each group are counted by the first digits of the hash, which tells up to which digits the ``n`` smallest
-    hashes can lie. Only rows up to there are ordered, so no task sorts a whole group.
+    hashes can lie. Only rows up to there are ordered, so no task sorts a whole group. Rows with a null key come first.
     """
-    hashed = df.withColumn("_h", F.md5(F.col(key).cast("string")))
+    hashed = df.withColumn("_h", F.coalesce(F.md5(F.col(key).cast("string")), F.lit("")))
     digits = F.substring("_h", 1, 4)
     counts = hashed.groupBy(F.col(group).alias("_g"), digits.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     # At most 65,536 rows per group.

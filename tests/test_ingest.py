@@ -112,6 +112,13 @@ def test_capped_sample_is_stable_and_exact(spark):
     assert plain.groupBy("g").count().where("count = 10").count() == 2
 
 
+def test_capped_sample_keeps_null_keys(spark):
+    rows = [("a", None), ("a", 1), ("a", 2)] + [("b", None)] * 5
+    got = scoring.capped_sample(spark.createDataFrame(rows, "g string, id long"), "g", "id", 3).toPandas()
+    assert got["g"].tolist().count("a") == 3 and got["g"].tolist().count("b") == 3
+    assert got["id"].isna().sum() == 4
+
+
 def test_ranks_keep_nulls_and_take_any_key_type(spark):
     rows = [("b", None, 2.0), (None, "x", None), ("a", "x", 1.0), ("c", None, 2.0)]
     df = spark.createDataFrame(rows, "k string, g string, v double")
