@@ -20,7 +20,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, float):
         return None if math.isnan(v) else float(v)
