@@ -13,12 +13,14 @@ from areapulse.llm.common import documents
 from areapulse.llm.decontaminate import find_passages
 from areapulse.llm.jaccard_join import Threshold, similar_documents
 from areapulse.llm.language_id import fit_languages, identify_languages
+from areapulse.llm.middle_fill import fill_in_middle, restored
 from areapulse.llm.quality_rules import clean_lines
 from areapulse.llm.secret_scan import find_secrets, written
 from areapulse.llm.source_mix import mix_sources
 from areapulse.llm.substring_dedup import repeated_passages
 from areapulse.llm.token_codes import read_tokens, write_tokens
 from areapulse.llm.toxicity import fit_toxicity, fold
+from areapulse.llm.turn_repair import damaged, repair_report
 from areapulse.llm.url_rules import judge_urls
 
 #: Documents of this score or more count as toxic.
@@ -117,5 +119,41 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir), Threshold(3, 9, 10))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_source_mix, op4_substring_dedup, op5_language_id, op6_toxicity, op7_token_codes, op8_decontaminate, op9_url_rules, op10_jaccard_join)}
+def op11_middle_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-the-middle text, and the text that comes back from it."""
+    rows = fill_in_middle(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repair of every conversation after planted damage."""
+    rows, alive = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return repair_report(rows, alive)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_secret_scan,
+        op3_source_mix,
+        op4_substring_dedup,
+        op5_language_id,
+        op6_toxicity,
+        op7_token_codes,
+        op8_decontaminate,
+        op9_url_rules,
+        op10_jaccard_join,
+        op11_middle_fill,
+        op13_turn_repair,
+    )
+}
 SQL: dict[str, str] = {name: text for name, text in sql.SQL.items() if name in QUERIES}

@@ -132,3 +132,64 @@ SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (r)
 """
+
+SQL["op11_middle_fill"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_SP}*[^\x20\x09-\x0D]+|{_SP}+') AS u,
+        list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::BIGINT) AS h FROM d),
+c AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a,
+        greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+             WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM w),
+s AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a+1:b], '') AS m, array_to_string(u[b+1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM s
+"""
+
+# crc32 by its table, which follows from the polynomial; then one round of the recursion a turn: of all edits into each of
+# the four states (the last role initial, empty at the start), the cheapest with the least edit string stays.
+SQL["op13_turn_repair"] = rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS chars FROM conversations),
+g AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(chars, lambda c: ascii(c)::BIGINT)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS place FROM k, tab),
+r0 AS (SELECT conv_id, turn, CASE WHEN place = 4 THEN 'user' ELSE role END AS role,
+        CASE place WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN place = 3 THEN 2 ELSE 1 END)) AS again FROM g WHERE place <> 0),
+c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS v FROM (SELECT DISTINCT conv_id FROM conversations)),
+r1 AS (SELECT v, turn, role, text, again, row_number() OVER (PARTITION BY v ORDER BY turn NULLS FIRST, role, text, again) AS i
+       FROM r0 JOIN c ON r0.conv_id IS NOT DISTINCT FROM c.conv_id),
+r2 AS (SELECT *, role[1:1] AS x, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS bl,
+         row_number() OVER (PARTITION BY v, role, text ORDER BY i) > 1 AS dp,
+         regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*\z') AS tr, lag(role[1:1]) OVER (PARTITION BY v ORDER BY i) AS bef FROM r1),
+r AS (SELECT *, bl OR dp AS goes, (NOT bl AND NOT dp AND tr)::INT AS cut FROM r2),
+f AS (SELECT v, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (bl) AS blank,
+        count(*) FILTER (NOT bl AND dp) AS duplicate, sum(cut) AS truncated,
+        count(*) FILTER (bef IS NOT NULL AND bef || x NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY v),
+mv AS (SELECT q, ins, pos, CASE WHEN pos = 'u' THEN 'a' ELSE 'u' END AS nx FROM (VALUES ('', 0, ''), ('', 1, 'u'), ('', 2, 'a'),
+         ('s', 0, 's'), ('s', 1, 'u'), ('s', 2, 'a'), ('u', 0, 'u'), ('u', 1, 'a'), ('a', 0, 'a'), ('a', 1, 'u')) AS st(q, ins, pos)),
+tx AS (SELECT q, ins, pos, nx, CASE WHEN ins = 0 THEN [] WHEN ins = 2 THEN ['user:', 'assistant:'] WHEN pos = 'u' THEN ['user:'] ELSE ['assistant:'] END AS said FROM mv),
+dp AS (
+  SELECT v, 0::BIGINT AS i, '' AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS said FROM f
+  UNION ALL
+  SELECT v, i, z.q, z.cost, z.audit, z.said FROM (
+      SELECT dp.v, r.i, min({{'cost': dp.cost + 2 * tx.ins + e.cost, 'audit': dp.audit || repeat('I', tx.ins) || e.op, 'q': e.q2,
+               'said': list_concat(dp.said, tx.said, e.said)}}) AS z
+      FROM dp JOIN r ON r.v = dp.v AND r.i = dp.i + 1 JOIN tx ON tx.q = dp.q,
+        LATERAL (SELECT * FROM (VALUES ('D', 3, tx.pos, []::VARCHAR[], TRUE), ('R', 2 + r.cut, tx.nx, [CASE tx.nx WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text], NOT r.goes),
+          ('K', r.cut, r.x, [r.role || ':' || r.text], NOT r.goes AND (tx.pos || r.x) IN ('s', 'u', 'su', 'ua', 'au')))
+          AS e(op, cost, q2, said, ok) WHERE ok) e
+      GROUP BY dp.v, r.i, e.q2)),
+fin AS (SELECT v, min({{'cost': cost + 2 * ins, 'audit': audit || repeat('I', ins), 'said': list_concat(dp.said, tx.said)}}) AS z
+        FROM dp JOIN f USING (v) JOIN tx USING (q) WHERE dp.i = f.n AND pos IN ('', 'a') GROUP BY v)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(z.cost, 0)::BIGINT AS cost,
+  coalesce(z.audit, '') AS audit, sha256(coalesce(array_to_string(z.said, chr(10)), '')) AS repaired_sha256
+FROM c LEFT JOIN f USING (v) LEFT JOIN fin USING (v)
+"""
