@@ -22,6 +22,8 @@ from areapulse.llm.token_codes import read_tokens, write_tokens
 from areapulse.llm.toxicity import fit_toxicity, fold
 from areapulse.llm.turn_repair import damaged, repair_report
 from areapulse.llm.url_rules import judge_urls
+from areapulse.llm.winnowing import WinnowRule, edited, likeness, with_fingerprint, with_next
+from areapulse.llm.winnowing import written as hash_list
 
 #: Documents of this score or more count as toxic.
 TOXIC_FROM = 0.3
@@ -133,6 +135,22 @@ def op11_middle_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    rows = with_next(documents(spark, sf_dir), rule=WinnowRule())
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = with_fingerprint(rows, "edited", "edited_hashes")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        hash_list(F.col("hashes")).alias("fingerprint"),
+        hash_list(F.col("edited_hashes")).alias("edited_fingerprint"),
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repair of every conversation after planted damage."""
     rows, alive = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -153,6 +171,7 @@ QUERIES: dict[str, Query] = {
         op9_url_rules,
         op10_jaccard_join,
         op11_middle_fill,
+        op12_winnowing,
         op13_turn_repair,
     )
 }

@@ -150,15 +150,48 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS
 FROM s
 """
 
-# crc32 by its table, which follows from the polynomial; then one round of the recursion a turn: of all edits into each of
+# crc32 by its table, which follows from the polynomial.
+_TABLE = """tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab)"""
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], {bytes}),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"""
+
+# Grams of four words, windows of four hashes; the smallest, of equal ones the rightmost.
+SQL["op12_winnowing"] = rf"""
+WITH {_TABLE},
+d0 AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS r, coalesce(text, '') AS t FROM documents),
+d AS (SELECT doc_id, r, t, coalesce(lead(t) OVER (ORDER BY r), first_value(t) OVER (ORDER BY r)) AS nt FROM d0),
+e AS (SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nt, 1, length(t) // 2) AS ed FROM d),
+x AS (SELECT r, 0 AS kind, t AS x FROM e UNION ALL SELECT r, 1, ed FROM e),
+w AS (SELECT r, kind, i, ws[i] AS w FROM (SELECT r, kind, ws, unnest(range(1, len(ws) + 1)) AS i
+        FROM (SELECT r, kind, regexp_extract_all(x, '[^ 	-]+') AS ws FROM x))),
+b AS (SELECT w, list_transform(range(length(hex(w)) // 2), lambda i: ('0x' || substr(hex(w), (2 * i + 1)::INT, 2))::BIGINT) AS bytes
+      FROM (SELECT DISTINCT w FROM w)),
+c AS (SELECT w, {_CRC.format(bytes="bytes")} % 536870909 AS c FROM b, tab),
+g AS (SELECT r, kind, i, count(*) OVER (PARTITION BY r, kind) AS n, (c * {pow(1_000_003, 3, 536870909)}
+        + coalesce(lead(c, 1) OVER o, 0) * {pow(1_000_003, 2, 536870909)} + coalesce(lead(c, 2) OVER o, 0) * 1000003
+        + coalesce(lead(c, 3) OVER o, 0)) % 536870909 AS h FROM w JOIN c USING (w) WINDOW o AS (PARTITION BY r, kind ORDER BY i)),
+m AS (SELECT r, kind, i, n, min({{'h': h, 'p': -i}}) OVER (PARTITION BY r, kind ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS m
+      FROM g WHERE i <= greatest(1, n - 3)),
+k AS (SELECT DISTINCT r, kind, m.h AS h, -m.p AS p FROM m WHERE i <= greatest(1, n - 6)),
+p AS (SELECT r, kind, string_agg(hex(h), ',' ORDER BY p) AS s, list(DISTINCT h) AS hs FROM k GROUP BY r, kind),
+f AS (SELECT e.*, coalesce(a.s, '') AS fa, coalesce(b.s, '') AS fb, coalesce(a.hs, []) AS ha, coalesce(b.hs, []) AS hb
+      FROM e LEFT JOIN p a ON a.r = e.r AND a.kind = 0 LEFT JOIN p b ON b.r = e.r AND b.kind = 1),
+z AS (SELECT *, coalesce(lead(ha) OVER (ORDER BY r), first_value(ha) OVER (ORDER BY r)) AS hn FROM f),
+l AS (SELECT *, len(list_intersect(ha, hb)) AS cb, len(list_intersect(ha, hn)) AS cn FROM z)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(ed) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
+  CASE WHEN len(ha) + len(hb) = 0 THEN 1.0::DOUBLE ELSE cb::DOUBLE / (len(ha) + len(hb) - cb) END AS near_edited,
+  CASE WHEN len(ha) + len(hn) = 0 THEN 1.0::DOUBLE ELSE cn::DOUBLE / (len(ha) + len(hn) - cn) END AS near_next
+FROM l
+"""
+
+# One round of the recursion a turn: of all edits into each of
 # the four states (the last role initial, empty at the start), the cheapest with the least edit string stays.
 SQL["op13_turn_repair"] = rf"""
-WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
-    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+WITH RECURSIVE {_TABLE},
 k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
         string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS chars FROM conversations),
-g AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(chars, lambda c: ascii(c)::BIGINT)),
-        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS place FROM k, tab),
+g AS (SELECT conv_id, turn, role, text, {_CRC.format(bytes="list_transform(chars, lambda c: ascii(c)::BIGINT)")} % 20 AS place FROM k, tab),
 r0 AS (SELECT conv_id, turn, CASE WHEN place = 4 THEN 'user' ELSE role END AS role,
         CASE place WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
         unnest(range(CASE WHEN place = 3 THEN 2 ELSE 1 END)) AS again FROM g WHERE place <> 0),
