@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
 from areapulse.llm.common import ALNUM, words
 from areapulse.llm.fm_index import FMIndex
 
-SPAN = "array<struct<first_word:bigint,past_word:bigint,start:bigint,end:bigint>>"
+SPANS = T.ArrayType(T.StructType().add("first_word", "long").add("past_word", "long").add("start", "long").add("end", "long"))
 
 
 @dataclass
@@ -147,28 +147,29 @@ def _same_words(text: bytes, where: tuple[np.ndarray, np.ndarray], ids: np.ndarr
     return all(text[s[i] : e[i]].lower() == block.spelled[ids[i] - 1] for i in range(first, first + n))
 
 
-def _searcher(block: Phrases, schema: pa.Schema, last: bool, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lo = 0
-            sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("text")], np.int64)
-            while lo < batch.num_rows:
-                hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), shard_bytes, side="right")))
-                part = batch.slice(lo, hi - lo)
+_FOUND = T.StructType().add("n_words", "long").add("spans", SPANS).add("items", T.ArrayType(T.StringType()))
+_ARROW = to_arrow_type(_FOUND)
+
+
+def _searched(block: Phrases, shard_bytes: int) -> Callable[..., Column]:
+    """Column function: a text and what earlier blocks found in it, to what is found by now."""
+
+    @F.arrow_udf(_FOUND)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
+            sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in texts])
+            out, lo = [], 0
+            while lo < len(texts):
+                before = int(sizes[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(sizes, before + shard_bytes, side="right")))
+                part = [t or b"" for t in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
+                known = [x or {"spans": [], "items": []} for x in found.slice(lo, hi - lo).to_pylist()]
                 lo = hi
-                texts = [t or b"" for t in part.column("text").to_pylist()]
-                spans = [[(s["first_word"], s["past_word"]) for s in x or []] for x in part.column("spans").to_pylist()]
-                before = [set(x or []) for x in part.column("items").to_pylist()]
-                counts, merged, items = search_shard(texts, spans, block)
-                found = [sorted(a | set(b)) for a, b in zip(before, items)]
-                columns = {
-                    "doc": part.column("doc"),
-                    "text": pa.nulls(part.num_rows, pa.binary()) if last else part.column("text"),
-                    "n_words": pa.array(counts, pa.int64()),
-                    "spans": pa.array(merged, schema.field("spans").type),
-                    "items": pa.array(found, schema.field("items").type),
-                }
-                yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
+                spans = [[(s["first_word"], s["past_word"]) for s in x["spans"]] for x in known]
+                counts, merged, items = search_shard(part, spans, block)
+                for n, s, i, x in zip(counts, merged, items, known):
+                    out.append({"n_words": int(n), "spans": s, "items": sorted({*i, *x["items"]})})
+            yield pa.array(out, _ARROW)
 
     return run
 
@@ -189,22 +190,17 @@ def find_passages(
     ``spans`` are disjoint, in order, in words and in code points (ends exclusive); ``items`` are distinct ids as text,
     sorted.
     """
-    asked = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).dropna()
+    asked = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).dropna().distinct()
     total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"),
-        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
-        F.lit(0).cast("bigint").alias("n_words"),
-        F.lit(None).cast(SPAN).alias("spans"),
-        F.lit(None).cast("array<string>").alias("items"),
-    )
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
-    arrow = to_arrow_schema(schema)
+    # Only the text goes through Python; what is kept of a row stays in the JVM.
+    doc = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")
+    rows = docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast(_FOUND).alias("found"))
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
         block = phrases_of(sorted((r["item"], bytes(r["text"])) for r in part), window)
-        rows = rows.mapInArrow(_searcher(block, arrow, b == blocks - 1, shard_bytes), schema)
+        rows = rows.select("doc", "text", _searched(block, shard_bytes)(F.col("text"), F.col("found")).alias("found"))
+    rows = rows.select("doc", "found.*")
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["past_word"] - s["first_word"])
     return rows.select("doc", "n_words", hit.alias("n_hit"), "spans", "items")
 
