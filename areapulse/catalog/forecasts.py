@@ -335,7 +335,7 @@ def shifted_component(spark: SparkSession, sf: str) -> DataFrame:
 
 def _topics(spark: SparkSession, sf: str) -> news.TopicFit:
     terms = news.article_tokens(text_table(spark, sf, "documents").select("doc_id", "source", "text"), "text", ALL_STOP)
-    return news.fit_topics(terms, ["doc_id", "source"], min_df=0.01, max_df=0.6)
+    return news.fit_topics(terms, ["doc_id", "source"], min_df=0.001, max_df=0.6)
 
 
 @query()

@@ -66,20 +66,21 @@ def argmax_class(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """
     WITH b AS (SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings),
-         d AS (SELECT doc_id, regexp_extract(text, '^[^ \n]*') AS head FROM documents)
+         d AS (SELECT doc_id, text FROM documents)
     SELECT vec_id, CAST(best % 3 - 1 AS DOUBLE) AS class_score,
-           CASE WHEN head IS NULL OR length(trim(head)) < 2 THEN 0 ELSE (best % 5 - 2) / 2.0::DOUBLE END AS star_score
+           CASE WHEN text IS NULL OR length(trim(text)) < 2 THEN 0 ELSE (best % 5 - 2) / 2.0::DOUBLE END AS star_score
     FROM b LEFT JOIN d ON vec_id = doc_id
     """
 )
 def score_map(spark: SparkSession, sf: str) -> DataFrame:
-    # The vector's largest entry stands for a class and for stars; the rated text is the first word of the document.
+    # The vector's largest entry stands for a class and for stars; the rated text is the document.
     best = table(spark, sf, "embeddings").select("vec_id", vectors.argmax_index(F.col("embedding")).alias("best"))
-    heads = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.regexp_extract("text", r"^[^ \n]*", 0).alias("head"))
-    return best.join(heads, "vec_id", "left").select(
+    # Whether a text is short is settled in its scan; texts do not meet the join.
+    rated = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.when(F.length(F.trim("text")) >= 2, "rated").alias("said"))
+    return best.join(rated, "vec_id", "left").select(
         "vec_id",
         scoring.score_map(F.col("best") % 3, CLASS_SCORES).alias("class_score"),
-        scoring.star_score(F.col("best") % 5 + 1, F.col("head")).alias("star_score"),
+        scoring.star_score(F.col("best") % 5 + 1, F.col("said")).alias("star_score"),
     )
 
 

@@ -227,7 +227,7 @@ LEMMA_KEYS = ("be", "el")
 )
 def lemma_lookup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", tx.words(F.col("text")).alias("t"))
-    mapped = tokens.lemma_lookup(docs, "doc_id", "t", LEMMAS)
+    mapped = tokens.lemma_lookup(docs, "t", LEMMAS)
     return mapped.select(
         "doc_id",
         F.size("lemmas").alias("n_tokens"),
@@ -304,7 +304,7 @@ def _grams(spark: SparkSession, sf: str) -> DataFrame:
     return _tokens(spark, sf).select("doc_id", tokens.ngrams_1_3(F.col("t")).alias("g"))
 
 
-MIN_DF, MAX_DF = 0.01, 0.6
+MIN_DF, MAX_DF = 0.001, 0.6
 _VOCAB = f"""
     t AS (SELECT doc_id, {_sql_tokens('text')} AS t FROM documents), g AS (SELECT doc_id, {_GRAMS} AS g FROM t),
     v AS (SELECT term, count(*) AS doc_freq FROM (SELECT unnest(list_distinct(g)) AS term FROM g) GROUP BY term

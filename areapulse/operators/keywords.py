@@ -93,25 +93,50 @@ def tag_area_mentions(df: DataFrame, text: str, areas: Sequence[str], keep: Sequ
     return explode_once(df, keep, names, "area")
 
 
+def _surfaces(low: Column, lengths: Sequence[int]) -> Column:
+    """Distinct runs of so many pieces that begin and end with a word, as written: words and what stands between them."""
+
+    def runs(pieces: Column, first: Column, n: int) -> Column:
+        last = F.size(pieces) - (n - 1)
+        starts = F.when(last >= first, F.sequence(first, last, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, n), ""))
+
+    def all_runs(pieces: Column) -> Column:
+        first = F.when(F.get(pieces, F.lit(0)).rlike(rf"^{WORD}"), F.lit(1)).otherwise(F.lit(2))
+        return F.array_distinct(F.concat(*[runs(pieces, first, n) for n in lengths]))
+
+    return bind(F.regexp_extract_all(low, F.lit(rf"({WORD}+|[^\p{{L}}\p{{N}}_]+)"), 1), all_runs)
+
+
 def tag_area_table(df: DataFrame, key: str, text: str, areas: DataFrame) -> DataFrame:
     """(key, area) as in ``tag_area_mentions`` for a long list held in a table with a column ``area``.
 
-    The distinct word n-grams of each text are joined with the names; a name of several words is then verified on the
-    text, which is fetched by key for those hits alone. The name side is broadcast only if its size allows.
+    A name that begins and ends with a word is found as it is written: the runs of words and separators of each text are
+    made in its scan and joined with the names, so the cost of a text does not depend on the list and no text is shuffled.
+    The name side is broadcast by adaptive execution if its size allows. Only for names that begin or end with another
+    character, which no run can show, is the text carried along to be searched.
     """
-    tokens = words(F.col("area"))
-    names = areas.select("area", F.array_join(tokens, " ").alias("gram"), F.size(tokens).alias("n_words"))
-    plain = names.where(F.col("gram") == F.lower("area")).where("n_words = 1").select("area", "gram")
-    other = names.where((F.col("gram") != F.lower("area")) | (F.col("n_words") > 1))
-    lengths = sorted(r["n_words"] for r in other.select("n_words").distinct().collect())
-    found = F.array_distinct(words(F.col(text)))
-    sure = explode_once(df, [key], found, "gram").join(plain, "gram").select(key, "area")
-    if not lengths:
-        return sure
-    grams = F.array_distinct(word_ngrams(words(F.col(text)), lengths))
-    proposed = explode_once(df, [key], grams, "gram").join(other.select("area", "gram"), "gram")
-    checked = proposed.join(df.select(key, text), key).where(_exact_hits(F.col(text), F.col("area")) > 0)
-    return sure.unionByName(checked.select(key, "area"))
+    low = F.lower(nfc(F.col("area")))
+    pieces = F.size(F.regexp_extract_all(low, F.lit(rf"({WORD}+|[^\p{{L}}\p{{N}}_]+)"), 1))
+    names = areas.select("area", low.alias("_name"), pieces.alias("_pieces"))
+    framed = F.col("_name").rlike(rf"(?s)^{WORD}(.*{WORD})?\z")
+    shapes = names.groupBy(framed.alias("framed"), "_pieces").agg(F.lit(1)).collect()
+    lengths = sorted(r["_pieces"] for r in shapes if r["framed"])
+    rows = df.select(key, F.lit(None).cast("string").alias("area")).where(F.lit(False))
+    composed = nfc(F.col(text))
+    if lengths:
+        runs = explode_once(df, [key], _surfaces(F.lower(composed), lengths), "_name")
+        rows = rows.unionByName(runs.join(names.where(framed), "_name").select(key, "area"))
+    if any(r["framed"] is False for r in shapes):
+        tokens = words(F.col("area"))
+        odd = names.where(~framed).select("area", F.array_join(tokens, " ").alias("_gram"), F.size(tokens).alias("_n"))
+        counts = sorted(r["_n"] for r in odd.where("_n > 0").select("_n").distinct().collect())
+        if counts:
+            held = df.select(key, composed.alias("_text"))
+            grams = F.array_distinct(word_ngrams(words(F.col("_text")), counts))
+            proposed = explode_once(held, [key, "_text"], grams, "_gram").join(odd, "_gram")
+            rows = rows.unionByName(proposed.where(_exact_hits(F.col("_text"), F.col("area")) > 0).select(key, "area"))
+    return rows
 
 
 def tag_area_substring(df: DataFrame, text: str, areas: Sequence[str], keep: Sequence[str]) -> DataFrame:

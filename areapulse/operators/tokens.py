@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from areapulse.functions.arrays import bind, explode_once, word_ngrams
 from areapulse.functions.text import letter_words, words
 from areapulse.operators.ranking import number_rows
-from areapulse.operators.sizing import local_table
-
-# Up to this size a lemma list is a literal map; longer lists are joined.
-MAP_ENTRIES = 500
 
 
 def tokenise_filter(text: Column, stop: Sequence[str]) -> Column:
@@ -22,23 +18,26 @@ def tokenise_filter(text: Column, stop: Sequence[str]) -> Column:
     return F.filter(words(text), lambda t: ~t.isin(list(stop)) & (F.length(t) > 2) & ~t.rlike(r"\p{N}"))
 
 
-def lemma_lookup(df: DataFrame, key: str, tokens: str, lemmas: Mapping[str, str] | DataFrame, out: str = "lemmas") -> DataFrame:
-    """Token array to lemma array; tokens without an entry stay.
+def dictionary_value(token: Column, entries: Mapping[str, str]) -> Column:
+    """Value of a token in a dictionary, null without one: binary search over the sorted entries, held as two constant arrays.
 
-    A short list is a literal map. A long one is joined on exploded tokens and gathered per text again: the gather is
-    bounded by the length of one text and is combined before its shuffle.
+    The steps grow with the logarithm of the dictionary; the plan is the same for every size.
     """
-    if isinstance(lemmas, Mapping) and len(lemmas) <= MAP_ENTRIES:
-        pairs = F.create_map(*[F.lit(v) for kv in lemmas.items() for v in kv])
-        return df.withColumn(out, F.transform(tokens, lambda t: F.coalesce(pairs[t], t)))
-    if isinstance(lemmas, Mapping):
-        lemmas = local_table(df.sparkSession, list(lemmas.items()), "token string, lemma string")
-    at = df.select(key, F.posexplode(tokens).alias("pos", "token"))
-    mapped = at.join(lemmas, "token", "left").select(key, "pos", F.coalesce("lemma", "token").alias("lemma"))
-    gathered = mapped.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda s: s["lemma"]).alias(out)
-    )
-    return df.join(gathered, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    if any("\0" in part for entry in entries.items() for part in entry):
+        raise ValueError("dictionary entries cannot hold a zero character")
+    ordered = sorted(entries.items(), key=lambda e: e[0].encode())
+    # One literal each: splitting a constant is folded when the query is planned.
+    names, values = (F.split(F.lit("\0".join(e[i] for e in ordered)), "\0") for i in (0, 1))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, len(ordered).bit_length())))])
+    upto = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(names, n + step - 1) <= token, n + step).otherwise(n))
+    return bind(upto, lambda n: F.when(F.get(names, n - 1) == token, F.get(values, n - 1)))
+
+
+def lemma_lookup(df: DataFrame, tokens: str, lemmas: Mapping[str, str], out: str = "lemmas") -> DataFrame:
+    """Token array to lemma array, row by row; tokens without an entry stay, and so do nulls."""
+    if not lemmas:
+        return df.withColumn(out, F.col(tokens))
+    return df.withColumn(out, F.transform(tokens, lambda t: F.coalesce(dictionary_value(t, lemmas), t)))
 
 
 def has_lemma(lemmas: Column, keywords: Sequence[str]) -> Column:
@@ -132,17 +131,18 @@ def frequent_ngrams(tokens: Column, lengths: Sequence[int], frequent: bytes) ->
     return F.array_compact(bind(marked, lambda t: F.concat(*[of_length(t, n) for n in lengths])))
 
 
-def ngram_vocabulary(df: DataFrame, tokens: str, lengths: Sequence[int], min_df: float, max_df: float) -> DataFrame:
-    """``vocab_prune`` of the word n-grams of a token column.
+def ngram_vocabulary(df: DataFrame, tokens: str, lengths: Sequence[int], min_df: float, max_df: float, least: int = 1) -> DataFrame:
+    """``vocab_prune`` of the word n-grams of a token column; a term is in ``least`` texts at least.
 
     An n-gram is never in more texts than its rarest word. So the words are counted first, and only n-grams of words that
     reach ``min_df`` are formed, shuffled and counted; the result is the same and most n-grams never leave their task.
     """
     n = df.count()
+    low = F.greatest(F.lit(min_df) * n, F.lit(float(least)))
     each = explode_once(df, [], F.array_distinct(tokens), "term").groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
-    grams = frequent_ngrams(F.col(tokens), lengths, word_filter(each.where(F.col("doc_freq") >= F.lit(min_df) * n)))
+    grams = frequent_ngrams(F.col(tokens), lengths, word_filter(each.where(F.col("doc_freq") >= low)))
     freq = explode_once(df, [], F.array_distinct(grams), "term").groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
-    return freq.where((F.col("doc_freq") >= F.lit(min_df) * n) & (F.col("doc_freq") <= F.lit(max_df) * n))
+    return freq.where((F.col("doc_freq") >= low) & (F.col("doc_freq") <= F.lit(max_df) * n))
 
 
 def doc_term_counts(df: DataFrame, key: str, terms: str, vocabulary: DataFrame) -> DataFrame:

@@ -104,13 +104,45 @@ def test_phrases_equal_a_regex_count(spark):
     assert got == want
 
 
-def test_lemma_map_and_join_agree(spark, monkeypatch):
-    df = spark.createDataFrame([(1, ["las", "casas", "son"]), (2, []), (3, ["x"])], "id int, t array<string>")
-    lemmas = {"las": "el", "casas": "casa", "son": "ser"}
-    short = tokens.lemma_lookup(df, "id", "t", lemmas).orderBy("id").collect()
-    monkeypatch.setattr(tokens, "MAP_ENTRIES", 1)
-    joined = tokens.lemma_lookup(df, "id", "t", lemmas).orderBy("id").collect()
-    assert [r["lemmas"] for r in short] == [r["lemmas"] for r in joined] == [["el", "casa", "ser"], [], ["x"]]
+@pytest.mark.parametrize("entries", [2, 602, 100_000])
+def test_one_lemma_plan_for_every_dictionary(spark, entries):
+    lemmas = {"cats": "cat", "dogs": "dog"} | {f"x{i}": f"y{i}" for i in range(entries - 2)}
+    rows = [(1, ["cats"]), (1, ["dogs", "été", ""]), (None, ["cats", None, "zz"]), (2, []), (3, None), (4, ["x1", "x599", "a"])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    got = sorted(str(tuple(r)) for r in tokens.lemma_lookup(df, "t", lemmas).select("id", "lemmas").collect())
+    want = [(i, t and [lemmas.get(w, w) for w in t]) for i, t in rows]
+    assert got == sorted(map(str, want))
+
+
+def test_lemma_of_every_entry(spark):
+    lemmas = {w: f"<{w}>" for w in ["a", "aa", "b", "é", "z", "😀", "ä", "Z", "0"]}
+    df = spark.createDataFrame([(sorted(lemmas) + ["", "zz", "~"],)], "t array<string>")
+    got = tokens.lemma_lookup(df, "t", lemmas).first()["lemmas"]
+    assert got == [f"<{w}>" for w in sorted(lemmas)] + ["", "zz", "~"]
+    assert tokens.lemma_lookup(df, "t", {}).first()["lemmas"] == df.first()["t"]
+
+
+def test_long_area_list_equals_patterns(spark):
+    areas = ["San Luis", "san  luis", "Luis Potosí", "co-op", "C.D.", "(north)", "the", "The", "a", "Río Bravo del Norte", "x_1"]
+    texts = [
+        (1, "San Luis Potosí, san  luis; SAN LUIS"), (2, "the co-op (north) of C.D. x"), (3, "a A the-a"), (4, "C.D.x north"), (5, None), (6, ""),
+        (7, "río bravo del norte x_1 x_12"), (8, "(The) (North)"), (9, ", a"),
+    ]
+    df = spark.createDataFrame(texts, "id int, text string")
+    found = kw.tag_area_table(df, "id", "text", spark.createDataFrame([(a,) for a in areas], "area string"))
+    want = {(i, a) for i, t in texts for a in areas if re.search(r"(?<!\w)" + re.escape(a.lower()) + r"(?!\w)", (t or "").lower())}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_ten_thousand_areas(spark):
+    areas = [f"place {i} of land" for i in range(10_000)]
+    texts = [(i, f"From Place {i * 7} of Land, to place {i} of\nland") for i in range(50)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    found = kw.tag_area_table(df, "id", "text", spark.createDataFrame([(a,) for a in areas], "area string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((i, f"place {i * 7} of land") for i in range(50))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "text" in line]
 
 
 def test_language_default_and_tie(spark):
