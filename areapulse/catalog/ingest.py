@@ -10,6 +10,7 @@ from areapulse.functions.text import SPACE
 from areapulse.operators import ingest
 from areapulse.session import fresh_dir
 from areapulse.sources import sinks, tables
+from areapulse.sources.buckets import BucketStore
 from areapulse.sources.tables import table
 
 
@@ -167,6 +168,44 @@ def update_set_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.update_set_by_key(customer, patch, "c_custkey", ["c_acctbal", "c_mktsegment"])
 
 
+@query(
+    """
+    SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_nationkey = 3 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal,
+           CASE WHEN c_nationkey = 3 AND c_acctbal < 0 THEN 'REVIEW' ELSE c_mktsegment END AS c_mktsegment
+    FROM customer WHERE c_nationkey <> 5
+    UNION ALL
+    SELECT CAST(c_custkey AS BIGINT), c_acctbal, CASE WHEN c_acctbal < 0 THEN 'REVIEW' END FROM customer WHERE c_nationkey = 5
+    """
+)
+def upsert_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    # Customers of one nation are patched, those of another are new and come with what the patch says of them.
+    customer = table(spark, sf, "customer").withColumn("c_custkey", F.col("c_custkey").cast("long"))
+    schema = "c_custkey long, c_acctbal double, c_mktsegment string"
+    store = BucketStore(spark, fresh_dir(spark, "customer-buckets"), "c_custkey", schema, 32)
+    store.create(customer.where("c_nationkey <> 5"))
+    review = F.when(F.col("c_acctbal") < 0, "REVIEW").alias("c_mktsegment")
+    balance = F.when(F.col("c_nationkey") == 3, F.col("c_acctbal") + 100).otherwise(F.col("c_acctbal")).alias("c_acctbal")
+    store.upsert(customer.where("c_nationkey IN (3, 5)").select("c_custkey", balance, review))
+    return store.rows()
+
+
+@query(
+    """
+    SELECT doc_id, source, source IN ('src1', 'src2') AS was_stored FROM documents
+    """
+)
+def insert_new_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    stored = F.col("source").isin("src1", "src2")
+    store = BucketStore(spark, fresh_dir(spark, "document-buckets"), "doc_id", "doc_id long, source string, was_stored boolean", 32)
+    store.create(docs.where(stored).withColumn("was_stored", F.lit(True)))
+    # Everything arrives, and some of it twice.
+    again = docs.where("doc_id % 3 = 0").withColumn("n", F.lit(2))
+    incoming = docs.withColumn("n", F.lit(1)).unionByName(again).withColumn("was_stored", F.lit(False))
+    store.insert_new(incoming, "n")
+    return store.rows()
+
+
 @query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS _id, p_partkey, p_name FROM part")
 def assign_row_ids(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.assign_row_ids(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")

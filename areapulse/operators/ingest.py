@@ -30,8 +30,9 @@ def dedupe_keep_first(df: DataFrame, key: str | Sequence[str], order: str) -> Da
 
 
 def insert_new_only(stored: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
-    """Incoming records with an unseen key, one per key (the last one)."""
-    return dedupe_keep_last(incoming, key, order).join(stored.select(key), key, "left_anti")
+    """Incoming records with an unseen key, one per key (the last one); a null key is a key like any other."""
+    known = stored.select(F.col(key).alias("_seen"))
+    return dedupe_keep_last(incoming, key, order).join(known, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
 
 
 def update_set_by_key(df: DataFrame, patch: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

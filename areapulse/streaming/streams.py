@@ -28,22 +28,52 @@ def _start(df: DataFrame, mode: str, checkpoint: str, batch: Callable[[DataFrame
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def stream_insert_new(stream: DataFrame, key: str, store: str, checkpoint: str) -> StreamingQuery:
     """Append records with an unseen key to ``store``, however late they come; the key may have any type.
 
-    Repeats are dropped inside the batch and against the stored keys, so nothing depends on event time and no state grows
-    beside the store, of which only the key column is read. Each batch owns the folder ``batch=<id>``, which it
-    overwrites: a batch that is replayed after a failure does not add its rows twice.
+    Seen keys are keyed state in RocksDB, which lies on disk and grows with the distinct keys only. Rows stored before are in
+    ``batch=-1`` of the store: their keys stream in beside the first batch and seed the state, which is the only time that the
+    store is read. That batch alone cannot tell which of two equal keys came from the store, so it is checked against those
+    keys once; every later batch is settled by the state. Each batch owns the folder ``batch=<id>``, which it overwrites, and
+    the state is kept by batch too: one that is replayed after a failure does not add its rows twice.
     """
+    spark = stream.sparkSession
     kind = stream.schema[key].dataType.simpleString()
-
-    def write(rows: DataFrame, batch: int) -> None:
-        seen = rows.sparkSession.read.schema(f"`{key}` {kind}, batch long").parquet(store).where(F.col("batch") != batch)
-        known = seen.select(F.col(key).alias("_seen"))
-        fresh = rows.dropDuplicates([key]).join(known, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch}")
-
-    return _start(stream, "append", checkpoint, write)
+    first = f"{store}/batch=-1"
+    rows = stream.select(F.struct("*").alias("row"), F.col(key).alias("_key"))
+    seeded = _has_files(spark, first)
+    if seeded:
+        stored = spark.readStream.schema(f"`{key}` {kind}").parquet(first)
+        nothing = F.lit(None).cast(rows.schema["row"].dataType).alias("row")
+        rows = rows.unionByName(stored.select(nothing, F.col(key).alias("_key")))
+    unseen = rows.dropDuplicates(["_key"])
+
+    def write(found: DataFrame, batch: int) -> None:
+        if batch == 0 and seeded:
+            # The state may have kept the stored one of two equal keys or the new one.
+            known = found.sparkSession.read.schema(f"`{key}` {kind}").parquet(first).select(F.col(key).alias("_seen"))
+            found = found.join(known, F.col("_key").eqNullSafe(F.col("_seen")), "left_anti")
+        found.where(F.col("row").isNotNull()).select("row.*").write.mode("overwrite").parquet(f"{store}/batch={batch}")
+
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKS)
+    try:
+        return _start(unseen, "append", checkpoint, write)
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def _has_files(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder of rows exists, on any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def stream_daily_counts(stream: DataFrame, ts: str, flag: str, out: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:

@@ -60,3 +60,23 @@ def test_late_records_and_text_keys_are_kept(spark):
     streams.stream_insert_new(stream, "id", store, fresh_dir(spark, "state")).awaitTermination()
     kept = spark.read.schema("id string, batch long").parquet(store)
     assert sorted(str(r["id"]) for r in kept.collect()) == ["None", "k0", "k1", "k2", "k3"]
+
+
+def test_ten_batches_read_the_store_once(spark):
+    store, path, state = fresh_dir(spark, "store"), fresh_dir(spark, "ten"), fresh_dir(spark, "state")
+    spark.createDataFrame([(k, "old") for k in range(0, 40, 4)], "id long, kind string").write.parquet(f"{store}/batch=-1")
+    for i in range(10):
+        # Each file repeats half of the one before and a stored key.
+        rows = [(k, f"f{i}") for k in range(i * 4 - 2, i * 4 + 4) if k >= 0] + [(0, "again")]
+        spark.createDataFrame(rows, "id long, kind string").coalesce(1).write.mode("append").parquet(path)
+    stream = streams.file_stream(spark, path, "id long, kind string", files_per_batch=1)
+    query = streams.stream_insert_new(stream, "id", store, state)
+    query.awaitTermination()
+    kept = spark.read.schema("id long, kind string, batch long").parquet(store)
+    assert sorted(r["id"] for r in kept.collect()) == list(range(40))
+    read = [[s["numInputRows"] for s in p["sources"] if "batch=-1" in s["description"]] for p in query.recentProgress]
+    assert read[0] == [10] and all(sum(n) == 0 for n in read[1:]) and len(read) >= 10
+    # A replay finds every key in the state.
+    spark.createDataFrame([(k, "replay") for k in range(40)], "id long, kind string").write.mode("append").parquet(path)
+    streams.stream_insert_new(stream, "id", store, state).awaitTermination()
+    assert kept.count() == 40 and kept.where("kind = 'replay'").count() == 0
