@@ -10,7 +10,7 @@ from areapulse.catalog.registry import ALL_STOP, query
 
 from areapulse.operators import modelling, topics
 from areapulse.operators.sizing import local_table
-from areapulse.params import FOLDS
+from areapulse.params import FOLDS, LASSO_ALPHA
 from areapulse.plans import news
 from areapulse.plans.nowcast import nowcast as nowcast_plan
 from areapulse.session import cut_lineage
@@ -81,8 +81,8 @@ def _training(spark: SparkSession, sf: str) -> DataFrame:
 def lasso_select(spark: SparkSession, sf: str) -> DataFrame:
     panel = cut_lineage(customer_panel(spark, sf), "customer-panel")
     scaled = modelling.standardize(panel, panel, CUSTOMER_FEATURES)
-    model = modelling.lasso_fit(scaled, CUSTOMER_FEATURES, SPEND)
-    rows = [(SPEND, f, round(float(w), 4), w != 0.0) for f, w in zip(CUSTOMER_FEATURES, model.coefficients)]
+    model = modelling.lasso_paths(scaled, CUSTOMER_FEATURES, [SPEND])[SPEND].at(LASSO_ALPHA)
+    rows = [(SPEND, f, round(w, 4), w != 0.0) for f, w in zip(CUSTOMER_FEATURES, model.weights)]
     return local_table(spark, rows, "target string, feature string, weight double, selected boolean")
 
 
@@ -106,6 +106,33 @@ def lasso_single_feature(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("alpha", F.round("weight", 3).alias("weight"), F.round("intercept", 3).alias("intercept"))
 
 
+@query(
+    """
+    WITH m AS (SELECT corr(l_quantity, l_tax) AS r, covar_pop(l_quantity, l_extendedprice) / stddev_pop(l_quantity) AS q,
+                      covar_pop(l_tax, l_extendedprice) / stddev_pop(l_tax) AS t FROM lineitem),
+         o AS (SELECT r, CASE WHEN abs(q) >= abs(t) THEN 'l_quantity' ELSE 'l_tax' END AS f1,
+                      CASE WHEN abs(q) >= abs(t) THEN 'l_tax' ELSE 'l_quantity' END AS f2,
+                      CASE WHEN abs(q) >= abs(t) THEN q ELSE t END AS c1, CASE WHEN abs(q) >= abs(t) THEN t ELSE q END AS c2 FROM m),
+         k AS (SELECT *, greatest((c2 - r * c1) / (1 - r * sign(c1)), (r * c1 - c2) / (1 + r * sign(c1))) AS a FROM o),
+         p AS (SELECT 0 AS knot, abs(c1) AS alpha, f1, f2, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM k
+               UNION ALL SELECT 1, a, f1, f2, c1 - sign(c1) * a, 0.0 FROM k
+               UNION ALL SELECT 2, 0.0, f1, f2, (c1 - r * c2) / (1 - r * r), (c2 - r * c1) / (1 - r * r) FROM k)
+    SELECT knot, round(alpha, 3) AS alpha, f1 AS feature, round(w1, 3) AS weight FROM p
+    UNION ALL SELECT knot, round(alpha, 3), f2, round(w2, 3) FROM p
+    """
+)
+def lasso_path(spark: SparkSession, sf: str) -> DataFrame:
+    """All penalties of two standardised features: the second joins where its correlation with the residual meets the first's."""
+    lines = table(spark, sf, "lineitem").select("l_quantity", "l_tax", TARGET)
+    names = ["l_quantity", "l_tax"]
+    path = modelling.lasso_paths(modelling.standardize(lines, lines, names).select(*names, TARGET), names, [TARGET])[TARGET]
+    rows = [
+        (k, float(a), f, float(w[i])) for k, (a, w) in enumerate(zip(path.alphas, path.weights)) for i, f in enumerate(path.features)
+    ]
+    found = local_table(spark, rows, "knot int, alpha double, feature string, weight double")
+    return found.select("knot", F.round("alpha", 3).alias("alpha"), "feature", F.round("weight", 3).alias("weight"))
+
+
 @query(
     """
     SELECT 'l_quantity' AS feature, round(regr_slope(l_extendedprice, l_quantity) * stddev_pop(l_quantity), 3) AS weight,

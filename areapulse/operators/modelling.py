@@ -78,13 +78,90 @@ def lasso_fit(df: DataFrame, features: Sequence[str], target: str, alpha: float
     return lasso.fit(_assembled(df, features).select("features", target))
 
 
+@dataclass(frozen=True)
+class LassoPath:
+    """Weights of every penalty: they are linear between the knots, which go from the penalty that keeps nothing to 0."""
+
+    features: tuple[str, ...]
+    alphas: np.ndarray
+    weights: np.ndarray  # a row per knot
+    means: np.ndarray  # of the features and the target
+
+    def at(self, alpha: float) -> LinearModel:
+        """The model of one penalty."""
+        # Knots fall, interpolation wants them rising.
+        w = np.array([np.interp(alpha, self.alphas[::-1], column[::-1]) for column in self.weights.T])
+        return LinearModel(self.features, tuple(float(x) for x in w), float(self.means[-1] - w @ self.means[:-1]))
+
+
+def lasso_homotopy(gram: np.ndarray, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alphas, weights) of the knots of the LASSO path, from covariances of the features and with the target.
+
+    Between knots the correlations of the active features with the residual stay equal and fall together; a knot is where
+    another feature reaches them (it joins) or a weight reaches 0 (it leaves). A feature that is a combination of active ones
+    can add nothing and stays out.
+    """
+    p = len(cross)
+    w, left, active = np.zeros(p), cross.astype(float).copy(), []
+    barred: set[int] = {j for j in range(p) if gram[j, j] <= 0}
+    alpha = max((abs(left[j]) for j in range(p) if j not in barred), default=0.0)
+    alphas, rows, joins, gone = [alpha], [w.copy()], None, None
+    tiny = 1e-10 * max(alpha, 1e-300)
+    while alpha > tiny:
+        ready = [j for j in range(p) if j not in active and j not in barred and j != gone and (j == joins or abs(left[j]) >= alpha - tiny)]
+        for j in ready:
+            inner = gram[np.ix_(active, active)]
+            own = gram[j, j] - (gram[j, active] @ np.linalg.solve(inner, gram[active, j]) if active else 0.0)
+            if own <= 1e-10 * gram[j, j]:
+                barred.add(j)
+            else:
+                active.append(j)
+        if not active:
+            break
+        move = np.linalg.solve(gram[np.ix_(active, active)], np.sign(left[active]))
+        fall = gram[:, active] @ move
+        step, leaves, joins = alpha, None, None
+        for j in range(p):
+            if j in active or j in barred:
+                continue
+            for t in ((alpha - left[j]) / (1 - fall[j]) if fall[j] != 1 else np.inf, (alpha + left[j]) / (1 + fall[j]) if fall[j] != -1 else np.inf):
+                if tiny < t < step:
+                    step, joins = t, j
+        for k, j in enumerate(active):
+            t = -w[j] / move[k] if move[k] else np.inf
+            if tiny < t < step:
+                step, leaves, joins = t, j, None
+        w[active] += step * move
+        left -= step * fall
+        alpha -= step
+        gone = leaves
+        if leaves is not None:
+            w[leaves] = 0.0
+            active.remove(leaves)
+        alphas.append(max(alpha, 0.0))
+        rows.append(w.copy())
+    if alphas[-1] > 0:
+        alphas.append(0.0)
+        rows.append(w.copy())
+    return np.array(alphas), np.array(rows)
+
+
+def lasso_paths(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> dict[str, LassoPath]:
+    """The path of every target on already standardised features, from one pass that sums the cross products of all."""
+    columns = [*features, *targets]
+    moments = fold_moments(df, columns[:-1], columns[-1])[0]
+    mean, cross = moments.centred()
+    p, out = len(features), {}
+    for i, target in enumerate(targets):
+        knots = lasso_homotopy(cross[:p, :p] / moments.n, cross[:p, p + i] / moments.n)
+        out[target] = LassoPath(tuple(features), *knots, np.append(mean[:p], mean[p + i]))
+    return out
+
+
 def lasso_select(df: DataFrame, features: Sequence[str], targets: Sequence[str], alpha: float = LASSO_ALPHA) -> dict[str, list[str]]:
-    """Features with a non-zero weight per target."""
-    chosen = {}
-    for target in targets:
-        model = lasso_fit(df, features, target, alpha)
-        chosen[target] = [f for f, w in zip(features, model.coefficients) if w != 0.0]
-    return chosen
+    """Features with a non-zero weight per target, all targets from one pass."""
+    models = {t: path.at(alpha) for t, path in lasso_paths(df, features, targets).items()}
+    return {t: [f for f, w in zip(features, m.weights) if w != 0.0] for t, m in models.items()}
 
 
 @dataclass(frozen=True)

@@ -74,6 +74,50 @@ def test_scaler_population_and_constant_feature(spark):
     assert got == [(-1.0, 0.0), (1.0, 0.0)]
 
 
+def descent(gram, cross, alpha):
+    """Plain coordinate descent on covariances."""
+    w = np.zeros(len(cross))
+    for _ in range(20_000):
+        for j in range(len(w)):
+            r = cross[j] - gram[j] @ w + gram[j, j] * w[j]
+            w[j] = np.sign(r) * max(abs(r) - alpha, 0) / gram[j, j] if gram[j, j] > 0 else 0.0
+    return w
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_homotopy_equals_coordinate_descent(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 6)) @ (np.eye(6) + 0.6 * rng.normal(size=(6, 6)))
+    y = x @ rng.normal(size=6) + rng.normal(size=60)
+    x, y = x - x.mean(0), y - y.mean()
+    gram, cross = x.T @ x / 60, x.T @ y / 60
+    alphas, weights = m.lasso_homotopy(gram, cross)
+    assert (np.diff(alphas) <= 0).all() and alphas[-1] == 0
+    assert np.allclose(weights[-1], np.linalg.solve(gram, cross))
+    path = m.LassoPath(tuple("abcdef"), alphas, weights, np.zeros(7))
+    for alpha in np.linspace(0.02, 1.1, 7) * alphas[0]:
+        assert np.allclose(path.at(alpha).weights, descent(gram, cross, alpha), atol=1e-7)
+
+
+def test_homotopy_of_odd_features():
+    gram = np.array([[1.0, 1.0, 0.0], [1.0, 1.0, 0.0], [0.0, 0.0, 0.0]])  # a copy and a constant
+    alphas, weights = m.lasso_homotopy(gram, np.array([2.0, 2.0, 0.0]))
+    assert alphas[0] == 2 and np.allclose(weights[-1], [2, 0, 0])
+    alphas, weights = m.lasso_homotopy(np.eye(2), np.zeros(2))
+    assert (weights == 0).all()
+
+
+def test_path_equals_the_optimizer(planted):
+    x, y, df = planted
+    scaled = m.standardize(df, df, NAMES)
+    paths = m.lasso_paths(scaled.withColumn("z", -F.col("y") + F.col("a")), NAMES, ["y", "z"])
+    for alpha in (0.05, 0.7, 1.0, 3.0):
+        for target in ("y", "z"):
+            want = m.lasso_fit(scaled.withColumn("z", -F.col("y") + F.col("a")), NAMES, target, alpha)
+            got = paths[target].at(alpha)
+            assert np.allclose(got.weights, want.coefficients.toArray(), atol=1e-6) and abs(got.intercept - want.intercept) < 1e-6
+
+
 def test_lasso_equals_coordinate_descent(planted):
     x, y, df = planted
     z = (x - x.mean(0)) / x.std(0)
