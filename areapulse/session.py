@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the Python workers, for sessions whose executors do not have it installed."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="areapulse-package-")  # read by this driver, which serves it to the executors
+    archive = shutil.make_archive(os.path.join(folder, "areapulse"), "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
