@@ -90,5 +90,6 @@ def test_empty_tables(spark, folder):
 
 
 def test_registered():
-    assert set(SQL) == {"op1_quality_rules", "op2_secret_scan", "op3_source_mix", "op8_decontaminate"}
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    with_sql = {"op1_quality_rules", "op2_secret_scan", "op3_source_mix", "op8_decontaminate"}
+    assert set(SQL) == with_sql | {"op11_middle_fill", "op12_winnowing", "op13_turn_repair"}
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
