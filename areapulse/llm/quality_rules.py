@@ -11,11 +11,14 @@ Only the id and the text are read, so other columns may have any name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from areapulse.functions.arrays import bind
 from areapulse.llm.common import SPACES, WORD
 
 #: Fixed phrases of page furniture, matched without regard to case.
@@ -35,6 +38,24 @@ BOILERPLATE = (
     "copyright (\\(c\\)|©)",
     "spdx-license-identifier",
 )
+#: Every phrase holds one of these in lower case; a text without them is not searched for phrases.
+ANCHORS = (
+    "all rights reserved",
+    "terms of ",
+    "privacy policy",
+    "cookie",
+    "enable javascript",
+    "newsletter",
+    "share ",
+    "powered by ",
+    "lorem ipsum",
+    "licensed under the",
+    "copyright ",
+    "spdx-license-identifier",
+)
+#: Runs of symbol and shout marks, and menu separators.
+MARKS = r"[#*$%&<>{}\\^~=]+|!!+"
+BARS = "|»›•·▸→"
 #: Fixed words that a line of menu entries is made of.
 MENU = "home|menu|login|log in|logout|sign in|sign up|register|next|previous|back|top|search|contact|about|help|faq|skip|more"
 
@@ -64,54 +85,69 @@ def count_found(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def line_fails(line: Column, rules: LineRules) -> Column:
+def line_fails(line: Column, rules: LineRules, may: Column | None = None) -> Column:
     """True if a line has a word and fails a rule. The rules:
 
     punctuation: too many symbols or exclamation runs for its words, or a stub without an end mark;
     navigation: too many separators for its words, or nothing but menu words;
     boilerplate: a phrase of page furniture.
+
+    ``may`` (a struct) says of the whole text whether it holds any ``marks``, ``bars`` and ``phrases``; a line of a text without
+    them is not searched. The cheap tests come first, and the words of a line are counted once.
     """
-    n = F.size(F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), ""))
-    marks = count_found(line, r"[#*$%&<>{}\\^~=]+|!!+")
-    bars = count_found(line, r"[|»›•·▸→]")
+    if may is None:
+        may = F.struct(*[F.lit(True).alias(kind) for kind in ("marks", "bars", "phrases")])
+    marks = may["marks"] & line.rlike(MARKS)
+    bars = may["bars"] & line.rlike(f"[{BARS}]")
     ends = line.rlike(r"[.!?:;…。！？,\"”’»')\]][\x20\x09-\x0D]*\z")
     menu = line.rlike(rf"(?i)^[\x20\x09-\x0D]*(({MENU})[\x20\x09-\x0D]*)+\z")
-    known = line.rlike(rf"(?i){'|'.join(BOILERPLATE)}")
-    punctuation = (marks * 100 > n * rules.marks_per_100) | ((n <= rules.stub_words) & ~ends)
-    navigation = (bars * 100 > n * rules.separators_per_100) | menu
-    return (n > 0) & (punctuation | navigation | known)
+    known = may["phrases"] & line.rlike(rf"(?i){'|'.join(BOILERPLATE)}")
+
+    def judged(n: Column) -> Column:
+        stub = (n <= rules.stub_words) & ~ends
+        symbols = marks & (count_found(line, MARKS) * 100 > n * rules.marks_per_100)
+        separators = bars & (count_chars(line, BARS) * 100 > n * rules.separators_per_100)
+        return (n > 0) & (stub | symbols | separators)
+
+    return line.rlike(WORD) & (menu | known | bind(F.size(words_of(line)), judged))
 
 
 def repeated_window_words(df: DataFrame, words: str, out: str, k: int = 5) -> DataFrame:
     """Adds the number of words inside windows of ``k`` words that a row's own word array holds twice or more.
 
-    Windows are compared by hash first; if all hashes of a row differ, so do its windows. Otherwise they are sorted by
-    hash and words, so that equal windows are neighbours, which is exact and takes n log n steps for a long text.
+    Windows are compared by hash first, from hashes of the words; if all hashes of a row differ, so do its windows.
+    Otherwise the windows that share their hash with another are sorted by hash and words, so that equal windows are
+    neighbours, which is exact and takes n log n steps for a long text.
     """
     w = F.col(words)
     n = F.size(w)
     starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    hashed = df.withColumn("_h", F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
-    none = F.array().cast("array<struct<h:bigint,w:string,i:int>>")
-    rows = F.array_sort(
-        F.transform(
-            F.col("_h"),
-            lambda x, i: F.struct(x.alias("h"), F.array_join(F.slice(F.col(words), i + 1, k), " ").alias("w"), i.alias("i")),
-        )
-    )
+    own = F.transform(w, lambda x: F.xxhash64(x))
+    hashed = df.withColumn("_h", bind(own, lambda a: F.transform(starts, lambda i: F.xxhash64(*[F.get(a, i + j) for j in range(k)]))))
+    placed = F.array_sort(F.transform(F.col("_h"), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     plain = F.size(F.array_distinct("_h")) == F.size("_h")
-    ordered = hashed.withColumn("_s", F.when(plain, none).otherwise(rows))
-    s = F.col("_s")
 
-    def same(x: Column, other: Column) -> Column:
-        return (x["h"] == other["h"]) & (x["w"] == other["w"])
+    def neighbours(s: Column, same: Callable[[Column, Column], Column]) -> Column:
+        """Elements of a sorted array that equal the one before or after them."""
+
+        def met(x: Column, i: Column) -> Column:
+            return F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False))
+
+        return F.filter(s, met)
+
+    met = bind(placed, lambda s: neighbours(s, lambda x, y: x["h"] == y["h"]))
+    spelled = F.transform(
+        met, lambda x: F.struct(x["h"].alias("h"), F.array_join(F.slice(F.col(words), x["i"] + 1, k), " ").alias("w"), x["i"].alias("i"))
+    )
+    twice = bind(F.array_sort(spelled), lambda s: neighbours(s, lambda x, y: (x["h"] == y["h"]) & (x["w"] == y["w"])))
+    at = F.array_sort(F.transform(twice, lambda x: x["i"]))
+    marked = hashed.withColumn("_p", F.when(plain, F.array().cast("array<int>")).otherwise(at))
+
+    def total(p: Column) -> Column:
+        spans = F.transform(p, lambda x, i: F.least(F.lit(k), F.coalesce(F.get(p, i + 1) - x, F.lit(k))))
+        return F.aggregate(spans, F.lit(0), lambda a, x: a + x)
 
-    twice = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)), same(x, F.get(s, i - 1)), same(x, F.get(s, i + 1))))
-    marked = ordered.withColumn("_p", F.array_sort(F.transform(twice, lambda x: x["i"])))
-    p = F.col("_p")
-    spans = F.transform(p, lambda x, i: F.least(F.lit(k), F.coalesce(F.get(p, i + 1) - x, F.lit(k))))
-    total = F.aggregate(spans, F.lit(0), lambda a, x: a + x)
-    return marked.withColumn(out, total).drop("_h", "_s", "_p")
+    return marked.withColumn(out, total(F.col("_p"))).drop("_h", "_p")
 
 
 def clean_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -123,7 +159,10 @@ def clean_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     rows = rows.select("doc_id", "_t", words_of(F.col("_t")).alias("_w"), F.split("_t", "\n").alias("_l"))
     rows = rows.withColumn("_full", F.filter("_l", lambda x: x.rlike(WORD)))
-    rows = rows.withColumn("_kept", F.filter("_l", lambda x: ~line_fails(x, rules)))
+    phrases = bind(F.lower("_t"), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(a)) for a in ANCHORS]))
+    may = F.struct(F.col("_t").rlike(MARKS).alias("marks"), F.col("_t").rlike(f"[{BARS}]").alias("bars"), phrases.alias("phrases"))
+    # Bound, so that the tests of the whole text are not repeated at every line.
+    rows = rows.withColumn("_kept", bind(may, lambda m: F.filter("_l", lambda x: ~line_fails(x, rules, m))))
     rows = repeated_window_words(rows, "_w", "_rep")
     rows = rows.withColumn("clean_text", F.array_join("_kept", "\n"))
     long = lambda c: c.cast("long")

@@ -5,7 +5,7 @@ import re
 import pytest
 from conftest_llm import odd_rows, prose
 
-from areapulse.llm.quality_rules import LineRules, clean_lines
+from areapulse.llm.quality_rules import ANCHORS, BOILERPLATE, LineRules, clean_lines
 from areapulse.llm.secret_scan import ANYTHING, BASE_RULES, MORE_RULES, Rule, find_secrets, masked, trigram_query, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,6 +44,18 @@ def test_lines(spark):
     assert clean_lines(spark.createDataFrame([(1, junk)], "doc_id long, text string"), rules=LineRules()).first()["kept"] is False
 
 
+def test_every_phrase_holds_an_anchor(spark):
+    spelled = []
+    for pattern in BOILERPLATE:
+        x = pattern.replace("(c\\)", "c").replace("[a-z]+", "us").replace("(\\c|©)", "©").replace("\\", "")
+        x = re.sub(r"\(([^()|]*)(?:\|[^()]*)?\)\??", r"\1", x).replace("?", "")
+        assert re.search(pattern, x), x
+        assert any(a in x for a in ANCHORS), x
+        spelled.append(f"A line that says {x.upper()} and goes on with more words.")
+    rows = spark.createDataFrame(list(enumerate(spelled)), "doc_id long, text string")
+    assert {r["n_failed_lines"] for r in clean_lines(rows).collect()} == {1}
+
+
 def test_empty_tables(none):
     assert clean_lines(none).count() == 0
     assert find_secrets(none).count() == 0
