@@ -16,6 +16,7 @@ Only the id and the text are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -148,22 +149,45 @@ class TokenFile:
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
 
 
+# Fixed pattern of the pre-tokens of a word-level BPE: letters, single digits or marks, never white space.
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def word_level(spec: str) -> tuple[bool, bool]:
+    """Whether a tokenizer file encodes each word between white space by itself, and whether it lower-cases.
+
+    True only for what is known to do so: composition, white space made blanks and lower-casing as the only normalizers, and
+    the pre-tokens of letters, digits or marks above. Any other file is encoded text by text.
+    """
+    file = json.loads(spec)
+    normalizer, splitter = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    plain = all(step == blanks or step in ({"type": "NFC"}, {"type": "Lowercase"}) for step in steps)
+    parts = splitter.get("pretokenizers", [splitter] if splitter else [])
+    split = parts[0] if parts else {}
+    alone = split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed"
+    alone = alone and split.get("pattern") == {"Regex": _PRE_TOKENS}
+    bytes_only = all(x.get("type") == "ByteLevel" and not x.get("use_regex", True) and not x.get("add_prefix_space", True) for x in parts[1:])
+    return plain and alone and bytes_only, {"type": "Lowercase"} in steps
+
+
 @dataclass
 class WordEncoder:
-    """Encodes texts word by word with a bounded cache of two generations.
+    """Encodes texts word by word with a bounded cache of two generations, or whole where the tokenizer needs it.
 
-    Right for tokenizers whose normalizer and pre-tokenizer never look across white space, as those of a word-level BPE.
-    ``lower`` says that the tokenizer lower-cases and splits letters from marks; words of one spelling then share an entry.
+    ``word_level`` reads from the file whether words can be encoded by themselves and whether the tokenizer lower-cases
+    (words of one spelling then share an entry).
     """
 
     spec: str
-    lower: bool = True
     limit: int = 400_000
 
     def __post_init__(self) -> None:
         # Spark runs one task per core; threads of the tokenizer would only compete with them.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(self.spec)
+        self.alone, self.lower = word_level(self.spec)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -208,6 +232,8 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not self.alone:
+            return self._encode_each([text.decode("utf-8", "replace")])[0]
         if self.lower and b"<|" not in text:  # special tokens are spelled exactly
             text = text.lower()  # A-Z
         words = text.split()

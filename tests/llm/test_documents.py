@@ -1,5 +1,6 @@
 """Operators on documents against brute force, exact round trips or held-out accuracy, with every odd row."""
 
+import json
 import random
 import re
 import zlib
@@ -18,7 +19,7 @@ from areapulse.llm.jaccard_join import Threshold, similar_documents
 from areapulse.llm.language_id import fit_languages, identify_languages
 from areapulse.llm.source_mix import MixRule, mix_sources, source_targets
 from areapulse.llm.substring_dedup import PassageRule, chains, repeated_passages
-from areapulse.llm.token_codes import TokenFile, WordEncoder, pack, read_tokens, write_tokens
+from areapulse.llm.token_codes import TokenFile, WordEncoder, pack, read_tokens, word_level, write_tokens
 from areapulse.llm.toxicity import fit_toxicity
 from areapulse.llm.url_rules import judge_urls
 
@@ -274,6 +275,26 @@ def test_codes_round_trip():
     assert TokenFile(pack([], [])).n_tokens == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_follows_the_tokenizer_file(spark, name):
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    texts = ["Upper CASE  and\n\nblank lines ", " leading", "", "it's I'LL 1234 x2", "é e\u0301 Ünï 世界 😀", "a<|endoftext|>B", "\u00a0odd\u2003blanks\x1c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in read_tokens(spark, write_tokens(rows, path, 2)).collect()}
+    for i, text in enumerate(texts):
+        assert np.frombuffer(got[i], "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_other_splits_are_encoded_whole():
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert word_level(json.dumps(spec)) == (True, True)
+    kept = {**spec, "normalizer": None}
+    assert word_level(json.dumps(kept)) == (True, False)
+    assert word_level(json.dumps({**spec, "normalizer": {"type": "Strip", "strip_left": True, "strip_right": True}}))[0] is False
+    assert word_level(json.dumps({**spec, "pre_tokenizer": {"type": "Whitespace"}}))[0] is False
+
+
 def test_word_encoder_equals_the_library():
     spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
     encoder, plain, rng = WordEncoder(spec, limit=50), Tokenizer.from_str(spec), random.Random(1)
