@@ -7,11 +7,11 @@ byte. Statistics are frozen after the fit, so a byte's cost is a function of the
 tables: one of costs for seen strings of each length, one of escapes for seen contexts, with a column per language.
 
 The fit counts strings through Spark on a sample of at most about ``sample_bytes`` in all, spread evenly over the
-languages and taken by a hash of the text; whole texts are taken. The tables are therefore bounded, and are sent to the
+languages and taken by a hash of the text, at least one text each. The tables are therefore bounded, and are sent to the
 tasks. Every document is scored whole, in pieces of bounded size.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; null languages teach nothing; repeated rows
-teach and are scored as often as they come; without a learnable row every document is ``und``. Only the id, the text and
+teach once and are scored as often as they come; equal code lengths go to the first language by name; without a learnable row every document is ``und``. Only the id, the text and
 the language are read, so other columns may have any name.
 """
 
@@ -51,7 +51,7 @@ def _counter(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for lang, own in texts.items():
                 found = [_codes(np.frombuffer(t, np.uint8), k) for t in own for k in range(1, order + 2)]
                 code, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code), pa.array(n, pa.int64())], names=["lang", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
 
     return run
 
@@ -174,16 +174,25 @@ def build_model(counts: DataFrame, order: int) -> LanguageModel:
 def fit_languages(
     docs: DataFrame, order: int = 4, sample_bytes: int = 6 << 20, text: str = "text", lang: str = "lang"
 ) -> LanguageModel:
-    """Context trees from about ``sample_bytes`` of text, an equal share for each language (all of it if it has less)."""
+    """Context trees from about ``sample_bytes`` of text, an equal share for each language (all of it if it has less).
+
+    The text of the smallest hash of every language is always taken, so that no language is lost; copies teach once, and
+    a text longer than a language's share teaches with its first share of bytes. The bound holds for the sample alone.
+    """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text")).dropna()
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    known = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min(F.when(F.octet_length("text") > 0, F.col("h"))).alias("first"))
+    known = known.collect()  # one row a language
+    sizes = {r["lang"]: r["n"] for r in known}
+    firsts = [r["first"] for r in known if r["first"] is not None]
     if not sizes:
         return LanguageModel([], order, [])
-    share = sample_bytes / len(sizes)
+    share = max(1, sample_bytes // len(sizes))
     part = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, share / max(v, 1))))])
     # A text's place in [0, 1) by its hash, so that the sample does not depend on the order of rows.
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.where(place < F.element_at(part, F.col("lang")))
+    place = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    taken = rows.where((place < F.element_at(part, F.col("lang"))) | F.col("h").isin(firsts))
+    taken = taken.withColumn("text", F.substring("text", 1, share)).dropDuplicates(["lang", "h"]).select("lang", "text")
     counts = taken.mapInArrow(_counter(order), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     return build_model(counts, order)
 

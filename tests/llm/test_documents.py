@@ -275,6 +275,16 @@ def test_codes_round_trip():
     assert TokenFile(pack([], [])).n_tokens == 0
 
 
+def test_a_language_in_few_long_texts_is_learned(spark):
+    long = [(i, " ".join(w + "um" for w in prose(50 + i, 3000).split()), "la") for i in range(2)]
+    many = [(10 + i, prose(100 + i, 60), "en") for i in range(40)]
+    rows = spark.createDataFrame([*long, *many, (90, "", "xx"), (91, many[0][1], "en")], "doc_id long, text string, lang string")
+    model = fit_languages(rows, sample_bytes=3000)
+    assert {"la", "en"} <= set(model.languages)
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_languages(rows, model).collect()}
+    assert got[0] == got[1] == "la" and all(got[i] == "en" for i, _, _ in many)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_follows_the_tokenizer_file(spark, name):
     path = public_tokenizers.path(name)
