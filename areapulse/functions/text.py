@@ -104,11 +104,76 @@ def nfc_text(value: str) -> str:
     return unicodedata.normalize("NFC", value)
 
 
+def _classes() -> dict[str, int]:
+    """Combining class of the marks of U+0300 to U+036F that move and do not decompose."""
+    marks = map(chr, range(0x300, 0x370))
+    return {m: unicodedata.combining(m) for m in marks if unicodedata.combining(m) and not unicodedata.decomposition(m)}
+
+
+def _letters() -> list[str]:
+    """Composed Latin letters."""
+    blocks = (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    return [c for c in map(chr, blocks) if unicodedata.normalize("NFC", c) == c and len(unicodedata.normalize("NFD", c)) > 1]
+
+
+def _constant_map(entries: dict[str, str]) -> Column:
+    """A map of short strings as one folded constant."""
+    return F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in entries.items())), F.lit(","), F.lit(":"))
+
+
+def _compose_clusters(text: Column) -> Column:
+    """Full canonical composition of Latin letters with any number of marks.
+
+    Each letter is taken apart, its marks are ordered by combining class (equal classes keep their order), and every mark
+    joins the letter unless one of the same or a higher class that stayed apart stands between. Letters with a mark outside
+    U+0300 to U+036F are left as they are.
+    """
+    classes, letters = _classes(), _letters()
+    class_of = _constant_map({m: str(c) for m, c in classes.items()})
+    apart = _constant_map({c: unicodedata.normalize("NFD", c) for c in letters})
+    pairs = {unicodedata.normalize("NFC", unicodedata.normalize("NFD", c)[:-1]) + unicodedata.normalize("NFD", c)[-1]: c for c in letters}
+    composed = _constant_map(pairs)
+
+    def fold(decomposed: Column) -> Column:
+        marks = F.regexp_extract_all(F.substring(decomposed, 2, 2**30), F.lit("(?s)(.)"), 1)
+        placed = F.array_sort(
+            F.transform(marks, lambda m, i: F.struct(F.try_element_at(class_of, m).cast("int").alias("k"), i.alias("i"), m.alias("m")))
+        )
+        start = F.struct(F.substring(decomposed, 1, 1).alias("done"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+
+        def step(state: Column, x: Column) -> Column:
+            joined = F.try_element_at(composed, F.concat(state["done"], x["m"]))
+            free = (state["last"] < x["k"]) & joined.isNotNull()
+            return F.struct(
+                F.when(free, joined).otherwise(state["done"]).alias("done"),
+                F.when(free, state["rest"]).otherwise(F.concat(state["rest"], x["m"])).alias("rest"),
+                F.when(free, state["last"]).otherwise(x["k"]).alias("last"),
+            )
+
+        return F.aggregate(placed, start, step, lambda state: F.concat(state["done"], state["rest"]))
+
+    def piece(p: Column) -> Column:
+        """A run of text that ends in a letter and its marks."""
+
+        def split(marks: Column) -> Column:
+            n = F.length(p) - F.length(marks)
+            # Marks without a letter are only ordered: a hyphen, which joins no mark, stands in and is dropped.
+            base = F.when(n > 0, F.substring(p, n, F.lit(1))).otherwise(F.lit("-"))
+            known = marks.rlike(rf"^[{''.join(classes)}]+\z")
+            whole = bind(F.concat(F.coalesce(F.try_element_at(apart, base), base), marks), fold)
+            joined = F.concat(F.substring(p, F.lit(1), F.greatest(n - 1, F.lit(0))), whole)
+            return F.when(~known, p).when(n > 0, joined).otherwise(F.substring(joined, 2, 2**30))
+
+        return bind(F.regexp_extract(p, r"(\p{Mn}*)\z", 1), split)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"([^\p{Mn}]*\p{Mn}*)"), 1), piece), "")
+
+
 def nfc(col: Column) -> Column:
     """Compose Latin letters with their combining marks.
 
-    Rows without a combining mark skip the work. A letter directly before its mark is composed; this is NFC for
-    text with one mark per letter, which covers the languages handled here.
+    Rows without a combining mark skip the work. A letter directly before its one mark is composed by the mark; texts
+    with a letter of several marks go through the full composition, which orders them first.
     """
 
     def step(mark: str) -> Callable[[Column], Column]:
@@ -117,4 +182,5 @@ def nfc(col: Column) -> Column:
     out = col
     for mark in MARKS:
         out = bind(out, step(mark))
-    return F.when(col.rlike(r"\p{Mn}"), out).otherwise(col)
+    several = col.rlike(r"\p{Mn}{2}|[\u00C0-\u024F\u1E00-\u1EFF]\p{Mn}")
+    return F.when(several, _compose_clusters(col)).when(col.rlike(r"\p{Mn}"), out).otherwise(col)

@@ -40,6 +40,17 @@ def test_lengths_around_the_limit(spark):
     assert sorted(r["n"] for r in cleaned.where("n >= 10").collect()) == [10, 11]
 
 
+def test_nfc_orders_and_joins_several_marks(spark):
+    marks = "\u0300\u0301\u0302\u0304\u0308\u0323\u0327\u0328\u031b\u0331"
+    values = [f"x{b}{m}{n}y" for b in "aeouAsZêạ" for m in marks for n in marks]
+    values += ["ệ\u0301\u0323", "a\u0315\u0300\u05aeb", "\u0301\u0323a", "word e\u0302\u0301 and ê\u0301\u0301 end", "q\u0323\u0307", "e\u0301 " * 3000 + "o\u0302\u0323"]
+    values = [v for v in values if not any(0x370 <= ord(c) < 0x600 for c in v)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string").select("i", tx.nfc(F.col("t")).alias("o"))
+    got = {r["i"]: r["o"] for r in rows.collect()}
+    bad = [(v, got[i]) for i, v in enumerate(values) if got[i] != unicodedata.normalize("NFC", v)]
+    assert bad == []
+
+
 def test_nfc_matches_unicodedata(spark):
     words = ["discriminación", "México", "Querétaro", "ñandú", "façade", "über", "Ångström", "plain", "", "é", "x́y", "́a"]
     apart = [unicodedata.normalize("NFD", w) for w in words]
