@@ -7,7 +7,7 @@ from areapulse.catalog.registry import QUERIES, SQL
 
 def load() -> None:
     """Import every module that registers queries."""
-    from areapulse.catalog import forecasts, indicators, ingest, panels, scores, streams, texts  # noqa: F401
+    from areapulse.catalog import forecasts, indicators, ingest, pages, panels, scores, streams, texts  # noqa: F401
 
 
 __all__ = ["QUERIES", "SQL", "load"]
