@@ -40,7 +40,6 @@ class MixRule:
     budget_num: int = 3
     budget_den: int = 2
     repeats: int = 2
-    slots: int = 1 << 20  # without effect: the number of slots follows from the words
     least_block: int = 16
     seed: str = "mix"
 

@@ -85,11 +85,16 @@ s5 AS (SELECT *, max(CASE WHEN ratio > lev THEN lev END) OVER () AS level FROM s
 s6 AS (SELECT source, source_size, idx, CASE WHEN ratio > level THEN level * weight ELSE cap::DOUBLE END AS target FROM s5),
 s AS (SELECT *, sum(floor(target)::BIGINT) OVER (ORDER BY idx)::BIGINT AS hi, sum(floor(target)::BIGINT) OVER ()::BIGINT AS al,
         floor(target)::BIGINT AS whole FROM s6),
-p AS (SELECT b, greatest(16, (b + 1048575) // 1048576) AS blk FROM (SELECT (coalesce(sum(size), 0)::BIGINT * 3 + 1) // 2 AS b FROM d)),
+p AS (SELECT (coalesce(sum(size), 0)::BIGINT * 3 + 1) // 2 AS b, 16 AS blk FROM d),
 k AS (SELECT unnest(range(CASE WHEN b > 0 THEN (b + blk - 1) // blk + 64 ELSE 0 END)) AS k FROM p),
 x AS (SELECT k, k::DOUBLE * 0.6180339887498949 - floor(k::DOUBLE * 0.6180339887498949) AS x FROM k),
-sl AS (SELECT idx, source_size, whole, row_number() OVER (PARTITION BY idx ORDER BY k) - 1 AS r
+s7 AS (SELECT idx, source_size, whole, row_number() OVER (PARTITION BY idx ORDER BY k) - 1 AS r
        FROM x JOIN s ON x * al >= hi - whole AND x * al < hi),
+sh AS (SELECT idx, source_size, whole, coalesce(given, 0) AS given,
+        (whole // source_size) * ((source_size + blk - 1) // blk) + (whole % source_size + blk - 1) // blk AS needed
+       FROM s LEFT JOIN (SELECT idx, count(*) AS given FROM s7 GROUP BY idx) USING (idx), p WHERE whole > 0),
+sl AS (SELECT * FROM s7
+       UNION ALL SELECT idx, source_size, whole, unnest(range(given, needed)) FROM sh WHERE given < needed),
 bl AS (SELECT idx, r % nb AS b, least(blk, whole - ((r // nb) * source_size + (r % nb) * blk)) AS take
        FROM (SELECT *, (source_size + blk - 1) // blk AS nb FROM sl, p)),
 o AS (SELECT d.*, idx, source_size, target,

@@ -6,7 +6,10 @@ import re
 import zlib
 from collections import defaultdict
 
+import compare
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from conftest_llm import odd_rows, prose
@@ -18,6 +21,7 @@ from areapulse.llm.fm_index import FMIndex
 from areapulse.llm.jaccard_join import Threshold, similar_documents
 from areapulse.llm.language_id import fit_languages, identify_languages
 from areapulse.llm.source_mix import MixRule, mix_sources, source_targets
+from areapulse.llm.sql import SQL
 from areapulse.llm.substring_dedup import PassageRule, chains, repeated_passages
 from areapulse.llm.token_codes import TokenFile, WordEncoder, pack, read_tokens, word_level, write_tokens
 from areapulse.llm.toxicity import fit_toxicity
@@ -171,8 +175,8 @@ def test_targets(spark):
 
 
 def test_mix(spark, odd):
-    first = mix_sources(odd, MixRule(slots=1 << 12, least_block=4)).toPandas()
-    again = mix_sources(odd.repartition(5), MixRule(slots=1 << 12, least_block=4)).toPandas()
+    first = mix_sources(odd, MixRule(least_block=4)).toPandas()
+    again = mix_sources(odd.repartition(5), MixRule(least_block=4)).toPandas()
     columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
     key = lambda f: sorted(map(str, f[columns].itertuples(index=False)))
     assert key(first) == key(again)
@@ -186,12 +190,25 @@ def test_small_sources_reach_their_target(spark):
     rng = random.Random(9)
     rows = [(i, "w " * 400, "a") for i in range(100)]
     rows += [(1000 + 10 * s + i, "w " * rng.choice([1, 7, 17, 33]), f"s{s:03}") for s in range(60) for i in range(3)]
-    got = mix_sources(spark.createDataFrame(rows, f"{DOC}, source string"), MixRule(slots=1 << 6)).toPandas()
+    got = mix_sources(spark.createDataFrame(rows, f"{DOC}, source string")).toPandas()
     by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
     assert (by["taken"] == by["target"].astype(int)).all()
     assert (got["taken"] <= 2 * got["size"]).all()
 
 
+def test_mix_of_small_sources_equals_its_sql(spark):
+    """The given tables need no place beyond the schedule; this one does."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice([3, 20, 90, 333]), f"s{i % 120:03}" if i % 3 else "big") for i in range(600)]
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    got = mix_sources(spark.createDataFrame(rows, f"{DOC}, source string")).select(*columns).toPandas()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        want = con.execute(SQL["op3_source_mix"]).df()
+    assert compare.differences(got, want) == []
+
+
 def test_repeated_passages(spark, odd):
     rng = random.Random(2)
     fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
