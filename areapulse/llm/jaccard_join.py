@@ -171,6 +171,8 @@ def _tokens(k: int, packed: bytes) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 #: A set that shares less than this part of the union with its pivot is in no family.
 NEAR = 0.6
+#: A change that at least one member in so many has is a common one of its family.
+COMMON = 64
 
 COMPARED = "u long, v long, linked boolean, near boolean, lacks array<bigint>, adds array<bigint>"
 
@@ -202,8 +204,12 @@ def family_pairs(compared: DataFrame, rule: Threshold) -> tuple[DataFrame, DataF
     Let a member lack r tokens of the pivot and add a. Two members share the pivot's tokens that neither lacks and the
     additions of both, so they reach the threshold if they agree in s changes, where s is a sum of a part of each. For a
     set that misses the pivot its own part alone is positive, so the other member's part, (num a + den r) / (num + den),
-    must be exceeded by the changes of that member that the two agree in. Of any ``r + a - part`` changes of the member
-    one is then shared; additions come first, since they are rarer.
+    must be exceeded by the changes of that member that the two agree in. If the member's changes stand in one order for
+    the whole family, one of its first ``r + a - part`` is then shared. The order puts rare changes first: what the pivot
+    alone adds is lacked by nearly all of its family, and a prefix that held it would pair them all. The changes of at least
+    one member in ``COMMON`` go to the end, by their number of members; a family has at most ``COMMON`` times the mean
+    number of changes of them, however many members it has. Two members that both miss the pivot must exceed both parts, so
+    both come with their prefix alone; against a linked member, a member that misses comes with all its changes.
     """
     pivots = compared.where("near").select(F.col("v").alias("sid")).distinct()
     members = compared.where("near").join(pivots, F.col("u") == F.col("sid"), "left_anti")
@@ -217,9 +223,23 @@ def family_pairs(compared: DataFrame, rule: Threshold) -> tuple[DataFrame, DataF
         F.floor((a * rule.num + r * rule.den) / (rule.num + rule.den)).cast("int").alias("part"),
     )
     members = cut_lineage(members, "families")
-    sought = members.select("family", F.col("sid").alias("v"), F.explode(F.slice("changes", F.lit(1), F.size("changes") - F.col("part"))).alias("token"))
-    missing = members.where("NOT linked").select("family", F.col("sid").alias("u"), F.explode("changes").alias("token"))
-    pairs = missing.join(sought, ["family", "token"]).where("u <> v").select("u", "v").distinct()
+    # Only families with a member that misses the pivot have pairs to be sought.
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("misses"))
+    open_to = members.join(sizes.where("misses > 0 AND size > 1"), "family")
+    held = open_to.select("family", "size", F.explode("changes").alias("token")).groupBy("family", "size", "token").agg(F.count(F.lit(1)).alias("n"))
+    common = held.where(F.col("n") * COMMON >= F.col("size")).groupBy("family").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("c"))
+    common = common.select("family", F.col("c.token").alias("common"))
+    none = F.array().cast("array<bigint>")
+    ordered = open_to.join(common, "family", "left").withColumn("common", F.coalesce("common", none))
+    rare_first = F.concat(F.sort_array(F.array_except("changes", "common")), F.array_intersect("common", "changes"))
+    ordered = ordered.select("family", "sid", "linked", "part", rare_first.alias("changes"))
+    ordered = ordered.withColumn("kept", F.size("changes") - F.col("part"))
+    entry = F.posexplode("changes").alias("at", "token")
+    entries = ordered.select("family", "sid", "linked", "kept", entry).withColumn("early", F.col("at") < F.col("kept"))
+    sought = entries.where("early").select("family", "token", F.col("sid").alias("v"), F.col("linked").alias("v_linked"))
+    missing = entries.where("NOT linked").select("family", "token", F.col("sid").alias("u"), F.col("early").alias("u_early"))
+    met = missing.join(sought, ["family", "token"]).where("(v_linked OR (u_early AND u < v)) AND u <> v")
+    pairs = met.select("u", "v").distinct()
     return members.select("sid", "family").unionByName(pivots.select("sid", F.col("sid").alias("family"))), pairs
 
 

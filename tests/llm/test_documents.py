@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from areapulse.llm.common import components
 from areapulse.llm.decontaminate import cut_spans, find_passages
 from areapulse.llm.fm_index import FMIndex
-from areapulse.llm.jaccard_join import Threshold, similar_documents
+from areapulse.llm.jaccard_join import Threshold, family_pairs, similar_documents
 from areapulse.llm.language_id import fit_languages, identify_languages
 from areapulse.llm.source_mix import MixRule, mix_sources, source_targets
 from areapulse.llm.sql import SQL
@@ -402,3 +402,30 @@ def test_urls(spark):
     assert by[10][2:] == (None, "block") and by[11][3] == "block"
     assert judge_urls(pages, labels.limit(0)).where("n_mined > 0").count() == 0
     assert judge_urls(pages.limit(0), labels).count() == 0
+
+
+def test_large_families_around_two_pivots(spark):
+    """Near copies of a text and of its own near copy: brute force over all pairs."""
+    rng = random.Random(12)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
+    bases = [base, edited(base, 1, 3)]
+    rows = [(i, edited(bases[i % 2], 100 + i, rng.choice([0, 1, 1, 2, 3, 4]))) for i in range(1000)]
+    got = similar_documents(spark.createDataFrame(rows, DOC), Threshold(5, 4, 5)).collect()
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == classes(rows, Threshold(5, 4, 5))
+
+
+def test_pairs_of_a_family_grow_with_its_members(spark):
+    """All lack what the pivot alone adds; only twins agree in more than that."""
+    rule, rows = Threshold(5, 4, 5), []
+    for i in range(800):
+        twin = 1000 + 40 * (i // 2)
+        own = 10**6 + 40 * i
+        lacks = [*range(12), *range(twin, twin + 3)]
+        adds = [*range(twin + 10, twin + 22), *range(own, own + 3)]
+        rows.append((i, -1, i % 4 == 0, True, lacks, adds))
+    compared = spark.createDataFrame(rows, "u long, v long, linked boolean, near boolean, lacks array<long>, adds array<long>")
+    members, pairs = family_pairs(compared, rule)
+    assert members.count() == 801
+    found = {tuple(sorted((r["u"], r["v"]))) for r in pairs.collect()}
+    assert {(i, i + 1) for i in range(0, 800, 2)} <= found
+    assert len(found) <= 2 * 800
