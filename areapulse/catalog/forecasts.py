@@ -371,6 +371,27 @@ def lda_fit(spark: SparkSession, sf: str) -> DataFrame:
     return panel.select("source", *[F.round(f"topic_{i}", 4).alias(f"topic_{i}") for i in range(8)])
 
 
+@query()
+def topic_shares_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    # Every document is an article of one of the two years; one half comes live, the other from the archive.
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    year = F.when(h % 2 == 0, 2020).otherwise(2022)
+    day = F.make_date(year, F.lit(1), F.lit(1)) + F.floor(h / 4).cast("int") % 365
+    docs = text_table(spark, sf, "documents").select("doc_id", F.col("source").alias("area"), F.col("text").alias("content"), day.alias("day"), h.alias("h"))
+    live = docs.where("h % 4 < 2").withColumn("published date", F.concat(F.date_format("day", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+    archive = docs.where("h % 4 >= 2").withColumn("publish_date", F.date_format("day", "yyyy-MM-dd"))
+    fit = news.fit_yearly_topics(live.drop("day", "h"), archive.drop("day", "h"), (2020, 2022), ["area"], "content", ALL_STOP)
+    panel = news.topic_panel(fit, ["area", "year"], [f"topic_{i}" for i in range(8)])
+    return panel.select("area", "year", *[F.round(f"topic_{i}", 4).alias(f"topic_{i}") for i in range(8)])
+
+
+@query()
+def fitted_topic_report(spark: SparkSession, sf: str) -> DataFrame:
+    report = news.topic_report(_topics(spark, sf), "doc_id")
+    places = {"percentage": 6, "probability": 4}
+    return report.select("topic", "keywords", "count", "exemplar", *[F.round(c, p).alias(c) for c, p in places.items()])
+
+
 @query()
 def topic_top_terms(spark: SparkSession, sf: str) -> DataFrame:
     fit = _topics(spark, sf)
