@@ -24,14 +24,16 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from areapulse.session import cut_lineage, fresh_dir
 
@@ -145,8 +147,8 @@ class TokenFile:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-# Latin letters with trailing marks, where lower-casing and splitting are the same in every Unicode version.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
+# Latin letters with trailing marks, where lower-casing and splitting are the same in every Unicode version; one word a line.
+_PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)|.*)$", re.MULTILINE)
 
 
 # Fixed pattern of the pre-tokens of a word-level BPE: letters, single digits or marks, never white space.
@@ -181,13 +183,19 @@ class WordEncoder:
     """
 
     spec: str
-    limit: int = 400_000
+    limit: int = 250_000
 
     def __post_init__(self) -> None:
         # Spark runs one task per core; threads of the tokenizer would only compete with them.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(self.spec)
         self.alone, self.lower = word_level(self.spec)
+        # Pieces of plain words are lower-cased, composed and one pre-token each, so only blanks have to be cut between them.
+        self.pieces = Tokenizer.from_str(self.spec)
+        if self.alone:
+            rest = json.loads(self.spec)["pre_tokenizer"].get("pretokenizers", [])[1:]
+            levels = [pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False) for _ in rest]
+            self.pieces.normalizer, self.pieces.pre_tokenizer = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *levels])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -198,7 +206,7 @@ class WordEncoder:
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that are one pre-token each: all in one call, cut where a token closes a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.pieces.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         past = np.flatnonzero(self.closes[ids]) + 1
         if len(past) != len(pieces) or (len(past) and past[-1] != len(ids)):
             return self._encode_each(pieces)
@@ -219,32 +227,38 @@ class WordEncoder:
 
     def _learn(self, missing: list[bytes]) -> None:
         spelled = [w.decode("utf-8", "replace") for w in missing]
-        split = [_PLAIN.fullmatch(w) if self.lower else None for w in spelled]
-        pieces = [(m[1].lower(), m[2]) if m else None for m in split]
-        asked = list({p for x in pieces if x for p in x if p})
-        new = self._recall(self.parts, asked)
+        # Words hold no line break: one search over all of them, with an empty pair for what is not plain.
+        pieces = [(a.lower(), b) for a, b in _PLAIN.findall("\n".join(spelled))] if self.lower and spelled else [("", "")] * len(spelled)
+        asked = set().union(*pieces)
+        asked.discard("")
+        new = self._recall(self.parts, list(asked))
         if new:
             self.parts[0].update(zip(new, self._encode(new)))
         known, words = self.parts[0], self.words[0]
-        odd = [(w, x) for w, x, p in zip(missing, spelled, pieces) if p is None]
+        odd = [(w, x) for w, x, p in zip(missing, spelled, pieces) if not p[0]]
         words.update(zip([w for w, _ in odd], self._encode_each([x for _, x in odd])))
-        words.update((w, known[p[0]] + known[p[1]] if p[1] else known[p[0]]) for w, p in zip(missing, pieces) if p)
+        words.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in zip(missing, pieces) if a)
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of several texts; the words that none of them had before are learned in one go."""
         if not self.alone:
-            return self._encode_each([text.decode("utf-8", "replace")])[0]
-        if self.lower and b"<|" not in text:  # special tokens are spelled exactly
-            text = text.lower()  # A-Z
-        words = text.split()
-        try:
-            return b"".join(map(self.words[0].__getitem__, words))
-        except KeyError:
+            return [self._encode_each([text.decode("utf-8", "replace")])[0] for text in texts]
+        # Special tokens are spelled exactly; elsewhere A-Z are lowered.
+        split = [(text.lower() if self.lower and b"<|" not in text else text).split() for text in texts]
+        unknown = set().union(*split).difference(self.words[0])
+        if unknown:
             self.words, self.parts = self._aged(self.words), self._aged(self.parts)
-            missing = self._recall(self.words, [w for w in set(words) if w not in self.words[0]])
+            if not self.words[0]:
+                unknown = set().union(*split)
+            missing = self._recall(self.words, list(unknown))
             if missing:
                 self._learn(missing)
-            return b"".join(map(self.words[0].__getitem__, words))
+        known = self.words[0].__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -266,6 +280,22 @@ def open_folder(path: str) -> tuple[fs.FileSystem, str]:
 MANIFEST = "task int, seq int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
+#: Bytes of text whose words are looked up together.
+BUNCH = 1 << 18
+
+
+def _bunches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts of about ``BUNCH`` bytes, one text at least."""
+    lo, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > lo and size + n > BUNCH:
+            yield lo, i - lo
+            lo, size = i, 0
+        size += n
+    if lo < len(texts):
+        yield lo, len(texts) - lo
+
+
 def _writer(folder: str, spec: str, end_id: int, file_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_folder(folder)
@@ -289,8 +319,10 @@ def _writer(folder: str, spec: str, end_id: int, file_tokens: int) -> Callable[[
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
 
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.concatenate([np.frombuffer(encoder.encode(text.as_py()), "<u4"), end])
+            column = batch.column("text")
+            bunches = (encoder.encode_all(column.slice(lo, n).to_pylist()) for lo, n in _bunches(column))
+            for key, coded in zip(batch.column("doc_id").to_pylist(), chain.from_iterable(bunches)):
+                ids = np.concatenate([np.frombuffer(coded, "<u4"), end])
                 keys.append(key)
                 held.append(ids)
                 size += len(ids)

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest_llm import odd_rows, prose
 from tokenizers import Tokenizer
@@ -23,7 +24,7 @@ from areapulse.llm.language_id import fit_languages, identify_languages
 from areapulse.llm.source_mix import MixRule, mix_sources, source_targets
 from areapulse.llm.sql import SQL
 from areapulse.llm.substring_dedup import PassageRule, chains, repeated_passages
-from areapulse.llm.token_codes import TokenFile, WordEncoder, pack, read_tokens, word_level, write_tokens
+from areapulse.llm.token_codes import BUNCH, TokenFile, WordEncoder, _bunches, pack, read_tokens, word_level, write_tokens
 from areapulse.llm.toxicity import fit_toxicity
 from areapulse.llm.url_rules import judge_urls
 
@@ -429,3 +430,20 @@ def test_pairs_of_a_family_grow_with_its_members(spark):
     found = {tuple(sorted((r["u"], r["v"]))) for r in pairs.collect()}
     assert {(i, i + 1) for i in range(0, 800, 2)} <= found
     assert len(found) <= 2 * 800
+
+
+def test_words_of_several_texts_are_learned_together():
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    encoder, plain = WordEncoder(spec, limit=20), Tokenizer.from_str(spec)
+    texts = [f"Wort{i} müßig, {prose(i, 12)} <|endoftext|> it's {i}" for i in range(30)]
+    for lo in range(0, 30, 10):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all([t.encode() for t in texts[lo : lo + 10]])]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts[lo : lo + 10]]
+
+
+def test_bunches_hold_every_text_once():
+    sizes = [0, 10, BUNCH - 5, 10, 3 * BUNCH, 0, 1]
+    cuts = list(_bunches(pa.array([b"x" * n for n in sizes])))
+    assert [i for lo, n in cuts for i in range(lo, lo + n)] == list(range(len(sizes)))
+    assert all(n == 1 or sum(sizes[lo : lo + n]) <= BUNCH for lo, n in cuts) and len(cuts) == 5
+    assert list(_bunches(pa.array([], pa.binary()))) == []
