@@ -23,7 +23,7 @@ from areapulse.llm.jaccard_join import Threshold, family_pairs, similar_document
 from areapulse.llm.language_id import fit_languages, identify_languages
 from areapulse.llm.source_mix import MixRule, mix_sources, source_targets
 from areapulse.llm.sql import SQL
-from areapulse.llm.substring_dedup import PassageRule, chains, repeated_passages
+from areapulse.llm.substring_dedup import PassageRule, _seeds, chains, repeated_passages, word_hashes
 from areapulse.llm.token_codes import BUNCH, TokenFile, WordEncoder, _bunches, pack, read_tokens, word_level, write_tokens
 from areapulse.llm.toxicity import fit_toxicity
 from areapulse.llm.url_rules import judge_urls
@@ -447,3 +447,12 @@ def test_bunches_hold_every_text_once():
     assert [i for lo, n in cuts for i in range(lo, lo + n)] == list(range(len(sizes)))
     assert all(n == 1 or sum(sizes[lo : lo + n]) <= BUNCH for lo, n in cuts) and len(cuts) == 5
     assert list(_bunches(pa.array([], pa.binary()))) == []
+
+
+def test_seeds_carry_the_words_of_a_text_once():
+    rule = PassageRule()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": [prose(1, 60).encode(), b"", prose(1, 60).encode(), prose(2, 80).encode()]})
+    words = next(_seeds(rule)(iter([batch]))).column("words").to_pylist()
+    assert [len(w) // 4 if w else None for w in words] == [60, None, None, 80]
+    (h,) = word_hashes([prose(2, 80).encode()])
+    assert words[3] == (h >> np.uint64(32)).astype("<u4").tobytes()
