@@ -140,10 +140,14 @@ def _bits(sid: int) -> tuple[int, int]:
     return sid & (FILTER - 1), (sid >> 24) & (FILTER - 1)
 
 
+def name_slots(names: DataFrame) -> DataFrame:
+    """Slots of the name filter; a set has its two however many pairs name it."""
+    return names.distinct().select(F.explode(F.expr(f"array(sid & {FILTER - 1}L, shiftright(sid, 24) & {FILTER - 1}L)")).alias("s"))
+
+
 def name_filter(names: DataFrame) -> np.ndarray:
     """A Bloom filter of a fixed size over set names, as bits: what it lets through besides is dropped by a later join."""
-    slots = names.select(F.explode(F.expr(f"array(sid & {FILTER - 1}L, shiftright(sid, 24) & {FILTER - 1}L)")).alias("s"))
-    words_of = slots.groupBy(F.expr("s div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("b"))
+    words_of = name_slots(names).groupBy(F.expr("s div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("b"))
     got = words_of.toArrow()
     out = np.zeros(FILTER // 32, np.uint32)
     out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)

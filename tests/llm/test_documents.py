@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from areapulse.llm.common import components
 from areapulse.llm.decontaminate import cut_spans, find_passages
 from areapulse.llm.fm_index import FMIndex
-from areapulse.llm.jaccard_join import Threshold, family_pairs, similar_documents
+from areapulse.llm.jaccard_join import Threshold, family_pairs, name_filter, name_slots, similar_documents
 from areapulse.llm.language_id import fit_languages, identify_languages
 from areapulse.llm.source_mix import MixRule, mix_sources, source_targets
 from areapulse.llm.sql import SQL
@@ -456,3 +456,9 @@ def test_seeds_carry_the_words_of_a_text_once():
     assert [len(w) // 4 if w else None for w in words] == [60, None, None, 80]
     (h,) = word_hashes([prose(2, 80).encode()])
     assert words[3] == (h >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def test_a_set_of_many_pairs_is_in_the_name_filter_once(spark):
+    names = spark.range(400).selectExpr("xxhash64(id % 4) AS sid")
+    assert name_slots(names).count() == 8
+    assert (name_filter(names) == name_filter(names.distinct())).all()
