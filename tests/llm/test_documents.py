@@ -462,3 +462,19 @@ def test_a_set_of_many_pairs_is_in_the_name_filter_once(spark):
     names = spark.range(400).selectExpr("xxhash64(id % 4) AS sid")
     assert name_slots(names).count() == 8
     assert (name_filter(names) == name_filter(names.distinct())).all()
+
+
+def test_toxicity_learns_words_that_no_list_holds(spark):
+    rng = random.Random(5)
+
+    def text(i: int) -> str:
+        out = prose(i, 60).split()
+        for _ in range(3 if i % 4 == 0 else 0):
+            out.insert(rng.randrange(len(out)), rng.choice(["Übelzorn", "übelzorn", "grumfel"]) + "".join(rng.choice("abcdefg") for _ in range(3)))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    scores = {r["doc"]["doc_id"]: r["score"] for r in fit_toxicity(docs, labels, trees=5).score(docs, ["doc_id"]).collect()}
+    assert all(scores[i] >= 0.3 for i in range(400, 600) if i % 4 == 0)
+    assert all(scores[i] < 0.3 for i in range(400, 600) if i % 4)
