@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areapulse.llm.common import SPACED, components, joined, mix64, window_hashes, words
+from areapulse.llm.common import SPACED, components, give_back, joined, mix64, window_hashes, words
 from areapulse.session import cut_lineage
 
 #: Counters of the frequency sketch; two rows of so many.
@@ -131,6 +131,7 @@ def _fingerprints(rule: Threshold, sketch: np.ndarray) -> Callable[[Iterator[pa.
                 ],
                 names=["doc_id", "n", "sid", "prefix"],
             )
+        give_back()
 
     return run
 
@@ -169,6 +170,7 @@ def _tokens(k: int, packed: bytes) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     names.append(sid)
                     sets.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "tokens"])
+        give_back()
 
     return run
 
@@ -198,6 +200,7 @@ def _compare(rule: Threshold, changes: bool) -> Callable[[Iterator[pa.RecordBatc
             kinds = [pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             made = [pa.array(x, t) for x, t in zip((linked, near, lacks, adds), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *made], names=["u", "v", "linked", "near", "lacks", "adds"])
+        give_back()
 
     return run
 

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
+from areapulse.llm.common import give_back
 from areapulse.session import cut_lineage, fresh_dir
 
 MAGIC = b"DACTOK01"
@@ -330,6 +331,7 @@ def _writer(folder: str, spec: str, end_id: int, file_tokens: int) -> Callable[[
                     yield flush()
         if keys:
             yield flush()
+        give_back()
 
     return run
 

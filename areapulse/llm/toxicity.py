@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areapulse.llm.common import joined, mix64, words
+from areapulse.llm.common import give_back, joined, mix64, words
 from areapulse.session import cut_lineage
 
 # Fixed word lists.
@@ -291,6 +291,7 @@ def features(lexicons: np.ndarray) -> Callable[[Column, Column], Column]:
                     flat[at + on] = makers[k].of([texts[i] for i in on])
             ends = pa.array(np.arange(len(flat) + 1) * len(FEATURES), pa.int32())
             yield pa.ListArray.from_arrays(ends, pa.array(flat.ravel(), pa.float64()))
+        give_back()
 
     return made
 
