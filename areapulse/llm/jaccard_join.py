@@ -8,9 +8,11 @@
 4. Sets near one pivot are a family, known by what they lack of the pivot and what they add. A set that misses the
    pivot can only reach a member that shares more than about half of the member's own changes with it, so pairs inside a
    family are sought through those few tokens.
-5. The token-group matrix holds the union of each group's prefix tokens, with the sizes of the sets behind them. A set's
-   overlap with a group's union bounds its overlap with every member, so only groups that reach the bound are opened, and
-   only their members of fitting size that share enough tokens are verified, on the whole sets.
+5. The token-group matrix holds the union of each family's prefix tokens, with the sizes of the sets behind them. A set's
+   overlap with a family's union bounds its overlap with every member, so a set visits only families that reach the bound:
+   of two families, the sets of the smaller one visit the larger. A visitor is compared with the pivot on the whole sets.
+   One that is near enough for any link is a guest of the family, known by its changes like a member, and the pairs of
+   guests and members are sought with those of step 4. So nobody is joined with all members of a group.
 6. Classes are the connected components of all verified pairs.
 
 No step is approximate: steps 3 to 5 only leave out pairs that are connected already or cannot reach the threshold.
@@ -180,33 +182,64 @@ NEAR = 0.6
 #: A change that at least one member in so many has is a common one of its family.
 COMMON = 64
 
-COMPARED = "u long, v long, linked boolean, near boolean, lacks array<bigint>, adds array<bigint>"
+COMPARED = "u long, v long, linked boolean, near boolean, size long, lacks array<bigint>, adds array<bigint>"
 
 
-def _compare(rule: Threshold, changes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Whether each pair reaches the threshold on its whole sets; with ``changes``, what u lacks of v and what it adds."""
+def _compare(rule: Threshold, least: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whether each pair reaches the threshold on its whole sets, and the size of v; from the similarity ``least`` on (none:
+    never) the pair is near and comes with what u lacks of v and what it adds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, near, lacks, adds = [], [], [], []
+            linked, near, sizes, lacks, adds = [], [], [], [], []
             for x, y in zip(batch.column("tx"), batch.column("ty")):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 union = len(a) + len(b) - both
                 linked.append(rule.den * both >= rule.num * union)
-                near.append(changes and both >= NEAR * union)
+                near.append(least is not None and both >= least * union)
+                sizes.append(len(b))
                 lacks.append(np.setdiff1d(b, a, assume_unique=True).view(np.int64) if near[-1] else None)
                 adds.append(np.setdiff1d(a, b, assume_unique=True).view(np.int64) if near[-1] else None)
-            kinds = [pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            made = [pa.array(x, t) for x, t in zip((linked, near, lacks, adds), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *made], names=["u", "v", "linked", "near", "lacks", "adds"])
+            kinds = [pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            made = [pa.array(x, t) for x, t in zip((linked, near, sizes, lacks, adds), kinds)]
+            names = ["u", "v", "linked", "near", "size", "lacks", "adds"]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *made], names=names)
         give_back()
 
     return run
 
 
-def family_pairs(compared: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(sid, family) of the sets near a pivot, and the pairs (u, v) inside families that may still be similar.
+def _changed(compared: DataFrame, rule: Threshold, guest: bool) -> DataFrame:
+    """Near sets of ``compared`` with their family, their changes, and what of them a partner must share."""
+    tag = lambda column, kind: F.transform(column, lambda t: F.xxhash64(F.lit(kind), t))
+    r, a = F.size("lacks"), F.size("adds")
+    weight = a * rule.num + r * rule.den
+    size = F.col("size") if "size" in compared.columns else F.lit(None)
+    return compared.where("near").select(
+        F.col("u").alias("sid"),
+        F.col("v").alias("family"),
+        "linked",
+        F.concat(tag("adds", 1), tag("lacks", 0)).alias("changes"),
+        F.floor(weight / (rule.num + rule.den)).cast("int").alias("part"),
+        r.alias("r"),
+        a.alias("a"),
+        (2 * weight - (rule.den - rule.num) * size).cast("bigint").alias("due"),
+        F.lit(guest).alias("guest"),
+    )
+
+
+def family_members(compared: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
+    """The sets near a pivot with their changes, and (sid, family) of those sets and of the pivots. A pivot is a member of
+    its own family alone."""
+    pivots = compared.where("near").select(F.col("v").alias("family")).distinct()
+    members = _changed(compared, rule, False).join(pivots.select(F.col("family").alias("sid")), "sid", "left_anti")
+    members = cut_lineage(members, "families")
+    return members, members.select("sid", "family").unionByName(pivots.select(F.col("family").alias("sid"), "family"))
+
+
+def pairs_inside(members: DataFrame, rule: Threshold) -> DataFrame:
+    """The pairs (u, v) of members, and of guests and members, of one family that may still be similar.
 
     Let a member lack r tokens of the pivot and add a. Two members share the pivot's tokens that neither lacks and the
     additions of both, so they reach the threshold if they agree in s changes, where s is a sum of a part of each. For a
@@ -217,37 +250,38 @@ def family_pairs(compared: DataFrame, rule: Threshold) -> tuple[DataFrame, DataF
     one member in ``COMMON`` go to the end, by their number of members; a family has at most ``COMMON`` times the mean
     number of changes of them, however many members it has. Two members that both miss the pivot must exceed both parts, so
     both come with their prefix alone; against a linked member, a member that misses comes with all its changes.
+
+    Two sets agree in no more changes than the smaller number of lacks and the smaller number of additions, and must agree
+    in ``due``, of which each of them brings its share and the size of the pivot is taken. So a set that is far from the
+    pivot is not paired with those close to it.
     """
-    pivots = compared.where("near").select(F.col("v").alias("sid")).distinct()
-    members = compared.where("near").join(pivots, F.col("u") == F.col("sid"), "left_anti")
-    tag = lambda column, kind: F.transform(column, lambda t: F.xxhash64(F.lit(kind), t))
-    r, a = F.size("lacks"), F.size("adds")
-    members = members.select(
-        F.col("u").alias("sid"),
-        F.col("v").alias("family"),
-        "linked",
-        F.concat(tag("adds", 1), tag("lacks", 0)).alias("changes"),
-        F.floor((a * rule.num + r * rule.den) / (rule.num + rule.den)).cast("int").alias("part"),
+    # Only families with a member, or a guest of one, that misses the pivot have pairs to be sought.
+    sizes = members.groupBy("family").agg(
+        F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("misses"), F.count_if(~F.col("guest")).alias("own")
     )
-    members = cut_lineage(members, "families")
-    # Only families with a member that misses the pivot have pairs to be sought.
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("misses"))
-    open_to = members.join(sizes.where("misses > 0 AND size > 1"), "family")
+    open_to = members.join(sizes.where("misses > 0 AND size > 1 AND own > 0"), "family")
     held = open_to.select("family", "size", F.explode("changes").alias("token")).groupBy("family", "size", "token").agg(F.count(F.lit(1)).alias("n"))
     common = held.where(F.col("n") * COMMON >= F.col("size")).groupBy("family").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("c"))
     common = common.select("family", F.col("c.token").alias("common"))
     none = F.array().cast("array<bigint>")
     ordered = open_to.join(common, "family", "left").withColumn("common", F.coalesce("common", none))
     rare_first = F.concat(F.sort_array(F.array_except("changes", "common")), F.array_intersect("common", "changes"))
-    ordered = ordered.select("family", "sid", "linked", "part", rare_first.alias("changes"))
-    ordered = ordered.withColumn("kept", F.size("changes") - F.col("part"))
-    entry = F.posexplode("changes").alias("at", "token")
-    entries = ordered.select("family", "sid", "linked", "kept", entry).withColumn("early", F.col("at") < F.col("kept"))
-    sought = entries.where("early").select("family", "token", F.col("sid").alias("v"), F.col("linked").alias("v_linked"))
-    missing = entries.where("NOT linked").select("family", "token", F.col("sid").alias("u"), F.col("early").alias("u_early"))
-    met = missing.join(sought, ["family", "token"]).where("(v_linked OR (u_early AND u < v)) AND u <> v")
-    pairs = met.select("u", "v").distinct()
-    return members.select("sid", "family").unionByName(pivots.select("sid", F.col("sid").alias("family"))), pairs
+    kept = F.size("changes") - F.col("part")
+    ordered = ordered.select("family", "sid", "linked", "guest", "r", "a", "due", rare_first.alias("changes"), kept.alias("kept"))
+    entries = ordered.select("*", F.posexplode("changes").alias("at", "token")).withColumn("early", F.col("at") < F.col("kept")).drop("changes", "kept", "at")
+    sought = entries.where("early").withColumnsRenamed({"sid": "v"} | {c: f"v_{c}" for c in ("linked", "guest", "r", "a", "due")}).drop("early")
+    missing = entries.where("NOT linked").withColumnsRenamed({"sid": "u"} | {c: f"u_{c}" for c in ("early", "guest", "r", "a", "due")}).drop("linked")
+    agree = f"{2 * (rule.num + rule.den)} * (least(u_r, v_r) + least(u_a, v_a)) >= u_due + v_due"
+    met = missing.join(sought, ["family", "token"]).where(
+        f"(v_linked OR (u_early AND u < v)) AND u <> v AND NOT (u_guest AND v_guest) AND coalesce({agree}, true)"
+    )
+    return met.select("u", "v").distinct()
+
+
+def family_pairs(compared: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(sid, family) of the sets near a pivot, and the pairs (u, v) inside families that may still be similar."""
+    members, families = family_members(compared, rule)
+    return families, pairs_inside(members, rule)
 
 
 def similar_documents(docs: DataFrame, rule: Threshold = Threshold(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,7 +323,7 @@ def similar_documents(docs: DataFrame, rule: Threshold = Threshold(), doc_id: st
         .select(F.col("sid").alias("u"), F.col("p.pivot").alias("v"))
     )
 
-    def compare(pairs: DataFrame, name: str, changes: bool = False) -> DataFrame:
+    def compare(pairs: DataFrame, name: str, least: float | None = None) -> DataFrame:
         """Pairs compared on their whole sets, which come from one more scan of the texts."""
         pairs = cut_lineage(pairs, f"{name}-asked")
         names = name_filter(pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))))
@@ -298,43 +332,38 @@ def similar_documents(docs: DataFrame, rule: Threshold = Threshold(), doc_id: st
         x = whole.select(F.col("sid").alias("u"), F.col("tokens").alias("tx"))
         y = whole.select(F.col("sid").alias("v"), F.col("tokens").alias("ty"))
         both = pairs.join(y, "v").join(x, "u").select("u", "v", "tx", "ty")
-        return cut_lineage(both.mapInArrow(_compare(rule, changes), COMPARED), name)
+        return cut_lineage(both.mapInArrow(_compare(rule, least), COMPARED), name)
 
-    stars = compare(pairs, "stars", True)
+    stars = compare(pairs, "stars", NEAR)
     star_links = stars.where("linked").select("u", "v")
-    families, inside = family_pairs(stars, rule)
+    members, families = family_members(stars, rule)
     groups = components(star_links, "groups").select(F.col("node").alias("sid"), F.col("root").alias("grp"))
+    families = families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("many")), "family")
     grouped = shared.join(groups, "sid", "left").join(families, "sid", "left")
-    grouped = grouped.select("token", "sid", "n", F.coalesce("grp", "sid").alias("grp"), F.coalesce("family", "sid").alias("family"))
-
-    # The matrix: tokens of each group's union, per family, if another group of another family holds the token as well.
-    matrix = grouped.groupBy("token", "grp", "family").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = cut_lineage(matrix, "token-group-matrix")
-    ends = [f(c).alias(f"{c}{i}") for c in ("grp", "family") for i, f in enumerate((F.min, F.max))]
-    several = matrix.groupBy("token").agg(*ends).where("grp0 <> grp1 AND family0 <> family1").select("token")
-    cells = cut_lineage(grouped.join(several, "token", "left_semi"), "open-tokens")
-    others = matrix.withColumnsRenamed({"grp": "other", "family": "kin"})
-    fits = f"{rule.den} * hi >= {rule.num} * n AND {rule.den} * n >= {rule.num} * lo"
-    opened = (
+    own = [F.coalesce(c, "sid").alias(c) for c in ("grp", "family")]
+    grouped = grouped.select("token", "sid", "n", *own, F.coalesce("many", F.lit(1)).alias("many"))
+
+    # The matrix: tokens of each family's union, if a set of another family and group holds the token as well.
+    ends = [f(c).alias(f"{c}{i}") for c in ("n", "grp") for i, f in enumerate((F.min, F.max))]
+    matrix = grouped.groupBy("token", "family", "many").agg(*ends)
+    matrix = cut_lineage(matrix, "token-family-matrix")
+    several = matrix.groupBy("token").agg(F.min("family").alias("a"), F.max("family").alias("b"), F.min("grp0").alias("g"), F.max("grp1").alias("h"))
+    cells = grouped.join(several.where("a <> b AND g <> h").select("token"), "token", "left_semi")
+    others = matrix.withColumnsRenamed({"family": "kin", "many": "kin_many"})
+    fits = f"{rule.den} * n1 >= {rule.num} * n AND {rule.den} * n >= {rule.num} * n0"
+    visits = (
         cells.join(others, "token")
-        .where(f"grp < other AND family <> kin AND {fits}")
-        .groupBy("sid", "n", "other", "kin")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("lo"))
-        .where(F.col("c") >= F.least(need("n"), need("lo")))
-        .select("sid", "other", "kin")
-    )
-    member = cells.select("token", F.col("grp").alias("other"), F.col("family").alias("kin"), F.col("sid").alias("v"), F.col("n").alias("pn"))
-    candidates = (
-        cells.select("token", "sid", "n")
-        .join(opened, "sid")
-        .join(member, ["token", "other", "kin"])
-        .where(size_fits)
-        .groupBy(F.col("sid").alias("u"), "v", "n", "pn")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") >= F.least(need("n"), need("pn")))
-        .select("u", "v")
+        .where(f"(many < kin_many OR (many = kin_many AND family < kin)) AND (grp0 <> grp OR grp1 <> grp) AND {fits}")
+        .groupBy("sid", "n", "kin")
+        .agg(F.count(F.lit(1)).alias("c"), F.min("n0").alias("n0"))
+        .where(F.col("c") >= F.least(need("n"), need("n0")))
+        .select(F.col("sid").alias("u"), F.col("kin").alias("v"))
     )
-    rest = compare(candidates.unionByName(inside).distinct(), "opened")
+    # Distances 1 - J add up along a way: a set farther from the pivot than this is linked with none of its family.
+    visits = compare(visits, "visits", NEAR - 1 + rule.num / rule.den - 1e-9)
+    guests = cut_lineage(_changed(visits, rule, True).join(members.select("family").distinct(), "family", "left_semi"), "guests")
+    rest = compare(pairs_inside(members.unionByName(guests), rule), "opened")
+    star_links = star_links.unionByName(visits.where("linked").select("u", "v"))
     links = star_links.unionByName(rest.where("linked").select("u", "v"))
     roots = components(links, "classes")
     # The smallest id of each class, then back to every document through its set.

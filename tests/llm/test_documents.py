@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from areapulse.llm.common import components
 from areapulse.llm.decontaminate import cut_spans, find_passages
 from areapulse.llm.fm_index import FMIndex
-from areapulse.llm.jaccard_join import Threshold, family_pairs, name_filter, name_slots, similar_documents
+from areapulse.llm.jaccard_join import Threshold, _changed, family_members, family_pairs, name_filter, name_slots, pairs_inside, similar_documents
 from areapulse.llm.language_id import fit_languages, identify_languages
 from areapulse.llm.source_mix import MixRule, mix_sources, source_targets
 from areapulse.llm.sql import SQL
@@ -478,3 +478,35 @@ def test_toxicity_learns_words_that_no_list_holds(spark):
     scores = {r["doc"]["doc_id"]: r["score"] for r in fit_toxicity(docs, labels, trees=5).score(docs, ["doc_id"]).collect()}
     assert all(scores[i] >= 0.3 for i in range(400, 600) if i % 4 == 0)
     assert all(scores[i] < 0.3 for i in range(400, 600) if i % 4)
+
+
+def test_sets_beside_a_family_are_not_paired_with_its_members(spark):
+    """Members around a pivot and guests that share much with all of them: only a guest's near twin is worth a look."""
+    rule, rows, size = Threshold(3, 9, 10), [], 200
+    for i in range(300):
+        rows.append((i, -1, True, True, size, [i % size, (i * 7 + 1) % size], [10**6 + 10 * i]))
+    for i in range(60):
+        far = [(i + k * 3) % size for k in range(50)]
+        rows.append((1000 + i, -1, False, True, size, far, [10**7 + 100 * i + k for k in range(40)]))
+    rows.append((1060, -1, False, True, size, rows[300][5], [*rows[300][6][:-1], 5]))
+    kinds = "u long, v long, linked boolean, near boolean, size long, lacks array<long>, adds array<long>"
+    compared = spark.createDataFrame(rows, kinds)
+    members, _ = family_members(compared.where("u < 1000 OR u = 1060"), rule)
+    guests = _changed(compared.where("u >= 1000 AND u < 1060"), rule, True)
+    found = {tuple(sorted(r)) for r in pairs_inside(members.unionByName(guests), rule).collect()}
+    assert (1000, 1060) in found
+    assert all(1060 in pair for pair in found)
+
+
+@pytest.mark.parametrize("rule", [Threshold(3, 9, 10), Threshold(5, 4, 5)])
+def test_families_linked_only_through_members(spark, rule):
+    """Chains of small steps lead from one pivot's family to the next: brute force over all pairs."""
+    rng, rows = random.Random(5), []
+    for chain_of in range(12):
+        words = [f"c{chain_of}w{rng.randrange(10**6)}" for _ in range(90)]
+        for step in range(25):
+            words[rng.randrange(90)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+            rows += [(len(rows) + k, edited(" ".join(words), 1000 * chain_of + 10 * step + k, k)) for k in range(rng.randrange(3))]
+    got = similar_documents(spark.createDataFrame(rows, DOC), rule).collect()
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == classes(rows, rule)
