@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from areapulse.llm.common import ALNUM, words
+from areapulse.llm.common import ALNUM, giving_back, words
 from areapulse.llm.fm_index import FMIndex
 
 SPANS = T.ArrayType(T.StructType().add("first_word", "long").add("past_word", "long").add("start", "long").add("end", "long"))
@@ -154,8 +154,8 @@ _ARROW = to_arrow_type(_FOUND)
 def _searched(block: Phrases, shard_bytes: int) -> Callable[..., Column]:
     """Column function: a text and what earlier blocks found in it, to what is found by now."""
 
-    @F.arrow_udf(_FOUND)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @giving_back
+    def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, found in batches:
             sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in texts])
             out, lo = [], 0
@@ -171,6 +171,10 @@ def _searched(block: Phrases, shard_bytes: int) -> Callable[..., Column]:
                     out.append({"n_words": int(n), "spans": s, "items": sorted({*i, *x["items"]})})
             yield pa.array(out, _ARROW)
 
+    @F.arrow_udf(_FOUND)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from search(batches)
+
     return run
 
 

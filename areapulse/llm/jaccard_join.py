@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areapulse.llm.common import SPACED, components, give_back, joined, mix64, window_hashes, words
+from areapulse.llm.common import SPACED, components, giving_back, joined, mix64, window_hashes, words
 from areapulse.session import cut_lineage
 
 #: Counters of the frequency sketch; two rows of so many.
@@ -105,7 +105,7 @@ def _frequency(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["slot", "n"])
 
-    return run
+    return giving_back(run)
 
 
 def rare_first(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -133,9 +133,8 @@ def _fingerprints(rule: Threshold, sketch: np.ndarray) -> Callable[[Iterator[pa.
                 ],
                 names=["doc_id", "n", "sid", "prefix"],
             )
-        give_back()
 
-    return run
+    return giving_back(run)
 
 
 def _bits(sid: int) -> tuple[int, int]:
@@ -172,9 +171,8 @@ def _tokens(k: int, packed: bytes) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     names.append(sid)
                     sets.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "tokens"])
-        give_back()
 
-    return run
+    return giving_back(run)
 
 
 #: A set that shares less than this part of the union with its pivot is in no family.
@@ -205,9 +203,8 @@ def _compare(rule: Threshold, least: float | None) -> Callable[[Iterator[pa.Reco
             made = [pa.array(x, t) for x, t in zip((linked, near, sizes, lacks, adds), kinds)]
             names = ["u", "v", "linked", "near", "size", "lacks", "adds"]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *made], names=names)
-        give_back()
 
-    return run
+    return giving_back(run)
 
 
 def _changed(compared: DataFrame, rule: Threshold, guest: bool) -> DataFrame:

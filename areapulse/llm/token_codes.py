@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from areapulse.llm.common import give_back
+from areapulse.llm.common import giving_back
 from areapulse.session import cut_lineage, fresh_dir
 
 MAGIC = b"DACTOK01"
@@ -240,6 +240,10 @@ class WordEncoder:
         words.update(zip([w for w, _ in odd], self._encode_each([x for _, x in odd])))
         words.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in zip(missing, pieces) if a)
 
+    def forget(self) -> None:
+        """Drop the cached words: idle workers would hold them beside those at work."""
+        self.words, self.parts = ({}, {}), ({}, {})
+
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return self.encode_all([text])[0]
@@ -331,9 +335,9 @@ def _writer(folder: str, spec: str, end_id: int, file_tokens: int) -> Callable[[
                     yield flush()
         if keys:
             yield flush()
-        give_back()
+        encoder.forget()
 
-    return run
+    return giving_back(run)
 
 
 def write_tokens(

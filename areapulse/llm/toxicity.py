@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areapulse.llm.common import give_back, joined, mix64, words
+from areapulse.llm.common import giving_back, joined, mix64, words
 from areapulse.session import cut_lineage
 
 # Fixed word lists.
@@ -277,8 +277,8 @@ def features(lexicons: np.ndarray) -> Callable[[Column, Column], Column]:
     """Features of a text by one of the lexicons. Only these two go through Python; other columns of the row stay in the JVM."""
     packed = zlib.compress(lexicons.tobytes(), 1)
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def made(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @giving_back
+    def rows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         makers = [Features(x) for x in np.frombuffer(zlib.decompress(packed), np.uint8).reshape(-1, 2 * SLOTS)]
         for batch, part in batches:
             # Slices keep the working memory of a batch of long texts small.
@@ -291,7 +291,10 @@ def features(lexicons: np.ndarray) -> Callable[[Column, Column], Column]:
                     flat[at + on] = makers[k].of([texts[i] for i in on])
             ends = pa.array(np.arange(len(flat) + 1) * len(FEATURES), pa.int32())
             yield pa.ListArray.from_arrays(ends, pa.array(flat.ravel(), pa.float64()))
-        give_back()
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def made(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from rows(batches)
 
     return made
 

@@ -16,7 +16,8 @@ import pytest
 from conftest_llm import odd_rows, prose
 from tokenizers import Tokenizer
 
-from areapulse.llm.common import components
+from areapulse.llm import common, token_codes
+from areapulse.llm.common import SPACED, components, giving_back
 from areapulse.llm.decontaminate import cut_spans, find_passages
 from areapulse.llm.fm_index import FMIndex
 from areapulse.llm.jaccard_join import Threshold, _changed, family_members, family_pairs, name_filter, name_slots, pairs_inside, similar_documents
@@ -24,7 +25,7 @@ from areapulse.llm.language_id import fit_languages, identify_languages
 from areapulse.llm.source_mix import MixRule, mix_sources, source_targets
 from areapulse.llm.sql import SQL
 from areapulse.llm.substring_dedup import PassageRule, _seeds, chains, repeated_passages, word_hashes
-from areapulse.llm.token_codes import BUNCH, TokenFile, WordEncoder, _bunches, pack, read_tokens, word_level, write_tokens
+from areapulse.llm.token_codes import BUNCH, TokenFile, WordEncoder, _bunches, _writer, pack, read_tokens, word_level, write_tokens
 from areapulse.llm.toxicity import fit_toxicity
 from areapulse.llm.url_rules import judge_urls
 
@@ -510,3 +511,38 @@ def test_families_linked_only_through_members(spark, rule):
             rows += [(len(rows) + k, edited(" ".join(words), 1000 * chain_of + 10 * step + k, k)) for k in range(rng.randrange(3))]
     got = similar_documents(spark.createDataFrame(rows, DOC), rule).collect()
     assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == classes(rows, rule)
+
+
+def test_a_worker_keeps_neither_its_last_batch_nor_tables_after_a_task(monkeypatch):
+    alive, at_the_end = [], []
+
+    class Batch(bytes):
+        def __del__(self):
+            alive.remove(len(self))
+
+    @giving_back
+    def run(batches):
+        for batch in batches:
+            yield len(common.words(batch, SPACED)[0])
+
+    def batches():
+        for n in (3, 5):
+            alive.append(2 * n)
+            yield Batch(b"a " * n)
+
+    release = common.give_back
+    monkeypatch.setattr(common, "give_back", lambda: (at_the_end.append(list(alive)), release()))
+    assert list(run(batches())) == [3, 5]
+    assert at_the_end == [[]]
+    assert common._powers is None
+
+
+def test_cached_words_go_at_the_end_of_a_task(tmp_path, monkeypatch):
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    encoder = WordEncoder(spec)
+    monkeypatch.setattr(token_codes, "_encoder", lambda _: encoder)
+    monkeypatch.setattr(token_codes, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("At", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [prose(1, 60).encode(), b"wordly, wordly"]})
+    made = list(_writer(str(tmp_path), spec, 2, 1 << 21)(iter([batch])))
+    assert made[0].column("n_docs").to_pylist() == [2]
+    assert encoder.words == ({}, {}) and encoder.parts == ({}, {})
