@@ -245,6 +245,25 @@ def test_passage_of_common_pieces(spark):
     assert sum(~found["cut"]) == 12
 
 
+def test_changed_passage_of_common_pieces(spark):
+    """Two texts share 110 words but for two, in pieces that are common on their own; no equal run has 50 words."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    rows, pairs = [], []
+    for t in range(12):
+        pieces = [fresh(36) for _ in range(3)]
+        for piece in pieces:
+            rows += [(10_000 + len(rows), f"{fresh(30)} {piece} {fresh(30)}") for _ in range(20)]
+        pairs += [2 * t, 2 * t + 1]
+        rows += [(i, f"{fresh(40)} {pieces[0]} {fresh(1)} {pieces[1]} {fresh(1)} {pieces[2]} {fresh(25)}") for i in pairs[-2:]]
+    got = repeated_passages(spark.createDataFrame(rows, DOC)).toPandas()
+    found = got[(got["start"] <= 40) & (got["past"] >= 150)]
+    assert sorted(set(found["doc_id"])) == pairs and sorted(set(got["doc_id"])) == pairs
+    assert sum(~found["cut"]) == 12
+    other = dict(zip(found["doc_id"], found["other_doc_id"]))
+    assert all(other[i] == i ^ 1 for i in pairs)
+
+
 def test_passage_twice_in_one_text(spark):
     rng = random.Random(8)
     fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
